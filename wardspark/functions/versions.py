@@ -13,7 +13,7 @@ _MAX = 9223372036854775807
 
 
 def _number(text: Column) -> Column:
-    return F.coalesce(F.try_cast(text, "bigint") if hasattr(F, "try_cast") else text.try_cast("bigint"), F.lit(_MAX))
+    return F.coalesce(text.try_cast("bigint"), F.lit(_MAX))
 
 
 def _number_or_zero(text: Column) -> Column:

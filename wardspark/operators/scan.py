@@ -115,7 +115,7 @@ def enrich_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _explode_hits(scanned: DataFrame) -> DataFrame:
+def explode_hits(scanned: DataFrame) -> DataFrame:
     return scanned.select(F.col("path").alias("file_path"), "target", F.explode("hits").alias("h")).select(
         "file_path", "target", *[F.col(f"h.{f}").alias(f) for f in ("detector", "detector_ord", "seq", "rule_id", "line", "col", "match", "attrs", "snippet")]
     )
@@ -151,7 +151,7 @@ def _with_advisories(hits: DataFrame, advisories: DataFrame) -> DataFrame:
     )
 
 
-def _as_findings(enriched: DataFrame) -> DataFrame:
+def as_findings(enriched: DataFrame) -> DataFrame:
     detector, rule, line = F.col("detector"), F.col("rule_id"), F.col("line")
     bare_id = rule.like("MODEL-%") & (detector == "model")
     new_id = (
@@ -190,5 +190,5 @@ def resolve_findings(scanned: DataFrame, advisories: DataFrame | None = None, ru
         rules = rule_table(spark, RULES + DETECTOR_RULES)
     if advisories is None:
         advisories = supply.advisory_table(spark)
-    hits = _with_advisories(_explode_hits(scanned), advisories)
-    return _as_findings(enrich_findings(hits, rules)).select(FINDING_COLUMNS)
+    hits = _with_advisories(explode_hits(scanned), advisories)
+    return as_findings(enrich_findings(hits, rules)).select(FINDING_COLUMNS)

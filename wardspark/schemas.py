@@ -19,8 +19,8 @@ CUSTOM_RULES = (
 # A saved report: the envelope and its findings, as written by ``sinks.reports``.
 REPORT_FINDING = (
     "struct<id:string,title:string,category:string,severity:string,description:string,file_path:string,"
-    "line_number:int,column_number:int,code_snippet:string,remediation:string,cwe_id:string,owasp_id:string,"
-    "confidence:double,metadata:map<string,string>>"
+    "line_number:string,column_number:string,code_snippet:string,remediation:string,cwe_id:string,owasp_id:string,"
+    "confidence:string,metadata:map<string,string>>"
 )
 
 # The audit trail: scan events and prompt events in one table.
