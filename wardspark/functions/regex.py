@@ -1,5 +1,7 @@
 """Regular expressions as column expressions."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # One code point that no rule pattern treats specially; stands in for a mark already in the text.
@@ -17,10 +19,7 @@ def find_all(text: Column, pattern: str) -> Column:
 
 def any_contains(text: Column, words: list[str]) -> Column:
     """Whether the text contains at least one of the words."""
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
 def phrase_pattern(phrases: list[str]) -> str:
@@ -52,42 +51,42 @@ def marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, MARK + "$0")
 
 
-def match_positions(text: Column, pattern: str) -> Column:
-    """``array<struct<ordinal, line, col, text>>`` of all matches; line and column count from 1, lines end at ``\\n``."""
-    lines = F.transform(F.split(marked(text, pattern), "\n", -1), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
+def places(marked_text: Column, matches: Column) -> Column:
+    """``array<struct<ordinal, line, col, text>>`` of matches, given the marked text and the matches themselves."""
+    lines = F.transform(F.split(marked_text, "\n", -1), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     hits = F.filter(lines, lambda x: F.contains(x["text"], F.lit(MARK)))
 
     def starts(hit: Column) -> Column:
-        pieces = F.split(hit["text"], MARK, -1)
-        widths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p))
-        columns = F.aggregate(
-            widths,
-            F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("cols")),
-            lambda acc, w: F.struct((acc["next"] + w).alias("next"), F.array_append(acc["cols"], acc["next"] + w).alias("cols")),
-            lambda acc: acc["cols"],
-        )
-        return F.transform(columns, lambda c: F.struct(hit["line"].alias("line"), c.alias("col")))
-
-    places = F.flatten(F.transform(hits, starts))
-    return F.zip_with(
-        places,
-        F.transform(find_all(text, pattern), lambda m, i: F.struct(i.alias("ordinal"), m.alias("text"))),
-        lambda place, m: F.struct(m["ordinal"].alias("ordinal"), place["line"].alias("line"), place["col"].alias("col"), m["text"].alias("text")),
+        return F.transform(_starts(hit["text"]), lambda offset: F.struct(hit["line"].alias("line"), (offset + 1).alias("col")))
+
+    return F.transform(
+        F.arrays_zip(F.flatten(F.transform(hits, starts)).alias("place"), matches.alias("text")),
+        lambda m, i: F.struct(i.alias("ordinal"), m["place"]["line"].alias("line"), m["place"]["col"].alias("col"), m["text"].alias("text")),
     )
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """Start offsets of all matches, counted from 0."""
-    pieces = F.split(marked(text, pattern), MARK, -1)
+def _starts(marked_text: Column) -> Column:
+    """Offsets, marks not counted, at which the marks stand."""
+    pieces = F.split(marked_text, MARK, -1)
     widths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p))
     return F.aggregate(
         widths,
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("offsets")),
-        lambda acc, w: F.struct((acc["next"] + w).alias("next"), F.array_append(acc["offsets"], acc["next"] + w).alias("offsets")),
-        lambda acc: acc["offsets"],
+        F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, w: F.struct((acc["next"] + w).alias("next"), F.array_append(acc["starts"], acc["next"] + w).alias("starts")),
+        lambda acc: acc["starts"],
     )
 
 
+def match_positions(text: Column, pattern: str) -> Column:
+    """``array<struct<ordinal, line, col, text>>`` of all matches; line and column count from 1, lines end at ``\\n``."""
+    return places(marked(text, pattern), find_all(text, pattern))
+
+
+def match_offsets(text: Column, pattern: str) -> Column:
+    """Start offsets of all matches, counted from 0."""
+    return _starts(marked(text, pattern))
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """The line an offset falls on: newlines before it plus one."""
     prefix = F.substring(text, F.lit(1), offset)

@@ -32,5 +32,10 @@ def hit(detector: str, rule_id, line, col, seq: list, match=None, attrs: dict |
     )
 
 
+def join_arrays(arrays: list[Column]) -> Column:
+    """One array out of arrays of the same type, any of which may be null."""
+    return F.flatten(F.array_compact(F.array(*arrays)))
+
+
 def only_if(condition: Column, hits: Column) -> Column:
     return F.when(condition, hits.cast(HITS)).otherwise(no_hits())

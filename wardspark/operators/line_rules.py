@@ -5,11 +5,11 @@ from pyspark.sql import Column, functions as F
 from wardspark.catalog import patterns as cat
 from wardspark.functions.anchors import FOLDING, has_bit
 from wardspark.functions.entropy import short_entropy
-from wardspark.functions.regex import any_contains, java_pattern, match_positions
-from wardspark.functions.text import strip
-from wardspark.operators.hits import hit, only_if
+from wardspark.functions.regex import any_contains, find_all, java_pattern, marked, places
+from wardspark.operators.hits import hit, join_arrays
 
 LINE_GROUPS = [p["anchors"] for p in cat.LINE_PATTERNS]
+_COMMENT = r"(?U)^[\s\x1c-\x1f]*#"
 CHECK_GROUPS = [[w.lower() for w in c["any"]] for c in cat.SUBSTRING_CHECKS]
 
 
@@ -17,43 +17,38 @@ def numbered(lines: Column) -> Column:
     return F.transform(lines, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
 
 
-def plausible_secret(rule_id: str, match: Column) -> Column:
+def plausible_secret(rule_id: Column, match: Column) -> Column:
     """False for long key-like matches of low entropy, which are placeholders."""
-    if not rule_id.startswith(cat.KEY_RULE_PREFIX):
-        return F.lit(True)
-    dull = (F.length(match) > cat.KEY_MIN_LENGTH) & ~any_contains(match, cat.KEY_EXEMPT)
+    dull = F.startswith(rule_id, F.lit(cat.KEY_RULE_PREFIX)) & (F.length(match) > cat.KEY_MIN_LENGTH) & ~any_contains(match, cat.KEY_EXEMPT)
     return F.when(dull, short_entropy(match) >= cat.KEY_MIN_ENTROPY).otherwise(F.lit(True))
 
 
-def _one_pattern(lines: Column, order: int, rule: dict) -> Column:
-    pattern = java_pattern(rule["pattern"], rule["ignore_case"])
+def line_pattern_hits(lines: Column, mask: Column, first_bit: int) -> Column:
+    """Every match of every line pattern. Each pattern marks its own lines; places are worked out for all at once."""
+    rows = numbered(lines)
 
-    def candidate(x: Column) -> Column:
-        text = F.lower(x["text"]) if rule["ignore_case"] else x["text"]
-        return any_contains(text, rule["anchors"] + (FOLDING if rule["ignore_case"] else []))
+    def marked_lines(order: int, rule: dict) -> Column:
+        pattern, ci = java_pattern(rule["pattern"], rule["ignore_case"]), rule["ignore_case"]
+        candidates = F.filter(rows, lambda x: any_contains(F.lower(x["text"]) if ci else x["text"], rule["anchors"] + (FOLDING if ci else [])))
+        return F.transform(candidates, lambda x: F.struct(
+            F.lit(rule["rule_id"]).alias("rule_id"), F.lit(order).alias("order"), x["line"].alias("line"),
+            marked(x["text"], pattern).alias("marked"), find_all(x["text"], pattern).alias("matches"),
+        ))
 
-    def matches(x: Column) -> Column:
-        found = F.filter(match_positions(x["text"], pattern), lambda m: plausible_secret(rule["rule_id"], m["text"]))
-        return F.transform(
-            found, lambda m: hit("secrets", rule["rule_id"], x["line"], m["col"], [x["line"], order, m["ordinal"]], m["text"])
-        )
+    found = join_arrays([F.when(has_bit(mask, first_bit + i), marked_lines(i, r)) for i, r in enumerate(cat.LINE_PATTERNS)])
+    return F.flatten(F.transform(found, lambda y: F.transform(
+        F.filter(places(y["marked"], y["matches"]), lambda m: plausible_secret(y["rule_id"], m["text"])),
+        lambda m: hit("secrets", y["rule_id"], y["line"], m["col"], [y["line"], y["order"], m["ordinal"]], m["text"]),
+    )))
 
-    return F.flatten(F.transform(F.filter(numbered(lines), candidate), matches))
 
-
-def line_pattern_hits(lines: Column, mask: Column, first_bit: int) -> list[Column]:
-    """Every match of every line pattern."""
-    return [only_if(has_bit(mask, first_bit + i), _one_pattern(lines, i, r)) for i, r in enumerate(cat.LINE_PATTERNS)]
-
-
-def line_check_hits(lines: Column, mask: Column, first_bit: int) -> list[Column]:
+def line_check_hits(lines: Column, mask: Column, first_bit: int) -> Column:
     """One hit per line and substring check; comment lines are skipped."""
+    rows = numbered(lines)
 
-    def one(order: int, check: dict) -> Column:
-        flagged = F.filter(
-            numbered(lines),
-            lambda x: any_contains(x["text"], check["any"]) & ~any_contains(x["text"], check["none"]) & ~F.startswith(strip(x["text"]), F.lit("#")),
-        )
-        return F.transform(flagged, lambda x: hit("owasp", check["rule_id"], x["line"], 1, [x["line"], order, 0]))
+    def flagged(order: int, check: dict) -> Column:
+        wanted = F.filter(rows, lambda x: any_contains(x["text"], check["any"]) & ~any_contains(x["text"], check["none"]) & ~x["text"].rlike(_COMMENT))
+        return F.transform(wanted, lambda x: F.struct(F.lit(check["rule_id"]).alias("rule_id"), F.lit(order).alias("order"), x["line"].alias("line")))
 
-    return [only_if(has_bit(mask, first_bit + i), one(i, c)) for i, c in enumerate(cat.SUBSTRING_CHECKS)]
+    found = join_arrays([F.when(has_bit(mask, first_bit + i), flagged(i, c)) for i, c in enumerate(cat.SUBSTRING_CHECKS)])
+    return F.transform(found, lambda y: hit("owasp", y["rule_id"], y["line"], 1, [y["line"], y["order"], 0]))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import prompt_signatures as sig
 from wardspark.functions.anchors import anchor_mask, has_bit
+from wardspark.functions.cached import built_once
 from wardspark.functions.entropy import shannon_entropy
 from wardspark.functions.payloads import obfuscation_evidence, sanitize_prompt
 from wardspark.functions.regex import find_all, java_pattern
@@ -61,21 +62,32 @@ def score_prompts(df: DataFrame, text_col: str = "text", signatures: list[dict]
     remediation_advice, entropy_score, obfuscation_detected.
     """
     text = F.col(text_col)
-    blank = is_blank(text)
-    signatures = signatures or default_signatures()
+    hits = signature_hits(text, F.col("_mask"), signatures) if signatures else _default_hits(text_col)
     staged = df.withColumns({
-        "_mask": anchor_mask(text, [s.get("anchors", []) for s in signatures]),
+        "_mask": anchor_mask(text, [s.get("anchors", []) for s in signatures or default_signatures()]),
         "_entropy": shannon_entropy(text),
-        "_blank": blank,
+        "_blank": is_blank(text),
     }).withColumns({
-        "_hits": F.when(F.col("_blank"), F.array().cast(HITS)).otherwise(signature_hits(text, F.col("_mask"), signatures)),
+        "_hits": F.when(F.col("_blank"), F.array().cast(HITS)).otherwise(hits),
         "_hidden": F.when(~F.col("_blank"), obfuscation_evidence(text)),
     })
-    blank, hits = F.col("_blank"), F.col("_hits")
+    assessed = _assessment(text_col)
+    return staged.withColumns(assessed[0]).withColumns(assessed[1]).drop("_mask", "_blank", "_hits", "_hidden", "_entropy")
+
+
+@built_once
+def _default_hits(text_col: str) -> Column:
+    return signature_hits(F.col(text_col), F.col("_mask"), default_signatures())
+
+
+@built_once
+def _assessment(text_col: str) -> tuple[dict, dict]:
+    """The assessment columns, and those that follow from them."""
+    text, blank, hits = F.col(text_col), F.col("_blank"), F.col("_hits")
     hidden, entropy = F.col("_hidden").isNotNull(), F.when(blank, F.lit(0.0)).otherwise(F.col("_entropy"))
     odd = (entropy > sig.ENTROPY_MIN) & (F.length(text) > sig.ENTROPY_MIN_LENGTH)
     optional = lambda condition, value: F.when(condition, F.array(value)).otherwise(F.array().cast("array<string>"))
-    scored = staged.withColumns({
+    first = {
         "threat_score": F.least(
             F.lit(100.0),
             F.aggregate(hits, F.lit(0.0), lambda total, h: total + h["weight"])
@@ -90,14 +102,15 @@ def score_prompts(df: DataFrame, text_col: str = "text", signatures: list[dict]
         "sanitized_prompt": F.when(blank, F.lit("")).otherwise(sanitize_prompt(text)),
         "entropy_score": F.round(entropy, 2),
         "obfuscation_detected": hidden,
-    })
-    return scored.withColumns({
+    }
+    second = {
         "is_threat": F.col("threat_score") >= sig.THREAT_MIN,
         "threat_level": threat_level(F.col("threat_score")),
         "remediation_advice": F.when(blank, F.lit(sig.ADVICE_BLANK)).otherwise(
             remediation_advice(F.col("threat_types"), F.col("obfuscation_detected"))
         ),
-    }).drop("_mask", "_blank", "_hits", "_hidden", "_entropy")
+    }
+    return first, second
 
 
 def threat_summary(scored: DataFrame, *keys: str) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
+from wardspark.functions.cached import built_once
 from wardspark.functions.anchors import anchor_mask, has_bit
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
 from wardspark.functions.text import count_lines, snippet, split_lines
 from wardspark.operators import code_rules, line_rules, supply, text_rules
-from wardspark.operators.hits import HITS, no_hits
+from wardspark.operators.hits import HITS, join_arrays
 from wardspark.schemas import FINDING_COLUMNS
+from wardspark.sources.local import local_table
 
 # Anchor groups of all patterns; a rule's bit is its place in this list.
 _PARTS = {
@@ -24,26 +26,31 @@ GROUPS = [group for part in _PARTS.values() for group in part]
 _FIRST = dict(zip(_PARTS, [sum(len(p) for p in list(_PARTS.values())[:i]) for i in range(len(_PARTS))]))
 
 
-def _detector_hits(name: str, custom_rules: list[dict]) -> list[Column]:
+@built_once
+def _detector_hits(name: str) -> list[Column]:
     """The hit arrays of one built-in detector over the staged columns."""
     path, content, lines, mask = F.col("path"), F.col("content"), F.col("_lines"), F.col("_mask")
     if name == "ast":
         return [code_rules.code_hits(F.col("facts"))]
     if name == "secrets":
-        return line_rules.line_pattern_hits(lines, mask, _FIRST["lines"])
+        return [line_rules.line_pattern_hits(lines, mask, _FIRST["lines"])]
     if name == "owasp":
-        return line_rules.line_check_hits(lines, mask, _FIRST["checks"])
+        return [line_rules.line_check_hits(lines, mask, _FIRST["checks"])]
     if name == "supply":
         return [supply.dependency_hits(path, lines)]
     if name == "rag":
-        return text_rules.rag_hits(content, mask, _FIRST["rag"]) + [
-            text_rules.unverified_loader_hits(content, lines, mask, _FIRST["ssl"])
-        ]
+        return [text_rules.rag_hits(content, mask, _FIRST["rag"]), text_rules.unverified_loader_hits(content, lines, mask, _FIRST["ssl"])]
     if name == "agent":
-        return text_rules.agent_hits(content, mask, _FIRST["agent"])
-    if name == "model":
-        return text_rules.model_hits(path, content)
-    return text_rules.custom_hits(path, content, custom_rules)
+        return [text_rules.agent_hits(content, mask, _FIRST["agent"])]
+    return text_rules.model_hits(path, content)
+
+
+@built_once
+def _placed_hits() -> Column:
+    return F.transform(
+        F.col("_hits"),
+        lambda h: h.withField("snippet", F.coalesce(h["snippet"], snippet(F.col("_lines"), h["line"]))),
+    )
 
 
 def scan_artifacts(
@@ -64,17 +71,15 @@ def scan_artifacts(
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
     needs_lines = (F.col("_mask") != 0) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(custom_rules or extra_detectors))
     staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>")))
-    hits = [h for name in wanted for h in _detector_hits(name, custom_rules or [])]
-    hits += [extra(F.col("path"), F.col("content"), F.col("_lines")).cast(HITS) for extra in extra_detectors or []]
+    hits = [h for name in wanted if name != "custom" for h in _detector_hits(name)]
+    if "custom" in wanted and custom_rules:
+        hits.append(text_rules.custom_hits(F.col("path"), F.col("content"), custom_rules))
+    hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     staged = staged.select(
         "path", "target", "_lines", count_lines(F.col("content")).alias("n_lines"),
-        F.concat(no_hits(), *[F.coalesce(h, no_hits()) for h in hits]).alias("_hits"),
+        join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
     )
-    placed = F.transform(
-        F.col("_hits"),
-        lambda h: h.withField("snippet", F.coalesce(h["snippet"], snippet(F.col("_lines"), h["line"]))),
-    )
-    return staged.select("path", "target", "n_lines", placed.alias("hits"))
+    return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"))
 
 
 def dedup_hits(hits: Column) -> Column:
@@ -95,8 +100,8 @@ def _by_place(a: Column, b: Column) -> Column:
 
 def rule_table(spark, rows: list[dict] | None = None) -> DataFrame:
     """The rule catalogue as a table."""
-    return spark.createDataFrame(
-        rows if rows is not None else RULES,
+    return local_table(
+        spark, rows if rows is not None else RULES,
         "rule_id string, title string, category string, severity string, cwe_id string, owasp_id string, description string, "
         "remediation string, good_example string, bad_example string, tags array<string>",
     )
@@ -121,16 +126,11 @@ def explode_hits(scanned: DataFrame) -> DataFrame:
     )
 
 
-def _with_advisories(hits: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependency hits become findings where an advisory covers them and vanish where none does."""
-    attr = lambda name: F.try_element_at(F.col("attrs"), F.lit(name))
-    supplied = F.col("detector") == "supply"
-    met = supply.match_advisories(
-        hits.withColumn("package", F.when(supplied, attr("package"))).withColumn("version", F.when(supplied, attr("version"))),
-        advisories.withColumnRenamed("package", "_adv_package").withColumnRenamed("_adv_package", "package"), "left",
-    )
+@built_once
+def _advisory_attrs() -> Column:
+    """What an advisory says about a dependency hit, as hit attributes."""
     a = F.col("advisory")
-    told = F.map_from_arrays(
+    return F.map_from_arrays(
         F.array(*[F.lit(x) for x in ("package", "version", "cve", "safe_version", "title", "category", "severity", "cwe_id", "owasp_id", "description", "remediation")]),
         F.array(
             F.col("package"), F.col("version"), a["cve"], a["vulnerable_below"],
@@ -143,15 +143,31 @@ def _with_advisories(hits: DataFrame, advisories: DataFrame) -> DataFrame:
             a["remediation"],
         ),
     )
+
+
+def _with_advisories(hits: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependency hits become findings where an advisory covers them and vanish where none does."""
+    attr = lambda name: F.try_element_at(F.col("attrs"), F.lit(name))
+    supplied, a = F.col("detector") == "supply", F.col("advisory")
+    met = supply.match_advisories(
+        hits.withColumn("package", F.when(supplied, attr("package"))).withColumn("version", F.when(supplied, attr("version"))),
+        advisories, "left",
+    )
     return (
         met.where(~supplied | a.isNotNull())
-        .withColumn("attrs", F.when(supplied, told).otherwise(F.col("attrs")))
+        .withColumn("attrs", F.when(supplied, _advisory_attrs()).otherwise(F.col("attrs")))
         .withColumn("rule_id", F.when(supplied, F.concat(F.lit("SC-"), F.replace(a["cve"], F.lit("-"), F.lit("")))).otherwise(F.col("rule_id")))
         .drop("package", "version", "advisory")
     )
 
 
 def as_findings(enriched: DataFrame) -> DataFrame:
+    """Enriched hits in the shape of the findings table."""
+    return enriched.select(*_finding_columns())
+
+
+@built_once
+def _finding_columns() -> list[Column]:
     detector, rule, line = F.col("detector"), F.col("rule_id"), F.col("line")
     bare_id = rule.like("MODEL-%") & (detector == "model")
     new_id = (
@@ -175,12 +191,12 @@ def as_findings(enriched: DataFrame) -> DataFrame:
         entry("match_sha256", F.when(detector == "secrets", F.sha2(F.col("match"), 256))),
         *[entry(name, attr(name)) for name in ("package", "version", "cve", "safe_version", "extension")],
     ), lambda e: e["value"].isNotNull()))
-    return enriched.select(
+    return [
         new_id.alias("finding_id"), "rule_id", rule_family(rule).alias("family"), detector.alias("detector"), "detector_ord", "seq",
         "title", "category", "severity", description.alias("description"), "file_path", "target",
         line.alias("line_number"), F.col("col").alias("column_number"), F.col("snippet").alias("code_snippet"), "remediation",
         "cwe_id", "owasp_id", F.coalesce(F.try_element_at(by_rule, rule), confidences[detector]).alias("confidence"), metadata.alias("metadata"),
-    )
+    ]
 
 
 def resolve_findings(scanned: DataFrame, advisories: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:

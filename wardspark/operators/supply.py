@@ -8,9 +8,14 @@ from wardspark.functions.identifiers import normalize_package
 from wardspark.functions.text import basename, split_lines, strip
 from wardspark.functions.versions import version_key
 from wardspark.operators.hits import hit, no_hits
+from wardspark.sources.local import local_table
 
 # One dependency declaration, bare, in double quotes, in either quotes.
 _DECLARATION = r"([A-Za-z0-9_\-\.]+)\s*([=<>!~^]+)\s*([0-9][0-9A-Za-z\.\-\+\*]*)"
+ADVISORY_COLUMNS = (
+    "adv_ord int, package string, vulnerable_below string, cve string, severity string, cwe string, owasp string, "
+    "description string, remediation string"
+)
 _FORMS = {
     "requirements": f"(?U)^{_DECLARATION}",
     "pyproject": f'(?U)"{_DECLARATION}"',
@@ -66,10 +71,7 @@ def dependency_hits(path: Column, lines: Column) -> Column:
 
 
 def advisory_table(spark: SparkSession, rows: list[dict] | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        rows or ADVISORIES,
-        "adv_ord int, package string, vulnerable_below string, cve string, severity string, cwe string, owasp string, description string, remediation string",
-    )
+    return local_table(spark, rows or ADVISORIES, ADVISORY_COLUMNS)
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame, how: str = "inner") -> DataFrame:
@@ -83,7 +85,10 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, how: str = "inner")
         .groupBy(F.lower("package").alias("_package"))
         .agg(F.array_sort(F.collect_list(F.struct("adv_ord", "vulnerable_below", "cve", "severity", "cwe", "owasp", "description", "remediation", "_bound"))).alias("_advisories"))
     )
-    joined = deps.join(ordered, F.lower(deps["package"]) == F.col("_package"), how).withColumn("_key", version_key(F.col("version")))
+    # Rows without a package meet nothing; apart, they do not pile up on one task should the join have to shuffle.
+    apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*deps.columns[:2]), F.lit(1024)).cast("string"))
+    keyed = deps.withColumn("_of", F.coalesce(F.lower("package"), apart))
+    joined = keyed.join(ordered, F.col("_of") == F.col("_package"), how).withColumn("_key", version_key(F.col("version")))
     covering = F.filter(
         F.col("_advisories"),
         lambda a: F.col("_key").isNull() | a["_bound"].isNull() | (F.col("_key") < a["_bound"]),
@@ -91,4 +96,4 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, how: str = "inner")
     matched = joined.withColumn("advisory", F.get(covering, F.lit(0)))
     if how == "inner":
         matched = matched.where("advisory is not null")
-    return matched.drop("_advisories", "_package", "_key")
+    return matched.drop("_advisories", "_package", "_key", "_of")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import UNSAFE_WEIGHT_FORMATS
 from wardspark.functions.anchors import has_bit
-from wardspark.functions.regex import any_contains, java_pattern, match_positions
+from wardspark.functions.regex import any_contains, find_all, java_pattern, marked, places
 from wardspark.functions.text import basename, suffix
 from wardspark.operators.hits import hit, no_hits, only_if
 
@@ -15,21 +15,28 @@ SSL_GROUP = [flag.lower() for flag in cat.SSL_FLAGS]
 _SHOWN = 80
 
 
-def _pattern_hits(detector: str, rules: list[dict], content: Column, mask: Column, first_bit: int) -> list[Column]:
-    def one(order: int, rule: dict) -> Column:
-        found = match_positions(content, java_pattern(rule["pattern"], True, rule["dotall"]))
-        return F.transform(
-            found, lambda m: hit(detector, rule["rule_id"], m["line"], m["col"], [order, m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN))
-        )
+def _matched(rule: dict, order: int, content: Column, pattern: str) -> Column:
+    return F.struct(
+        F.lit(rule["rule_id"]).alias("rule_id"), F.lit(order).alias("order"),
+        marked(content, pattern).alias("marked"), find_all(content, pattern).alias("matches"),
+    )
 
-    return [only_if(has_bit(mask, first_bit + i), one(i, r)) for i, r in enumerate(rules)]
 
+def _pattern_hits(detector: str, rules: list[dict], content: Column, mask: Column, first_bit: int) -> Column:
+    found = F.array_compact(F.array(*[
+        F.when(has_bit(mask, first_bit + i), _matched(r, i, content, java_pattern(r["pattern"], True, r["dotall"]))) for i, r in enumerate(rules)
+    ]))
+    return F.flatten(F.transform(found, lambda y: F.transform(
+        places(y["marked"], y["matches"]),
+        lambda m: hit(detector, y["rule_id"], m["line"], m["col"], [y["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN)),
+    )))
 
-def rag_hits(content: Column, mask: Column, first_bit: int) -> list[Column]:
+
+def rag_hits(content: Column, mask: Column, first_bit: int) -> Column:
     return _pattern_hits("rag", cat.RAG_PATTERNS, content, mask, first_bit)
 
 
-def agent_hits(content: Column, mask: Column, first_bit: int) -> list[Column]:
+def agent_hits(content: Column, mask: Column, first_bit: int) -> Column:
     return _pattern_hits("agent", cat.AGENT_PATTERNS, content, mask, first_bit)
 
 
@@ -66,20 +73,28 @@ def model_hits(path: Column, content: Column) -> list[Column]:
     ]
 
 
-def custom_hits(path: Column, content: Column, rules: list[dict]) -> list[Column]:
+def custom_hits(path: Column, content: Column, rules: list[dict]) -> Column:
     """Matches of user-supplied patterns, each limited to the file extensions it names."""
+    if not rules:
+        return no_hits()
     ext = F.lower(suffix(path))
+    fields = ("name", "category", "severity", "message", "remediation", "cwe", "owasp")
 
     def one(order: int, rule: dict) -> Column:
-        attrs = lambda m: {
-            "title": rule["name"], "category": rule["category"], "severity": rule["severity"],
-            "description": rule["message"] or F.concat(F.lit(f"Custom rule {rule['id']} matched at line "), m["line"].cast("string"), F.lit(".")),
-            "remediation": rule["remediation"], "cwe_id": rule["cwe"], "owasp_id": rule["owasp"],
-        }
-        found = F.transform(
-            match_positions(content, "(?dU)" + rule["pattern"]),
-            lambda m: hit("custom", rule["id"], m["line"], m["col"], [order, m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN), attrs(m)),
+        row = F.struct(
+            _matched({"rule_id": rule["id"]}, order, content, "(?dU)" + rule["pattern"]).alias("m"),
+            *[F.lit(rule[f]).cast("string").alias(f) for f in fields],
         )
-        return only_if(ext.isin(*rule["file_extensions"]), found) if rule["file_extensions"] else F.coalesce(found, no_hits())
+        wanted = content.isNotNull()
+        return F.when(wanted & ext.isin(*rule["file_extensions"]) if rule["file_extensions"] else wanted, row)
+
+    def made(y: Column, m: Column) -> Column:
+        default = F.concat(F.lit("Custom rule "), y["m"]["rule_id"], F.lit(" matched at line "), m["line"].cast("string"), F.lit("."))
+        attrs = {
+            "title": y["name"], "category": y["category"], "severity": y["severity"], "description": F.coalesce(y["message"], default),
+            "remediation": y["remediation"], "cwe_id": y["cwe"], "owasp_id": y["owasp"],
+        }
+        return hit("custom", y["m"]["rule_id"], m["line"], m["col"], [y["m"]["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN), attrs)
 
-    return [one(i, r) for i, r in enumerate(rules)]
+    found = F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))
+    return F.flatten(F.transform(found, lambda y: F.transform(places(y["m"]["marked"], y["m"]["matches"]), lambda m: made(y, m))))

@@ -14,6 +14,10 @@ def place() -> Column:
     return F.struct((-severity_weight(F.col("severity"))).alias("w"), "file_path", "line_number", "detector_ord", "seq")
 
 
+def in_place_order(a: Column, b: Column) -> Column:
+    return F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+
+
 def report_finding() -> Column:
     return F.struct(
         F.col("finding_id").alias("id"), "title", "category", "severity", "description", "file_path", "line_number", "column_number",
@@ -30,7 +34,7 @@ def report_documents(findings: DataFrame, summary: DataFrame, timestamp: str | N
     totals = summary.withColumn("n", F.col("total"))
     grouped = (
         with_part(findings, totals, [F.col("file_path"), F.col("line_number"), F.col("finding_id")], max_rows)
-        .groupBy("target", "part").agg(F.sort_array(F.collect_list(F.struct(place().alias("place"), report_finding().alias("finding")))).alias("items"))
+        .groupBy("target", "part").agg(F.array_sort(F.collect_list(F.struct(place().alias("place"), report_finding().alias("finding"))), in_place_order).alias("items"))
     )
     metrics = F.struct(
         F.col("files").alias("total_files_scanned"), F.col("lines").alias("total_lines_scanned"),

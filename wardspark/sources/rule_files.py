@@ -13,6 +13,7 @@ from wardspark.catalog.prompt_signatures import SIGNATURE_FILE
 from wardspark.catalog.severity import CATEGORIES, CUSTOM_CATEGORIES, SEVERITY_NAMES
 from wardspark.operators.prompts import default_signatures
 from wardspark.schemas import CUSTOM_RULES
+from wardspark.sources.local import local_table
 
 RULE_FILE_NAMES = [".wardspark-rules.yaml", ".wardspark-rules.yml", "wardspark-rules.yaml", "wardspark-rules.yml"]
 
@@ -20,7 +21,7 @@ RULE_FILE_NAMES = [".wardspark-rules.yaml", ".wardspark-rules.yml", "wardspark-r
 def _json_table(spark: SparkSession, path: str | None, builtin) -> DataFrame:
     """A one-row table with the file's text, or with the built-in data in the same form."""
     if path is None:
-        return spark.createDataFrame([(json.dumps(builtin),)], "value string")
+        return local_table(spark, [{"value": json.dumps(builtin)}], "value string")
     return spark.read.text(path, wholetext=True)
 
 
@@ -50,8 +51,8 @@ def all_signatures(spark: SparkSession, path: str | None = None) -> list[dict]:
 
 
 def signature_table(spark: SparkSession, signatures: list[dict] | None = None) -> DataFrame:
-    rows = [(i, s["type"], int(s["weight"]), s["pattern"]) for i, s in enumerate(signatures or default_signatures())]
-    return spark.createDataFrame(rows, "ord int, type string, weight int, pattern string")
+    rows = [{"ord": i, **s} for i, s in enumerate(signatures or default_signatures())]
+    return local_table(spark, rows, "ord int, type string, weight int, pattern string")
 
 
 def load_signature_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -99,11 +100,9 @@ def read_custom_rules(spark: SparkSession, path: str) -> DataFrame:
         with open(path, encoding="utf-8") as handle:
             data = json.load(handle)
     entries = data.get("rules", []) if isinstance(data, dict) else []
-    columns = [c.split(" ")[0] for c in CUSTOM_RULES.split(", ")]
     kept = [e for e in entries if isinstance(e, dict) and "id" in e and "pattern" in e]
-    text = lambda e, c: None if e.get(c) is None else str(e[c])
-    rows = [tuple(e.get(c) if c == "file_extensions" else text(e, c) for c in columns) for e in kept]
-    return spark.createDataFrame(rows, CUSTOM_RULES)
+    text = lambda name, value: value if value is None or name == "file_extensions" else str(value)
+    return local_table(spark, [{name: text(name, value) for name, value in e.items()} for e in kept], CUSTOM_RULES)
 
 
 def normalize_custom_rules(rules: DataFrame) -> DataFrame:
