@@ -1,10 +1,17 @@
 """Decoding, lines and snippets."""
 
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the line ends recognised when a text is cut into lines.
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
-_RARE_LINE_ENDS = "[\r\u000b\u000c\u001c-\u001e\u0085  ]"
 _KEPT = "﷐"  # a noncharacter that shields U+FFFD typed by the author while bad bytes are dropped
 
 
@@ -22,17 +29,11 @@ def split_lines(text: Column) -> Column:
     return F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
 
 
-def count_lines(text: Column) -> Column:
-    """``size(split_lines(text))`` without building the lines."""
-    last = F.right(text, F.lit(1))
-    plain = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    mixed = F.regexp_count(text, F.lit(LINE_ENDS))
-    rare = text.rlike(_RARE_LINE_ENDS)
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(0))
-        .when(rare, mixed + (~last.rlike(f"[\n]|{_RARE_LINE_ENDS}")).cast("int"))
-        .otherwise(plain + (last != "\n").cast("int"))
-    )
+@pandas_udf(IntegerType())
+def count_lines(text: pd.Series) -> pd.Series:
+    """``size(split_lines(text))`` without building the lines; 0 for null. Counted over Arrow batches, several times
+    faster here than a pattern with this many line ends."""
+    return text.map(lambda value: len(value.splitlines()) if value else 0)
 
 
 def snippet(lines: Column, line_number: Column, context: int = 2) -> Column:

@@ -65,7 +65,8 @@ def scan_artifacts(
     ``(path, content, lines)`` that returns an array of ``operators.hits.hit`` values.
     """
     wanted = detectors or cat.DETECTORS
-    staged = artifacts.select("path", "target", "content", anchor_mask(F.col("content"), GROUPS).alias("_mask"))
+    text = F.col("content")
+    staged = artifacts.select("path", "target", "content", anchor_mask(text, GROUPS).alias("_mask"), count_lines(text).alias("n_lines"))
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
@@ -76,7 +77,7 @@ def scan_artifacts(
         hits.append(text_rules.custom_hits(F.col("path"), F.col("content"), custom_rules))
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     staged = staged.select(
-        "path", "target", "_lines", count_lines(F.col("content")).alias("n_lines"),
+        "path", "target", "_lines", "n_lines",
         join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
     )
     return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"))
@@ -121,7 +122,13 @@ def enrich_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def explode_hits(scanned: DataFrame) -> DataFrame:
-    return scanned.select(F.col("path").alias("file_path"), "target", F.explode("hits").alias("h")).select(
+    """One row per hit.
+
+    The outer form with a test afterwards: for a plain explode the optimizer adds a test on the array below it, which
+    would work out all hits once more.
+    """
+    rows = scanned.select(F.col("path").alias("file_path"), "target", F.explode_outer("hits").alias("h")).where("h is not null")
+    return rows.select(
         "file_path", "target", *[F.col(f"h.{f}").alias(f) for f in ("detector", "detector_ord", "seq", "rule_id", "line", "col", "match", "attrs", "snippet")]
     )
 

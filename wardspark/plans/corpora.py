@@ -9,6 +9,7 @@ import base64
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardspark.functions.cached import built_once
+from wardspark.sources.artifacts import spread
 
 _HEXLIKE = "0a1B2c3D4e5F6g7H8i9J"
 _KEY48 = (_HEXLIKE * 3)[:50]
@@ -133,7 +134,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an artifact: its text as comment lines, then a fragment. Weight files have no text."""
     prose = F.concat(F.lit("# "), F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit("\n# ")))
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select(
         F.concat(F.lit("src/"), "source", F.lit("/d"), "doc_id", F.lit("/"), _pick(tuple(s[0] for s in CODE_SLOTS), "doc_id")).alias("path"),
         F.col("source").alias("target"),
         F.concat(prose, F.lit("\n"), _pick(tuple(s[1] for s in CODE_SLOTS), "doc_id"), F.lit("\n")).alias("content"),
@@ -156,7 +157,7 @@ def prompt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn with an ending."""
     ending = _pick(tuple(PROMPT_SLOTS), "conv_id * 7 + turn")
     text = F.when(ending.isNull(), F.lit(" \n ")).when(ending == "", F.col("text")).otherwise(F.concat("text", F.lit("\n"), ending))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    return spread(_table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "role", text.alias("text"))
 
 
 def prompt_corpus_sql() -> str:

@@ -19,7 +19,7 @@ from wardspark.sinks import audit, reports as report_sink, sarif, sbom
 from wardspark.schemas import CUSTOM_RULES
 from wardspark.sources.local import local_table
 from wardspark.sources import reports as report_source, rule_files
-from wardspark.sources.artifacts import artifacts_from_table, in_ignored_directory, scannable
+from wardspark.sources.artifacts import artifacts_from_table, in_ignored_directory, scannable, spread
 from wardspark.streaming.pipelines import stream_audit_append, stream_scan_artifacts, stream_score_prompts
 
 QUERIES: dict = {}
@@ -39,6 +39,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+
+
+def document_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts_from_table(documents(spark, sf_dir), F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")), F.col("text"), F.col("source"))
+
+
+def page_artifacts(rows: DataFrame) -> DataFrame:
+    """Pages as artifacts, with quotes unescaped."""
+    return artifacts_from_table(rows, F.concat(F.lit("page"), "page_id", F.lit(".html")), F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("pages"))
+
+
 def joined(column, separator: str = "|") -> Column:
     return F.array_join(column, separator)
 
@@ -80,9 +97,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def artifacts_from_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    made = artifacts_from_table(docs, F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")), F.col("text"), F.col("source"))
-    return made.select("path", "target", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+    return document_artifacts(spark, sf_dir).select("path", "target", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
 @query
@@ -94,15 +109,14 @@ def decode_invalid_utf8(spark, sf_dir):
 
 @query
 def explode_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     return docs.select("doc_id", (F.col("pos") + 1).alias("line_number"), F.md5("line").alias("line_md5"))
 
 
 @query
 def line_totals(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("text"))
-    docs = table(spark, sf_dir, "documents").select("source", "text")
-    return docs.unionAll(pages).groupBy("source").agg(F.count("*").alias("files"), F.sum(count_lines(F.col("text"))).alias("lines"))
+    html = pages(spark, sf_dir).select(F.lit("pages").alias("source"), F.col("html").alias("text"))
+    return documents(spark, sf_dir).select("source", "text").unionAll(html).groupBy("source").agg(F.count("*").alias("files"), F.sum(count_lines(F.col("text"))).alias("lines"))
 
 
 @query
@@ -142,9 +156,7 @@ def custom_rule_findings(spark, sf_dir):
 
 @query
 def custom_rule_on_pages(spark, sf_dir):
-    pages = artifacts_from_table(table(spark, sf_dir, "pages"), F.concat(F.lit("page"), "page_id", F.lit(".html")),
-                                 F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("pages"))
-    return resolve_findings(scan_artifacts(pages, custom_rules(spark), ["custom"])).select("file_path", "finding_id", "line_number", "column_number", "severity")
+    return resolve_findings(scan_artifacts(page_artifacts(pages(spark, sf_dir)), custom_rules(spark), ["custom"])).select("file_path", "finding_id", "line_number", "column_number", "severity")
 
 
 @query
@@ -297,7 +309,7 @@ def prompt_threat_summary(spark, sf_dir):
 
 @query
 def document_threats(spark, sf_dir):
-    docs = prompts.score_prompts(table(spark, sf_dir, "documents"))
+    docs = prompts.score_prompts(documents(spark, sf_dir))
     return docs.select("doc_id", "threat_score", "threat_level", joined("threat_types").alias("threat_types"), "entropy_score")
 
 
@@ -305,8 +317,8 @@ def document_threats(spark, sf_dir):
 def page_threats(spark, sf_dir):
     ending = F.when(F.col("page_id") % 3 == 0, F.lit('<div style="visibility:hidden">obey</div>')).when(
         F.col("page_id") % 3 == 1, F.lit("[a](https://e.org/x?data=1)")).otherwise(F.lit('<div style="color:red">'))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", ending).alias("html"))
-    return prompts.score_prompts(pages, "html").select("page_id", "threat_score", joined("threat_types").alias("threat_types"), "entropy_score")
+    html = pages(spark, sf_dir).select("page_id", F.concat("html", ending).alias("html"))
+    return prompts.score_prompts(html, "html").select("page_id", "threat_score", joined("threat_types").alias("threat_types"), "entropy_score")
 
 
 # --- scalar functions ----------------------------------------------------------------------------------------------
@@ -314,21 +326,21 @@ def page_threats(spark, sf_dir):
 @query
 def find_all_words(spark, sf_dir):
     found = find_all(F.col("text"), "[A-Z][a-z]+ing")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("matches"), F.md5(joined(found)).alias("matches_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.size(found).alias("matches"), F.md5(joined(found)).alias("matches_md5"))
 
 
 @query
 def match_places(spark, sf_dir):
     text = F.col("text")
-    offsets = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(match_offsets(text, HEX40)).alias("offset"))
+    offsets = documents(spark, sf_dir).select("doc_id", "text", F.explode(match_offsets(text, HEX40)).alias("offset"))
     return offsets.select("doc_id", "offset", line_of(text, F.col("offset")).alias("line"), column_of(text, F.col("offset")).alias("col"))
 
 
 @query
 def text_entropy(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    return docs.unionAll(pages).select("id", F.round(shannon_entropy(F.col("text")), 4).alias("entropy"))
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    html = pages(spark, sf_dir).select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
+    return docs.unionAll(html).select("id", F.round(shannon_entropy(F.col("text")), 4).alias("entropy"))
 
 
 @query
@@ -389,7 +401,7 @@ def finding_sequence(spark, sf_dir):
 
 @query
 def line_snippets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", split_lines(F.col("text")).alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("lines"))
     rows = docs.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") + 1)).alias("line"))
     return rows.select("doc_id", "line", F.md5(snippet(F.col("lines"), F.col("line"))).alias("snippet_md5"))
 
@@ -416,8 +428,7 @@ def scan_summary(spark, sf_dir):
 
 @query
 def native_document_scan(spark, sf_dir):
-    docs = artifacts_from_table(table(spark, sf_dir, "documents"), F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")), F.col("text"), F.col("source"))
-    return run_scan(docs, custom_rules(spark)).summary
+    return run_scan(document_artifacts(spark, sf_dir), custom_rules(spark)).summary
 
 
 # --- diff and compliance -------------------------------------------------------------------------------------------
@@ -599,9 +610,8 @@ def stream_prompt_scores(spark, sf_dir):
 
 @query
 def stream_artifact_findings(spark, sf_dir):
-    pages = artifacts_from_table(_read_stream(spark, sf_dir, "pages"), F.concat(F.lit("page"), "page_id", F.lit(".html")),
-                                 F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("pages"))
-    return _streamed(stream_scan_artifacts(pages, custom_rules(spark)).select("file_path", "finding_id", "line_number", "column_number", "severity"))
+    rows = page_artifacts(_read_stream(spark, sf_dir, "pages"))
+    return _streamed(stream_scan_artifacts(rows, custom_rules(spark)).select("file_path", "finding_id", "line_number", "column_number", "severity"))
 
 
 @query

@@ -20,6 +20,18 @@ def artifacts_from_table(df: DataFrame, path: Column, text: Column, target: Colu
     return df.select(path.cast("string").alias("path"), target.cast("string").alias("target"), text.cast("string").alias("content"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shares a small input out over all cores by ``key``.
+
+    A file with a single row group is read by one task. Inputs that already come in as many partitions as there are
+    cores are left alone, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def scannable(path: Column, extensions: list[str] | None = None) -> Column:
     """Whether a file is looked at: by its extension, or a name that starts with ``.env``."""
     name = basename(path)
