@@ -3,7 +3,7 @@
 import os
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,32 +73,40 @@ def read_artifacts(spark: SparkSession, root: str, extensions: list[str] | None
             opened.append(directory)
             waiting.extend(_subdirectories(directory))
         shares = [(d, False) for d in opened] + [(d, True) for d in waiting]
-        listed = spark.createDataFrame(shares, "directory string, deep boolean").repartition(max(1, len(shares))).mapInPandas(_list_files, "path string")
+        listed = spark.createDataFrame(shares, "directory string, deep boolean").repartition(max(1, len(shares))).mapInArrow(_list_files, "path string")
         listed = listed.where(scannable(F.col("path"), extensions)).repartition(wanted_tasks, "path")
     content = F.when(~F.lower(suffix(F.col("path"))).isin(cat.BINARY_EXTENSIONS), decode_text(F.col("bytes")))
-    return listed.mapInPandas(_read_files, "path string, bytes binary").select("path", F.lit(root).alias("target"), content.alias("content"))
+    return listed.mapInArrow(_read_files, "path string, bytes binary").select("path", F.lit(root).alias("target"), content.alias("content"))
 
 
 def _list_files(batches):
     for batch in batches:
-        for directory, deep in zip(batch["directory"], batch["deep"]):
+        for directory, deep in zip(batch.column("directory").to_pylist(), batch.column("deep").to_pylist()):
             for folder, subfolders, files in os.walk(directory):
                 subfolders[:] = [d for d in subfolders if _entered(d)] if deep else []
-                yield pd.DataFrame({"path": [os.path.join(folder, f) for f in files]})
+                yield pa.RecordBatch.from_arrays([pa.array([os.path.join(folder, f) for f in files], pa.string())], ["path"])
 
 
 def _read_files(batches):
-    rows, held = [], 0
+    rows = lambda paths, data: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(data, pa.binary())], ["path", "bytes"])
+    paths, contents, held = [], [], 0
     for batch in batches:
-        for path in batch["path"]:
-            binary = os.path.splitext(path)[1].lower() in cat.BINARY_EXTENSIONS
-            try:
-                data = None if binary else open(path, "rb").read()
-            except OSError:
-                data = None  # counted as a file, scanned by name only
-            rows.append((path, data))
-            held += len(data or b"")
+        for path in batch.column("path").to_pylist():
+            paths.append(path)
+            contents.append(_bytes_of(path))
+            held += len(contents[-1] or b"")
             if held > _BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=["path", "bytes"])
-                rows, held = [], 0
-    yield pd.DataFrame(rows, columns=["path", "bytes"])
+                yield rows(paths, contents)
+                paths, contents, held = [], [], 0
+    yield rows(paths, contents)
+
+
+def _bytes_of(path: str) -> bytes | None:
+    """None for weight files, and for files that cannot be read: both are scanned by name only."""
+    if os.path.splitext(path)[1].lower() in cat.BINARY_EXTENSIONS:
+        return None
+    try:
+        with open(path, "rb") as handle:
+            return handle.read()
+    except OSError:
+        return None
