@@ -48,7 +48,8 @@ def _token(char: str) -> str:
 
 def marked(text: Column, pattern: str) -> Column:
     """The text with a mark put before every match; marks already present are replaced first."""
-    return F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, MARK + "$0")
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
+    return F.regexp_replace(clean, pattern, MARK + "$0")
 
 
 def places(marked_text: Column, matches: Column) -> Column:

@@ -4,6 +4,8 @@
 content onward. ``resolve_findings`` turns the arrays into the findings table.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
@@ -45,6 +47,11 @@ def _detector_hits(name: str) -> list[Column]:
     return text_rules.model_hits(path, content)
 
 
+@built_once
+def _custom_hits(rules: str) -> Column:
+    return text_rules.custom_hits(F.col("path"), F.col("content"), json.loads(rules))
+
+
 @built_once
 def _placed_hits() -> Column:
     return F.transform(
@@ -74,7 +81,7 @@ def scan_artifacts(
     staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>")))
     hits = [h for name in wanted if name != "custom" for h in _detector_hits(name)]
     if "custom" in wanted and custom_rules:
-        hits.append(text_rules.custom_hits(F.col("path"), F.col("content"), custom_rules))
+        hits.append(_custom_hits(json.dumps(custom_rules)))
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     staged = staged.select(
         "path", "target", "_lines", "n_lines",

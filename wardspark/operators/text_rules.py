@@ -15,16 +15,18 @@ SSL_GROUP = [flag.lower() for flag in cat.SSL_FLAGS]
 _SHOWN = 80
 
 
-def _matched(rule: dict, order: int, content: Column, pattern: str) -> Column:
-    return F.struct(
-        F.lit(rule["rule_id"]).alias("rule_id"), F.lit(order).alias("order"),
+def _matched(rule_id: str, order: int, content: Column, pattern: str, possible: Column) -> Column:
+    """The marked text and the matches of a pattern; null without a match, which a first look settles."""
+    row = F.struct(
+        F.lit(rule_id).alias("rule_id"), F.lit(order).alias("order"),
         marked(content, pattern).alias("marked"), find_all(content, pattern).alias("matches"),
     )
+    return F.when(possible & content.rlike(pattern), row)
 
 
 def _pattern_hits(detector: str, rules: list[dict], content: Column, mask: Column, first_bit: int) -> Column:
     found = F.array_compact(F.array(*[
-        F.when(has_bit(mask, first_bit + i), _matched(r, i, content, java_pattern(r["pattern"], True, r["dotall"]))) for i, r in enumerate(rules)
+        _matched(r["rule_id"], i, content, java_pattern(r["pattern"], True, r["dotall"]), has_bit(mask, first_bit + i)) for i, r in enumerate(rules)
     ]))
     return F.flatten(F.transform(found, lambda y: F.transform(
         places(y["marked"], y["matches"]),
@@ -81,12 +83,9 @@ def custom_hits(path: Column, content: Column, rules: list[dict]) -> Column:
     fields = ("name", "category", "severity", "message", "remediation", "cwe", "owasp")
 
     def one(order: int, rule: dict) -> Column:
-        row = F.struct(
-            _matched({"rule_id": rule["id"]}, order, content, "(?dU)" + rule["pattern"]).alias("m"),
-            *[F.lit(rule[f]).cast("string").alias(f) for f in fields],
-        )
-        wanted = content.isNotNull()
-        return F.when(wanted & ext.isin(*rule["file_extensions"]) if rule["file_extensions"] else wanted, row)
+        wanted = ext.isin(*rule["file_extensions"]) if rule["file_extensions"] else F.lit(True)
+        matched = _matched(rule["id"], order, content, "(?dU)" + rule["pattern"], wanted)
+        return F.struct(matched.alias("m"), *[F.lit(rule[f]).cast("string").alias(f) for f in fields])
 
     def made(y: Column, m: Column) -> Column:
         default = F.concat(F.lit("Custom rule "), y["m"]["rule_id"], F.lit(" matched at line "), m["line"].cast("string"), F.lit("."))
@@ -96,5 +95,5 @@ def custom_hits(path: Column, content: Column, rules: list[dict]) -> Column:
         }
         return hit("custom", y["m"]["rule_id"], m["line"], m["col"], [y["m"]["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN), attrs)
 
-    found = F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))
+    found = F.filter(F.array(*[one(i, r) for i, r in enumerate(rules)]), lambda y: y["m"].isNotNull())
     return F.flatten(F.transform(found, lambda y: F.transform(places(y["m"]["marked"], y["m"]["matches"]), lambda m: made(y, m))))

@@ -131,12 +131,12 @@ def compile_custom_rules(rules: DataFrame) -> list[dict]:
     A rule table is configuration, so its rows are read by the driver and each pattern becomes a literal of the plan:
     Spark then compiles it once per task instead of once per row.
     """
-    spark, compiled = rules.sparkSession, []
+    blank, compiled = local_table(rules.sparkSession, [{"t": ""}], "t string"), []
     for row in normalize_custom_rules(rules).collect():
         rule = row.asDict() | {"pattern": to_java(row["pattern"])}
         try:
             re.compile(row["pattern"])
-            spark.range(1).select(F.lit("").rlike("(?dU)" + rule["pattern"])).collect()
+            blank.select(F.col("t").rlike("(?dU)" + rule["pattern"])).collect()
         except (re.error, PySparkException):
             continue
         compiled.append(rule)
