@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
-from wardspark.functions.cached import built_once
 from wardspark.functions.anchors import anchor_mask, has_bit
+from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
 from wardspark.functions.text import count_lines, snippet, split_lines
 from wardspark.operators import code_rules, line_rules, supply, text_rules
@@ -117,15 +117,21 @@ def rule_table(spark, rows: list[dict] | None = None) -> DataFrame:
 
 def enrich_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Fills title, severity, standards and texts: the hit's own value first, then the catalogue's, then a default."""
-    named = rules.select("rule_id", *[F.col(c).alias(f"_{c}") for c in ("title", "category", "severity", "cwe_id", "owasp_id", "description", "remediation")])
+    named, filled = _enrichment()
+    return hits.join(rules.select(*named), "rule_id", "left").select(*hits.columns, *filled)
+
+
+@built_once
+def _enrichment() -> tuple[list[Column], list[Column]]:
+    """The catalogue columns to join, and the columns to fill from hit and catalogue."""
+    fields = ("title", "category", "severity", "cwe_id", "owasp_id", "description", "remediation")
     own = lambda field: F.try_element_at(F.col("attrs"), F.lit(field))
     pick = lambda field, default: F.coalesce(own(field), F.col(f"_{field}"), F.lit(default)).alias(field)
-    return hits.join(named, "rule_id", "left").select(
-        *hits.columns,
+    return [F.col("rule_id"), *[F.col(c).alias(f"_{c}") for c in fields]], [
         pick("title", "Unnamed finding"), pick("category", "Hardcoded AI Secrets & Credentials"), pick("severity", "CRITICAL"),
         pick("cwe_id", "CWE-798"), pick("owasp_id", "LLM06:2025-Sensitive-Info-Disclosure"),
         pick("description", ""), pick("remediation", "Remove the hard-coded secret."),
-    )
+    ]
 
 
 def explode_hits(scanned: DataFrame) -> DataFrame:
@@ -134,10 +140,8 @@ def explode_hits(scanned: DataFrame) -> DataFrame:
     The outer form with a test afterwards: for a plain explode the optimizer adds a test on the array below it, which
     would work out all hits once more.
     """
-    rows = scanned.select(F.col("path").alias("file_path"), "target", F.explode_outer("hits").alias("h")).where("h is not null")
-    return rows.select(
-        "file_path", "target", *[F.col(f"h.{f}").alias(f) for f in ("detector", "detector_ord", "seq", "rule_id", "line", "col", "match", "attrs", "snippet")]
-    )
+    rows = scanned.selectExpr("path as file_path", "target", "explode_outer(hits) as h").where("h is not null")
+    return rows.select("file_path", "target", "h.*")
 
 
 @built_once
@@ -161,18 +165,11 @@ def _advisory_attrs() -> Column:
 
 def _with_advisories(hits: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependency hits become findings where an advisory covers them and vanish where none does."""
-    attr = lambda name: F.try_element_at(F.col("attrs"), F.lit(name))
-    supplied, a = F.col("detector") == "supply", F.col("advisory")
-    met = supply.match_advisories(
-        hits.withColumn("package", F.when(supplied, attr("package"))).withColumn("version", F.when(supplied, attr("version"))),
-        advisories, "left",
-    )
-    return (
-        met.where(~supplied | a.isNotNull())
-        .withColumn("attrs", F.when(supplied, _advisory_attrs()).otherwise(F.col("attrs")))
-        .withColumn("rule_id", F.when(supplied, F.concat(F.lit("SC-"), F.replace(a["cve"], F.lit("-"), F.lit("")))).otherwise(F.col("rule_id")))
-        .drop("package", "version", "advisory")
-    )
+    named = hits.selectExpr("*", *[f"case when detector = 'supply' then try_element_at(attrs, '{n}') end as {n}" for n in ("package", "version")])
+    met = supply.match_advisories(named, advisories, "left").where("detector <> 'supply' or advisory is not null")
+    return met.withColumn("attrs", F.when(F.col("detector") == "supply", _advisory_attrs()).otherwise(F.col("attrs"))).withColumn(
+        "rule_id", F.expr("case when detector = 'supply' then concat('SC-', replace(advisory.cve, '-', '')) else rule_id end")
+    ).drop("package", "version", "advisory")
 
 
 def as_findings(enriched: DataFrame) -> DataFrame:

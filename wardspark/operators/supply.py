@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.advisories import ADVISORIES
+from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import normalize_package
 from wardspark.functions.text import basename, split_lines, strip
 from wardspark.functions.versions import version_key
@@ -74,6 +75,11 @@ def advisory_table(spark: SparkSession, rows: list[dict] | None = None) -> DataF
     return local_table(spark, rows or ADVISORIES, ADVISORY_COLUMNS)
 
 
+@built_once
+def _key_of(column: str) -> Column:
+    return version_key(F.col(column))
+
+
 def match_advisories(deps: DataFrame, advisories: DataFrame, how: str = "inner") -> DataFrame:
     """Dependencies with the first advisory that covers their version, as struct ``advisory``.
 
@@ -81,14 +87,14 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, how: str = "inner")
     by package first, so a dependency meets one row and is never multiplied.
     """
     ordered = (
-        advisories.withColumn("_bound", version_key(F.col("vulnerable_below")))
+        advisories.withColumn("_bound", _key_of("vulnerable_below"))
         .groupBy(F.lower("package").alias("_package"))
         .agg(F.array_sort(F.collect_list(F.struct("adv_ord", "vulnerable_below", "cve", "severity", "cwe", "owasp", "description", "remediation", "_bound"))).alias("_advisories"))
     )
     # Rows without a package meet nothing; apart, they do not pile up on one task should the join have to shuffle.
     apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*deps.columns[:2]), F.lit(1024)).cast("string"))
     keyed = deps.withColumn("_of", F.coalesce(F.lower("package"), apart))
-    joined = keyed.join(ordered, F.col("_of") == F.col("_package"), how).withColumn("_key", version_key(F.col("version")))
+    joined = keyed.join(ordered, F.col("_of") == F.col("_package"), how).withColumn("_key", _key_of("version"))
     covering = F.filter(
         F.col("_advisories"),
         lambda a: F.col("_key").isNull() | a["_bound"].isNull() | (F.col("_key") < a["_bound"]),
