@@ -22,7 +22,7 @@ def database(sf_dir):
 def test_query_equals_sql(spark, database, sf_dir, name):
     difference, rows, _, _ = check.compare(spark, database, name, sf_dir)
     assert difference is None
-    assert rows > 0 or name == "match_places"  # its pattern first occurs at the next scale
+    assert rows > 0 or name in ("match_places", "stream_artifact_findings")  # their pattern first occurs at the next scale
 
 
 def test_contract():
