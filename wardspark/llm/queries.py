@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wardspark.llm.byte_bpe import encode
 from wardspark.llm.license_scan import license_report, license_scan
 from wardspark.llm.shared import read
+from wardspark.llm.simhash import simhash_dedup
+from wardspark.llm.winnowing import contamination_report, decontaminate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +24,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(license_scan(read(spark, sf_dir, "documents")))
 
 
+@query
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document: shingles of three words, at most two bits apart."""
+    return simhash_dedup(read(spark, sf_dir, "documents"), width=3, distance=2).select("doc_id", "fingerprint", "component_id", "keep")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows shared with the benchmark."""
+    return contamination_report(decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
