@@ -3,20 +3,51 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardspark.llm import toxicity as tox
 from wardspark.llm.byte_bpe import encode
-from wardspark.llm.shared import read, written
+from wardspark.llm.shared import read, text_key, written
+from wardspark.llm.simhash import simhash_dedup
+from wardspark.llm.winnowing import decontaminate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic, learnt from the labels of those at hand."""
+    model = tox.fit(docs, read(spark, sf_dir, "labels"))
+    return tox.score(docs, model, tuple(COLUMNS), score_col="_score").where("_score < 0.5").select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that of the smallest id. Rows equal in id and text count once."""
+    kept = simhash_dedup(docs).where("keep").select("doc_id", "text_key").distinct()
+    return _matching(docs, kept, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_key").distinct()
+    return _matching(docs, found, "left_anti").select(*COLUMNS)
+
+
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents with or without a partner of the same id and text; null ids are partners too."""
+    rows = rows.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    return keyed.join(rows, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), how)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digests."""
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", keep_civil),
+    ("simhash", keep_one_of_each),
+    ("decontamination", keep_uncontaminated),
     ("byte_bpe", tokenize),
 ]
 

@@ -7,6 +7,7 @@ from wardspark.llm.byte_bpe import encode
 from wardspark.llm.license_scan import license_report, license_scan
 from wardspark.llm.shared import read
 from wardspark.llm.simhash import simhash_dedup
+from wardspark.llm.toxicity import toxicity
 from wardspark.llm.winnowing import contamination_report, decontaminate
 
 QUERIES: dict = {}
@@ -30,6 +31,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"), width=3, distance=2).select("doc_id", "fingerprint", "component_id", "keep")
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from at most 20,000 labelled ones."""
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), max_labelled=20_000)
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
