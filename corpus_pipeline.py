@@ -1,5 +1,6 @@
 """From raw documents to token ids: the stages of a training-data pipeline, each written as Parquet and read again."""
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,8 +10,11 @@ from wardspark.llm import toxicity as tox
 from wardspark.llm.byte_bpe import encode
 from wardspark.llm.shared import read, text_key, written
 from wardspark.llm.simhash import simhash_dedup
+from wardspark.llm.surrogates import pseudonymize
 from wardspark.llm.winnowing import decontaminate
 
+#: The key of the surrogates. Whoever has it can work out which surrogate belongs to a known value.
+KEY = os.environ.get("SURROGATE_KEY", "a key for tests").encode()
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,6 +43,12 @@ def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return keyed.join(rows, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), how)
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by surrogates under the key of this run."""
+    kept = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
+    return pseudonymize(docs, KEY, kept).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digests."""
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"), with_ids=True)
@@ -48,6 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", keep_civil),
     ("simhash", keep_one_of_each),
     ("decontamination", keep_uncontaminated),
+    ("surrogates", replace_personal_data),
     ("byte_bpe", tokenize),
 ]
 

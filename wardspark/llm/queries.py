@@ -1,17 +1,22 @@
 """The registered corpus queries: each applies its operator to a whole table, with production parameters."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardspark.llm.byte_bpe import encode
 from wardspark.llm.license_scan import license_report, license_scan
+from wardspark.llm.secret_scan import secret_report, secret_scan
 from wardspark.llm.shared import read
 from wardspark.llm.simhash import simhash_dedup
+from wardspark.llm.surrogates import pseudonymize
+from wardspark.llm.tag_paths import extract
 from wardspark.llm.toxicity import toxicity
 from wardspark.llm.winnowing import contamination_report, decontaminate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Of the registered queries only; a real run brings its own key.
+KEY = b"a key for tests"
 
 
 def query(function):
@@ -37,12 +42,33 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), max_labelled=20_000)
 
 
+@query
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with what the corpus says about their owners."""
+    return secret_report(secret_scan(read(spark, sf_dir, "documents")))
+
+
+@query
+def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced: what was found, and the new text with its digest."""
+    rows = pseudonymize(read(spark, sf_dir, "documents"), KEY, ("doc_id",))
+    counts = [F.size(F.filter("entities", lambda e: e.kind.startswith(kind))).cast("long").alias(f"n_{kind}") for kind in ("email", "iban", "ip", "card", "ssn", "phone", "given", "family")]
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e.kind, e.start.cast("string"), e.end.cast("string"))), ",")
+    return rows.select("doc_id", *counts, spans.alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+
+
 @query
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows shared with the benchmark."""
