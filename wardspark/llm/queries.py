@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardspark.llm.byte_bpe import encode
+from wardspark.llm.cap_filters import vector_dedup
 from wardspark.llm.license_scan import license_report, license_scan
+from wardspark.llm.perspectives import SQL as PERSPECTIVES_SQL, rotate, rotation_report
 from wardspark.llm.secret_scan import secret_report, secret_scan
 from wardspark.llm.shared import read
 from wardspark.llm.simhash import simhash_dedup
@@ -48,12 +50,27 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(secret_scan(read(spark, sf_dir, "documents")))
 
 
+@query
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every vector."""
+    return vector_dedup(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @query
 def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract(read(spark, sf_dir, "pages"))
 
 
+@query
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's view."""
+    return rotation_report(rotate(read(spark, sf_dir, "conversations")))
+
+
+ORACLES["op7_perspectives"] = PERSPECTIVES_SQL
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
