@@ -29,8 +29,9 @@ from wardspark.llm.shared import slices, text_key, written
 
 #: Values drawn again that may be sent to every task.
 SENT = 100_000
-#: How often a value is drawn again; more only happens where a format has no other value.
-DRAWS = 20
+#: How often a value is drawn again at most. From the fifth time on surrogates of addresses and names grow by a letter each
+#: time, since short formats may have no value left.
+DRAWS, LONGER = 20, 4
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLES = {
@@ -162,9 +163,10 @@ def _iban_check(country: str, account: str) -> str:
 @functools.lru_cache(maxsize=100_000)
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of a value, in the same form; ``attempt`` draws another permutation."""
-    tweak = f"{kind}/{attempt}/"
+    tweak, longer = f"{kind}/{attempt}/", "a" * max(0, attempt - LONGER)
     if kind == "email":
         local, _, domain = value.partition("@")
+        local += longer
         labels = domain.split(".")
         return _letters(local, key, tweak) + "@" + ".".join([_letters(label, key, tweak + "label") for label in labels[:-1]] + labels[-1:])
     if kind == "ip":
@@ -188,7 +190,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return country + ":" + _letters(national, key, tweak + country)
     if kind == "ssn":
         return _letters(value, key, tweak)
-    return _letters(value, key, tweak, fixed_last=kind.startswith("given"))
+    return _letters(value[:-1] + longer + value[-1:], key, tweak, fixed_last=kind.startswith("given"))
 
 
 def _dressed(kind: str, original: str, new: str) -> str:
@@ -201,8 +203,8 @@ def _dressed(kind: str, original: str, new: str) -> str:
     if kind in ("card", "ssn", "iban"):
         signs = iter(new)
         return "".join(c if c in " -" else next(signs) for c in original)
-    if len(new) != len(original):  # lower-casing changed the length
-        return new
+    if len(new) != len(original):  # lower-casing changed the length, or the surrogate is longer
+        return new.upper() if original == original.upper() else new.capitalize() if original[0] != original[0].lower() else new
     return "".join(n.upper() if o != o.lower() else n for o, n in zip(original, new))
 
 
