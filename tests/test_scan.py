@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wardspark.operators import code_rules, supply
@@ -11,6 +12,7 @@ from wardspark.operators.hits import hit
 from wardspark.operators.scan import dedup_hits, explode_hits, resolve_findings, scan_artifacts
 from wardspark.plans.pipelines import run_evidence, run_regression, run_scan
 from wardspark.sinks import reports, sarif, sbom
+from wardspark.sinks.parts import with_part
 from wardspark.sources.reports import baseline_findings
 
 KEY = "sk-proj-" + "0a1B2c3D4e" * 5
@@ -100,6 +102,24 @@ def test_in_row_dedup_equals_table_dedup(spark):
     assert explode_hits(in_row).count() == dedup_findings(resolve_findings(scanned)).count()
 
 
+def test_many_signatures_and_unknown_rules(spark):
+    scanned = scan_artifacts(artifacts(spark, ("a.txt", "one two")), detectors=["rag"], signature_rules=[
+        {"id": f"OWN-{i}", "title": "t", "pattern": word, "severity": "LOW", "cwe": "", "owasp": "", "remediation": ""} for i, word in enumerate(["two", "none"])])
+    assert [(r.finding_id, r.title, r.severity, r.column_number) for r in resolve_findings(scanned).collect()] == [("OWN-0-1", "t", "LOW", 5)]
+    nameless = lambda path, content, lines: F.array(hit("custom", "NOBODY-001", F.lit(1), 1, [1, 0, 0]))
+    with pytest.raises(PySparkException, match="NOBODY-001"):
+        resolve_findings(scan_artifacts(artifacts(spark, ("a.txt", "x")), detectors=["model"], extra_detectors=[nameless])).collect()
+
+
+def test_a_target_with_most_findings_is_shared_out(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), F.col("id") % 7)).otherwise("hot").alias("target"), "id")
+    totals = rows.groupBy("target").agg(F.count("*").alias("n"))
+    parted = with_part(rows, totals, [F.col("id")], 500)
+    assert parted.count() == 20_000 and parted.columns == ["target", "id", "part"]
+    sizes = {(r.target, r.part): r["count"] for r in parted.groupBy("target", "part").count().collect()}
+    assert max(sizes.values()) < 700 and len([k for k in sizes if k[0] == "hot"]) == 36
+
+
 def test_many_matches_in_one_artifact(spark):
     text = f"a = '{KEY}'\n" * 3000
     rows = resolve_findings(scan_artifacts(artifacts(spark, ("a.txt", text), ("b.txt", "x " + "hf_" + "aB3" * 12 + " "))))
@@ -214,6 +234,9 @@ def test_sbom(spark, run):
     packages = spark.createDataFrame([("two", "Torch", "2.0"), ("two", "Torch", "2.0"), ("two", "x", None)], "target string, package string, version string")
     docs = {r.target: json.loads(r.document) for r in sbom.sbom_documents(packages, run.findings, "2026-01-01T00:00:00Z").collect()}
     assert docs["two"]["bomFormat"] == "CycloneDX" and {c["purl"] for c in docs["two"]["components"]} == {"pkg:pypi/torch@2.0", "pkg:pypi/x@0.0.0"}
+    parts = [json.loads(r.document) for r in sbom.sbom_documents(packages, run.findings, "2026-01-01T00:00:00Z", max_rows=3, targets=run.summary).collect()]
+    assert len({p["serialNumber"] for p in parts}) == len(parts) > 4
+    assert [p["components"] + p["vulnerabilities"] for p in parts if p["metadata"]["component"]["name"] == "three"] == [[]]
     assert docs["two"]["vulnerabilities"][0]["cwes"] == [95] and len(docs["one"]["vulnerabilities"]) == 16
 
 

@@ -1,7 +1,10 @@
 import json
 import os
+import re
+import warnings
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wardspark.operators.prompts import score_prompts
@@ -10,7 +13,7 @@ from wardspark.plans.pipelines import run_scan
 from wardspark.sinks.audit import append_audit_prompt, append_audit_scan, scan_events
 from wardspark.sources import rule_files
 from wardspark.sources.artifacts import read_artifacts
-from wardspark.sources.reports import read_audit
+from wardspark.sources.reports import load_baseline, read_audit
 from wardspark.streaming.pipelines import stream_audit_append, stream_scan_artifacts, stream_score_prompts
 
 RULES = """
@@ -118,10 +121,58 @@ def test_streams_equal_batch(spark, tmp_path):
     assert score(spark.read.parquet(str(tmp_path / "po"))) == score(score_prompts(prompts))
 
 
-def test_replayed_batch_does_not_double(spark, tmp_path):
+def _audit_stream(spark, folder, checkpoint, schema):
+    events = scan_events(spark.readStream.schema(schema).parquet(str(folder / "in")), F.lit("2026-01-01").cast("timestamp"))
+    stream_audit_append(events, str(folder / "audit"), str(folder / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_audit_streams_add_and_replays_replace(spark, tmp_path):
     summary = spark.createDataFrame([("t", 1, 1, 0, 0, 0, 0, 0, 0, 100.0)], "target string, files long, lines long, critical long, high long, medium long, low long, info long, total long, security_score double")
     summary.write.parquet(str(tmp_path / "in"))
-    for attempt in ("one", "two"):  # a new checkpoint makes the same batch id run again
-        events = scan_events(spark.readStream.schema(summary.schema).parquet(str(tmp_path / "in")), F.lit("2026-01-01").cast("timestamp"))
-        stream_audit_append(events, str(tmp_path / "audit"), str(tmp_path / attempt)).trigger(availableNow=True).start().awaitTermination()
+    _audit_stream(spark, tmp_path, "one", summary.schema)
+    for name in os.listdir(tmp_path / "one" / "commits"):  # as if the stream had stopped before it noted the batch as done
+        os.remove(tmp_path / "one" / "commits" / name)
+    _audit_stream(spark, tmp_path, "one", summary.schema)
     assert read_audit(spark, str(tmp_path / "audit")).count() == 1
+    _audit_stream(spark, tmp_path, "two", summary.schema)
+    assert read_audit(spark, str(tmp_path / "audit")).count() == 2
+    append_audit_scan(summary, str(tmp_path / "audit"))
+    assert read_audit(spark, str(tmp_path / "audit")).count() == 3
+
+
+def test_streams_match_advisories(spark, tmp_path):
+    df = spark.createDataFrame([("requirements.txt", "t", "langchain==0.0.1\nnothing-known==1.0\n")], "path string, target string, content string")
+    df.write.parquet(str(tmp_path / "in"))
+    _run_stream(stream_scan_artifacts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).drop("metadata"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    streamed = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.rule_id, r.line_number) for r in streamed] == [(r.rule_id, r.line_number) for r in run_scan(df).findings.collect()] and len(streamed) == 1
+
+
+def test_rule_files_that_cannot_be_used(spark, tmp_path):
+    path = tmp_path / "wardspark-rules.yaml"
+    for text in ("rules: [", "rules:\n", "rules: 7\n", "- a\n"):
+        path.write_text(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            assert rule_files.load_custom_rules(spark, str(path)) == []
+    table = spark.createDataFrame([("A", "(x"), ("B", None), ("C", "(?P<my_name>x)(?P=my_name)"), ("D", r"(a)(?(1)b|c)")], "id string, pattern string")
+    assert [(r["id"], r["accepted"], r["reason"]) for r in rule_files.check_custom_rules(table)] == [
+        ("A", False, "the pattern does not compile"), ("B", False, "no pattern"), ("C", True, None), ("D", False, "the pattern has no Java form")]
+
+
+@pytest.mark.parametrize("pattern, text", [
+    (r"(?P<user_name>x+)y(?P=user_name)", "xxyxx"), ("[[]x", "[x"), ("x{2", "x{2"), ("(?a)\\w+", "aéb"), ("x{,2}y", "xxy"), ("[]a]+", "]a"), ("[^]&&a]", "b"), (r"a{2,3}\Z", "aaa"), ("{x}", "{x}"), (r"[\]\w[]", "[")])
+def test_python_patterns_in_java(spark, pattern, text):
+    found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract("t", "(?dU)" + rule_files.to_java(pattern), 0)).first()[0]
+    assert found == re.search(pattern, text)[0]
+
+
+def test_indented_baseline(spark, tmp_path):
+    report = {"target_path": "t", "findings": [{"id": "AST-EXEC-001-3", "title": "x", "severity": "HIGH"}, {"id": "B-1", "title": "y", "severity": "LOW"}]}
+    (tmp_path / "a.json").write_text(json.dumps(report, indent=2))
+    assert load_baseline(spark, str(tmp_path / "a.json")).count() == 2
+    (tmp_path / "b.json").write_text(json.dumps(report) + "\n\n" + json.dumps(report) + "\n")
+    assert load_baseline(spark, str(tmp_path / "b.json")).count() == 4
+    (tmp_path / "c.json").write_text("not a report")
+    with pytest.raises(PySparkException):
+        load_baseline(spark, str(tmp_path / "c.json")).collect()

@@ -1,4 +1,4 @@
-"""Which rules can match a text at all, as a bit mask.
+"""Which rules can match a text at all, as bit masks.
 
 Every rule lists anchors: lower-case phrases at least one of which each of its matches contains. One pass over the
 text finds all anchors, and only the patterns whose bit is set need to run. A blank in a phrase stands for any run of
@@ -8,21 +8,18 @@ whitespace, even an empty one.
 import sys
 from itertools import product
 
+import ahocorasick
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from wardspark.functions.regex import phrase_pattern
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Groups in one mask: the bits of a bigint without its sign.
+_WIDTH = 63
+
 # Characters that lower-casing leaves behind for letters that a case-insensitive pattern treats as ASCII i, s or k.
 FOLDING = ["ı", "ſ", "̇"]
 
@@ -43,14 +40,12 @@ def _bits(groups: list[list[str]]) -> dict[str, int]:
 
 
 def anchor_mask(text: Column, groups: list[list[str]]) -> Column:
-    """A bigint whose bit ``i`` is set if the text may contain an anchor of ``groups[i]``; 0 for null."""
-    if len(groups) > 63:
-        raise ValueError("a mask holds at most 63 groups")
-    if ahocorasick is None:
-        low = F.lower(text)
-        flags = [F.when(low.rlike(phrase_pattern(list(g) + FOLDING)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, g in enumerate(groups)]
-        return sum(flags[1:], flags[0])
+    """An array of bigints, one for every 63 groups: bit ``i % 63`` of element ``i // 63`` is set if the text may contain an
+    anchor of ``groups[i]``; none is set for null."""
+    return F.array(*[_mask(text, groups[i : i + _WIDTH]) for i in range(0, max(1, len(groups)), _WIDTH)])
 
+
+def _mask(text: Column, groups: list[list[str]]) -> Column:
     bits, built = _bits(groups), []
 
     @pandas_udf(LongType())
@@ -74,4 +69,8 @@ def anchor_mask(text: Column, groups: list[list[str]]) -> Column:
 
 
 def has_bit(mask: Column, index: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << index).cast("bigint")) != 0
+    return F.get(mask, F.lit(index // _WIDTH)).bitwiseAND(F.lit(1 << index % _WIDTH).cast("bigint")) != 0
+
+
+def any_bit(mask: Column) -> Column:
+    return F.exists(mask, lambda word: word != 0)

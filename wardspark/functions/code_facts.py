@@ -37,23 +37,27 @@ def _source(node) -> str:
 
 
 def _dotted(func) -> str:
-    names = []
-    while isinstance(func, ast.Attribute):
-        names.append(func.attr)
-        func = func.value
+    """The called name as written: a plain name, or attributes behind whatever they belong to; that part is left out unless it is a name."""
     if isinstance(func, ast.Name):
-        names.append(func.id)
-    return ".".join(reversed(names))
+        return func.id
+    if not isinstance(func, ast.Attribute):
+        return ""
+    owner = _dotted(func.value)
+    return f"{owner}.{func.attr}" if owner else func.attr
 
 
 def facts_of(code: str | None) -> dict | None:
-    """The facts of one source text; None where it does not parse."""
-    try:
-        pending = [ast.parse(code)] if code is not None else []
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    """The facts of one source text; None where it is no Python, or nested too deeply. Running out of memory fails the task."""
+    if code is None:
         return None
-    if not pending:
+    try:
+        return _facts(ast.parse(code))
+    except (SyntaxError, ValueError, RecursionError):
         return None
+
+
+def _facts(tree: ast.AST) -> dict:
+    pending = [tree]
     calls, imports, assigns, seq = [], [], [], 0
     while pending:  # children are stacked in reverse, so nodes come in reading order
         node = pending.pop()

@@ -22,30 +22,6 @@ def any_contains(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
-def phrase_pattern(phrases: list[str]) -> str:
-    """One pattern for many phrases, sharing prefixes so that a text position tries few branches."""
-    tree: dict = {}
-    for phrase in phrases:
-        node = tree
-        for char in phrase:
-            node = node.setdefault(char, {})
-        node[""] = {}
-
-    def render(node: dict) -> str:
-        if "" in node:  # a shorter phrase ends here, so longer ones add nothing
-            return ""
-        branches = [_token(c) + render(child) for c, child in sorted(node.items())]
-        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-
-    return "(?U)" + render(tree)
-
-
-def _token(char: str) -> str:
-    if char == " ":
-        return r"\s*"
-    return char if char.isalnum() or char in "_<>=:'\"/,-" else "\\" + char
-
-
 def marked(text: Column, pattern: str) -> Column:
     """The text with a mark put before every match; marks already present are replaced first."""
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
@@ -83,6 +59,13 @@ def match_positions(text: Column, pattern: str) -> Column:
     return places(marked(text, pattern), find_all(text, pattern))
 
 
+def match_places(text: Column, pattern: str) -> Column:
+    """``array<struct<offset, line, col, text>>`` of all matches, in one pass over the text."""
+    mark = marked(text, pattern)
+    both = F.arrays_zip(_starts(mark).alias("offset"), places(mark, find_all(text, pattern)).alias("place"))
+    return F.transform(both, lambda m: F.struct(m["offset"].alias("offset"), m["place"]["line"].alias("line"), m["place"]["col"].alias("col"), m["place"]["text"].alias("text")))
+
+
 def match_offsets(text: Column, pattern: str) -> Column:
     """Start offsets of all matches, counted from 0."""
     return _starts(marked(text, pattern))

@@ -25,8 +25,8 @@ def decode_text(content: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end adds no empty line."""
-    parts = F.split(text, LINE_ENDS, -1)
-    return F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
+    whole = lambda parts: F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
+    return F.get(F.transform(F.array(F.split(text, LINE_ENDS, -1)), whole), 0)  # the text is split once
 
 
 @pandas_udf(IntegerType())

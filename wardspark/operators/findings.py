@@ -1,5 +1,7 @@
 """What is done with findings: de-duplication, filters, order, scores and gates."""
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardspark.catalog.severity import PENALTIES, SEVERITY_NAMES, WEIGHTS
@@ -16,8 +18,8 @@ def severity_weight(severity: Column) -> Column:
 def dedup_findings(findings: DataFrame, by: str = "family") -> DataFrame:
     """The first finding per artifact, line and rule family (or rule, with ``by="rule_id"``).
 
-    First means detector order, then the detector's own order. An aggregate rather than a window, so that each
-    task shrinks its share before the shuffle, however many findings one artifact has.
+    First means detector order, then the detector's own order. For tables of findings from anywhere; a scan drops its
+    duplicates inside the row, without this shuffle (``scan.dedup_hits``).
     """
     keys = ["target", "file_path", "line_number", by]
     rest = [c for c in findings.columns if c not in keys]
@@ -82,7 +84,9 @@ def scan_summary(scanned: DataFrame, findings: DataFrame) -> DataFrame:
 
 def policy_gate(summary: DataFrame, fail_on: str | None = None) -> DataFrame:
     """Status per target: 3 if any finding reaches ``fail_on``, else 2 with critical, 1 with high findings, 0 otherwise."""
-    bound = WEIGHTS[fail_on.upper()] if fail_on else None
+    bound = WEIGHTS.get(fail_on.upper()) if fail_on else None
+    if fail_on and bound is None:
+        warnings.warn(f"unknown severity {fail_on!r}: the gate looks at critical and high findings only", stacklevel=2)
     reached = [F.col(s.lower()) for s in SEVERITY_NAMES if bound is not None and WEIGHTS[s] >= bound]
     violations = sum(reached[1:], reached[0]) if reached else F.lit(0)
     status = F.when(violations > 0, 3).when(F.col("critical") > 0, 2).when(F.col("high") > 0, 1).otherwise(0)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import prompt_signatures as sig
-from wardspark.functions.anchors import anchor_mask, has_bit
+from wardspark.functions.anchors import anchor_mask, any_bit, has_bit
 from wardspark.functions.cached import built_once
 from wardspark.functions.entropy import shannon_entropy
 from wardspark.functions.payloads import obfuscation_evidence, sanitize_prompt
@@ -52,7 +52,7 @@ def signature_hits(text: Column, mask: Column, signatures: list[dict]) -> Column
     matched = F.filter(F.array(*hits), lambda h: F.size(h["evidence"]) > 0)
     if not all(s.get("anchors") for s in signatures):
         return matched
-    return F.when(mask != 0, matched).otherwise(F.array().cast(HITS))
+    return F.when(any_bit(mask), matched).otherwise(F.array().cast(HITS))
 
 
 def score_prompts(df: DataFrame, text_col: str = "text", signatures: list[dict] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
-from wardspark.functions.anchors import anchor_mask, has_bit
+from wardspark.functions.anchors import any_bit, anchor_mask, has_bit
 from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
 from wardspark.functions.text import count_lines, snippet, split_lines
@@ -54,10 +54,9 @@ def _custom_hits(rules: str) -> Column:
 
 @built_once
 def _placed_hits() -> Column:
-    return F.transform(
-        F.col("_hits"),
-        lambda h: h.withField("snippet", F.coalesce(h["snippet"], snippet(F.col("_lines"), h["line"]))),
-    )
+    """Hits with their snippets; a text is split for them only if it has hits, and once."""
+    placed = lambda lines: F.transform(F.col("_hits"), lambda h: h.withField("snippet", F.coalesce(h["snippet"], snippet(lines, h["line"]))))
+    return F.when(F.size("_hits") > 0, F.get(F.transform(F.array(split_lines(F.coalesce("content", F.lit("")))), placed), 0)).otherwise(F.col("_hits"))
 
 
 def scan_artifacts(
@@ -65,10 +64,12 @@ def scan_artifacts(
     custom_rules: list[dict] | None = None,
     detectors: list[str] | None = None,
     extra_detectors: list | None = None,
+    signature_rules: list[dict] | None = None,
 ) -> DataFrame:
     """One row per artifact: ``path, target, n_lines, hits``.
 
-    ``detectors`` picks among the built-in ones. Each of ``extra_detectors`` is a function of the columns
+    ``detectors`` picks among the built-in ones. ``signature_rules``, as ``load_signature_rules`` reads them, take the place of
+    the built-in retrieval patterns. Each of ``extra_detectors`` is a function of the columns
     ``(path, content, lines)`` that returns an array of ``operators.hits.hit`` values.
     """
     wanted = detectors or cat.DETECTORS
@@ -77,23 +78,29 @@ def scan_artifacts(
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
-    needs_lines = (F.col("_mask") != 0) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(custom_rules or extra_detectors))
+    needs_lines = any_bit(F.col("_mask")) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(extra_detectors))
     staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>")))
-    hits = [h for name in wanted if name != "custom" for h in _detector_hits(name)]
+    hits = [h for name in wanted if name != "custom" and not (name == "rag" and signature_rules) for h in _detector_hits(name)]
+    if "rag" in wanted and signature_rules:
+        hits += [text_rules.signature_hits(F.col("content"), signature_rules), _detector_hits("rag")[1]]
     if "custom" in wanted and custom_rules:
         hits.append(_custom_hits(json.dumps(custom_rules)))
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     staged = staged.select(
-        "path", "target", "_lines", "n_lines",
+        "path", "target", "content", "n_lines",
         join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
     )
     return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"))
 
 
-def dedup_hits(hits: Column) -> Column:
-    """The first hit of every rule family on every line, decided inside the row."""
+def dedup_hits(hits: Column, by: str = "family") -> Column:
+    """The first hit of every rule family (or rule, with ``by="rule_id"``) on every line, decided inside the row.
+
+    Declared dependencies stay apart from rules that others named alike: whether they are findings is not known yet.
+    """
+    group = lambda h: rule_family(h["rule_id"]) if by == "family" else h["rule_id"]
     keyed = F.array_sort(F.transform(hits, lambda h: F.struct(
-        h["line"].alias("line"), rule_family(h["rule_id"]).alias("family"), h["detector_ord"].alias("ord"), h["seq"].alias("seq"), h.alias("hit"),
+        h["line"].alias("line"), F.when(h["detector"] == "supply", F.lit("\u0000supply")).otherwise(group(h)).alias("family"), h["detector_ord"].alias("ord"), h["seq"].alias("seq"), h.alias("hit"),
     ).alias("x")), _by_place)
     kept = F.filter(keyed, lambda x, i: (i == 0) | ~(
         (F.get(keyed, i - 1)["line"] == x["line"]) & (F.get(keyed, i - 1)["family"] == x["family"])
@@ -126,9 +133,10 @@ def _enrichment() -> tuple[list[Column], list[Column]]:
     """The catalogue columns to join, and the columns to fill from hit and catalogue."""
     fields = ("title", "category", "severity", "cwe_id", "owasp_id", "description", "remediation")
     own = lambda field: F.try_element_at(F.col("attrs"), F.lit(field))
-    pick = lambda field, default: F.coalesce(own(field), F.col(f"_{field}"), F.lit(default)).alias(field)
+    pick = lambda field, default: F.coalesce(own(field), F.col(f"_{field}"), default if isinstance(default, Column) else F.lit(default)).alias(field)
+    unknown = F.raise_error(F.concat(F.lit("neither the hit nor the catalogue describes rule "), "rule_id")).cast("string")
     return [F.col("rule_id"), *[F.col(c).alias(f"_{c}") for c in fields]], [
-        pick("title", "Unnamed finding"), pick("category", "Hardcoded AI Secrets & Credentials"), pick("severity", "CRITICAL"),
+        pick("title", unknown), pick("category", "Hardcoded AI Secrets & Credentials"), pick("severity", "CRITICAL"),
         pick("cwe_id", "CWE-798"), pick("owasp_id", "LLM06:2025-Sensitive-Info-Disclosure"),
         pick("description", ""), pick("remediation", "Remove the hard-coded secret."),
     ]

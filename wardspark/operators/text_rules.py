@@ -38,6 +38,18 @@ def rag_hits(content: Column, mask: Column, first_bit: int) -> Column:
     return _pattern_hits("rag", cat.RAG_PATTERNS, content, mask, first_bit)
 
 
+def signature_hits(content: Column, rules: list[dict]) -> Column:
+    """Matches of retrieval signatures out of a file, with the details the file gives."""
+    fields = {"title": "title", "severity": "severity", "cwe_id": "cwe", "owasp_id": "owasp", "remediation": "remediation"}
+    found = F.array_compact(F.array(*[_matched(r["id"], i, content, java_pattern(r["pattern"], True, True), F.lit(True)) for i, r in enumerate(rules)]))
+    detail = lambda field, order: F.get(F.array(*[F.lit(r.get(field)).cast("string") for r in rules]), order)
+    return F.flatten(F.transform(found, lambda y: F.transform(
+        places(y["marked"], y["matches"]),
+        lambda m: hit("rag", y["rule_id"], m["line"], m["col"], [y["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN),
+                      {name: detail(field, y["order"]) for name, field in fields.items()}),
+    )))
+
+
 def agent_hits(content: Column, mask: Column, first_bit: int) -> Column:
     return _pattern_hits("agent", cat.AGENT_PATTERNS, content, mask, first_bit)
 

@@ -132,9 +132,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_artifacts(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"))
+
+
+def code_artifacts(documents: DataFrame) -> DataFrame:
     """Every document as an artifact: its text as comment lines, then a fragment. Weight files have no text."""
     prose = F.concat(F.lit("# "), F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit("\n# ")))
-    return spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select(
+    return documents.select(
         F.concat(F.lit("src/"), "source", F.lit("/d"), "doc_id", F.lit("/"), _pick(tuple(s[0] for s in CODE_SLOTS), "doc_id")).alias("path"),
         F.col("source").alias("target"),
         F.concat(prose, F.lit("\n"), _pick(tuple(s[1] for s in CODE_SLOTS), "doc_id"), F.lit("\n")).alias("content"),

@@ -309,6 +309,14 @@ ORACLES["custom_rule_findings"] = scan(
     "SELECT file_path, finding_id, title, category, severity, coalesce(c_message, 'Custom rule ' || rule_id || ' matched at line ' || line_number || '.') AS description, "
     "line_number, column_number, cwe_id, owasp_id, c_remediation AS remediation FROM found", ["custom"])
 _PAGES = "texts AS (SELECT 'page' || page_id || '.html' AS path, 'pages' AS target, replace(html, '&quot;', '\"') AS content, '.html' AS ext, [] AS all_lines FROM pages)"
+ORACLES["custom_rule_status"] = scan("""SELECT r.id, r.reason IS NULL AS accepted, r.reason, coalesce(n, 0) AS findings
+  FROM (VALUES ('CUSTOM-001', NULL), ('CUSTOM-002', NULL), ('CUSTOM-003', 'the pattern does not compile'), ('CUSTOM-004', 'no pattern'), ('TOKEN-001', NULL)) r(id, reason)
+  LEFT JOIN (SELECT rule_id, count(*) AS n FROM found WHERE detector = 'custom' GROUP BY rule_id) f ON f.rule_id = r.id""")
+ORACLES["signature_rule_findings"] = scan("SELECT file_path, 'OWN-' || finding_id AS finding_id, line_number, column_number, 'LOW' AS severity FROM found WHERE rule_id IN (" + ", ".join(lit(p["rule_id"]) for p in cat.RAG_PATTERNS) + ")"
+  + f" UNION ALL SELECT file_path, finding_id, line_number, column_number, severity FROM found WHERE rule_id = {lit(cat.SSL_RULE_ID)}", ["rag"])
+ORACLES["advisory_file_findings"] = scan("SELECT file_path, finding_id, severity, line_number FROM found", ["supply"])
+ORACLES["extra_detector_findings"] = f"""SELECT 'docs/' || doc_id || '.txt' AS file_path, 'WIDE-001-' || n AS finding_id, n AS line_number, 'INFO' AS severity
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {split_lines('text')} AS l FROM documents)) WHERE length(line) >= 500"""
 ORACLES["custom_rule_on_pages"] = f"WITH {_PAGES},\n{_custom()},\n{_CUSTOM_ROWS}\nSELECT path AS file_path, rule_id || '-' || line AS finding_id, line AS line_number, col AS column_number, c_severity AS severity FROM custom JOIN custom_rules USING (rule_id)"
 ORACLES["baseline_round_trip"] = scan("SELECT target, finding_id, family, severity, file_path, line_number, column_number, cwe_id, owasp_id, confidence::DOUBLE AS confidence FROM kept")
 ORACLES["dependencies"] = f"WITH {CODE},\n{LINES},\n{DEPS}\nSELECT path, target, package, version, line_number FROM deps"
@@ -401,6 +409,7 @@ ORACLES["dedup_findings"] = scan("SELECT target, file_path, line_number, family,
 ORACLES["dedup_by_rule"] = scan("SELECT target, rule_id, count(*) AS findings FROM (SELECT DISTINCT target, file_path, line_number, rule_id FROM found) GROUP BY ALL")
 ORACLES["enriched_findings"] = scan("SELECT file_path, finding_id, rule_id, category, severity, cwe_id, owasp_id, confidence::DOUBLE AS confidence, detector_name AS detector FROM kept")
 ORACLES["finding_sequence"] = scan("SELECT file_path, finding_id, ord AS detector_ord, CASE WHEN detector = 'ast' THEN '' ELSE s1 || '|' || s2 || '|' || s3 END AS seq FROM kept")
+ORACLES["first_match_place"] = f'SELECT * FROM ({ORACLES["match_places"]}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "offset") = 1'
 ORACLES["line_snippets"] = f"""SELECT doc_id, line, md5(CASE WHEN line BETWEEN 1 AND len(l) THEN {_SNIPPET.format(n='line', lines='l')} ELSE '' END) AS snippet_md5 FROM (
   SELECT doc_id, l, unnest(range(0, len(l) + 2)) AS line FROM (SELECT doc_id, {split_lines('text')} AS l FROM documents))"""
 ORACLES["order_findings"] = scan(f"SELECT severity, file_path, line_number, finding_id FROM kept ORDER BY {weight('severity')} DESC, file_path, line_number")
@@ -467,8 +476,9 @@ ORACLES["sarif_results"] = scan(f"SELECT sarif_rule AS rule_id, {by_severity(SAR
 ORACLES["sarif_documents"] = scan("SELECT target, total AS results, critical + high AS errors, security_score, total FROM summary", more=summary_ctes())
 ORACLES["sbom_components"] = f"WITH {CODE},\n{LINES},\n{DEPS}\nSELECT target, 'library' AS type, package AS name, version, 'pkg:pypi/' || package || '@' || version AS purl, 'https://pypi.org/project/' || package || '/' || version || '/' AS distribution_url FROM deps"
 ORACLES["sbom_vulnerabilities"] = scan("SELECT target, finding_id, CASE WHEN cwe_id = '' THEN finding_id ELSE cwe_id END AS id, lower(severity) AS severity, replace(cwe_id, 'CWE-', '') AS cwes, string_split(file_path, '/')[-1] AS affects FROM kept")
-ORACLES["sbom_documents"] = scan(f"""SELECT k.target, 'urn:uuid:' || left(sha256(k.target || '{STAMP}'), 32) AS serial, coalesce(components, 0) AS components, vulnerabilities
-  FROM (SELECT target, count(*) AS vulnerabilities FROM kept GROUP BY target) k
+ORACLES["sbom_documents"] = scan(f"""SELECT k.target, 'urn:uuid:' || left(sha256(k.target || '/{STAMP}/0'), 32) AS serial, true AS own_serials, coalesce(components, 0) AS components, coalesce(vulnerabilities, 0) AS vulnerabilities
+  FROM (SELECT DISTINCT target FROM code UNION ALL SELECT 'clean') k
+  LEFT JOIN (SELECT target, count(*) AS vulnerabilities FROM kept GROUP BY target) v ON v.target = k.target
   LEFT JOIN (SELECT target, count(*) AS components FROM (SELECT DISTINCT target, package, version FROM deps) GROUP BY target) d ON d.target = k.target""")
 ORACLES["audit_scan_events"] = scan(f"SELECT 'scan' AS event, '{STAMP}.000000' AS timestamp, target, files AS files_scanned, lines AS lines_scanned, security_score, total, high FROM summary", more=summary_ctes())
 ORACLES["audit_prompt_events"] = PROMPTS + f"SELECT 'prompt_analysis' AS event, '{STAMP}.000000' AS timestamp, threat_level, array_to_string(threat_types, '|') AS attack_vectors, count(*) AS prompts, sum(threat_score) AS score FROM scored GROUP BY ALL"
@@ -478,10 +488,14 @@ ORACLES["audit_entries_per_day"] = f"WITH {_ENTRIES} SELECT left(timestamp, 10)
 
 # --- streaming -----------------------------------------------------------------------------------------------------
 
+_PAIRS = " + ".join(f"CASE WHEN contains(lower(text), '{chr(97 + i // 10)}{chr(97 + i % 10)}x') THEN 1 ELSE 0 END" for i in range(100))
+ORACLES["many_signatures"] = PROMPTS + f"SELECT conv_id, turn, pairs, least(100, threat_score + pairs) AS threat_score FROM scored JOIN (SELECT conv_id, turn, {_PAIRS} AS pairs FROM prompts) USING (conv_id, turn)"
 ORACLES["stream_prompt_scores"] = f"WITH {scored_ctes('conversations', 'conv_id, turn')}\nSELECT conv_id, turn, threat_score, threat_level, array_to_string(threat_types, '|') AS threat_types, entropy_score::DOUBLE AS entropy_score FROM scored"
 _PAGE_TEXTS = f"texts AS (SELECT 'page' || page_id || '.html' AS path, 'pages' AS target, content, '.html' AS ext, 'x.html' AS name, 0 AS slot, 0 AS first_line, {split_lines('content')} AS all_lines FROM (SELECT page_id, replace(html, '&quot;', '\"') AS content FROM pages))"
 _PAGE_DETECTORS = ["secrets", "owasp", "rag", "agent", "custom"]
-ORACLES["stream_artifact_findings"] = "WITH " + ",\n".join([
+ORACLES["stream_artifact_findings"] = scan("SELECT file_path, finding_id, line_number, column_number, severity FROM kept")
+ORACLES["stream_page_findings"] = "WITH " + ",\n".join([
     _PAGE_TEXTS, "lines AS (SELECT path, target, slot, name, ext, all_lines, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS line_number FROM texts)",
     *[_PARTS[d] for d in _PAGE_DETECTORS], CATALOGUE, _CUSTOM_ROWS, findings_ctes(_PAGE_DETECTORS)]) + "\nSELECT file_path, finding_id, line_number, column_number, severity FROM kept"
+ORACLES["stream_audit_two_streams"] = "SELECT 't' || user_id AS target, 2 * count(*) AS entries, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS latest, round(2 * sum(value), 2) AS score FROM events GROUP BY 1"
 ORACLES["stream_audit_entries"] = "SELECT 't' || user_id AS target, count(*) AS entries, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS latest, round(sum(value), 2) AS score FROM events GROUP BY 1"

@@ -2,18 +2,18 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from wardspark.operators.compliance import compliance_summary, domain_status
 from wardspark.operators.diff import diff_findings, diff_summary
-from wardspark.operators.findings import dedup_findings, policy_gate, scan_summary, severity_filter
-from wardspark.operators.scan import resolve_findings, scan_artifacts
+from wardspark.operators.findings import policy_gate, scan_summary, severity_filter
+from wardspark.operators.scan import dedup_hits, resolve_findings, scan_artifacts
 from wardspark.plans.storage import written
 
 
 @dataclass
 class ScanRun:
-    """What one scan gives: per-artifact hits, the findings table and a row per target."""
+    """What one scan gives: per-artifact hits without duplicates, the findings table and a row per target."""
 
     scanned: DataFrame
     findings: DataFrame
@@ -27,16 +27,21 @@ def run_scan(
     advisories: DataFrame | None = None,
     severity: str | None = None,
     store: bool = True,
+    signature_rules: list[dict] | None = None,
 ) -> ScanRun:
     """Scans artifacts and scores their targets.
 
-    With ``store`` the narrow per-artifact result is written to the shared folder, so that contents are read and
-    parsed once however many reports follow, and a lost executor costs only its own tasks.
+    Duplicates go inside each artifact's row, so no shuffle by path is needed. With ``store`` the narrow per-artifact result
+    and the findings are written to the shared folder: contents are read and parsed once and findings put together once,
+    however many reports follow, and a lost executor costs only its own tasks.
     """
-    scanned = scan_artifacts(artifacts, custom_rules, detectors)
+    scanned = scan_artifacts(artifacts, custom_rules, detectors, signature_rules=signature_rules)
+    scanned = scanned.withColumn("hits", dedup_hits(F.col("hits")))
     if store:
         scanned = written(scanned, "scanned")
-    findings = dedup_findings(resolve_findings(scanned, advisories))
+    findings = resolve_findings(scanned, advisories)
+    if store:
+        findings = written(findings, "findings")
     if severity:
         findings = severity_filter(findings, severity)
     return ScanRun(scanned, findings, scan_summary(scanned, findings))

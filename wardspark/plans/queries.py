@@ -1,20 +1,24 @@
 """The registered queries: one per operator, each over whole tables or over data derived from them."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardspark.catalog import patterns as cat
+from wardspark.catalog.advisories import ADVISORIES
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
 from wardspark.functions import identifiers as ids
 from wardspark.functions.entropy import shannon_entropy
 from wardspark.functions.payloads import base64_payload, hex_payload, obfuscation_evidence, sanitize_prompt
-from wardspark.functions.regex import column_of, find_all, line_of, match_offsets
+from wardspark.functions.regex import column_of, find_all, line_of, match_offsets, match_places as match_places_of
 from wardspark.functions.text import basename, count_lines, decode_text, snippet, split_lines, strip, suffix
 from wardspark.functions.versions import version_lt
 from wardspark.operators import code_rules, compliance, diff, findings as fnd, prompts, supply
-from wardspark.operators.scan import enrich_findings, explode_hits, resolve_findings, rule_table, scan_artifacts
+from wardspark.operators.scan import dedup_hits, enrich_findings, explode_hits, resolve_findings, rule_table, scan_artifacts
+from wardspark.operators.hits import hit
 from wardspark.plans import corpora
 from wardspark.plans.pipelines import ScanRun, run_scan
-from wardspark.plans.storage import new_location
+from wardspark.plans.storage import new_location, written
 from wardspark.sinks import audit, reports as report_sink, sarif, sbom
 from wardspark.schemas import CUSTOM_RULES
 from wardspark.sources.local import local_table
@@ -75,8 +79,8 @@ def all_findings(spark: SparkSession, sf_dir: str, detectors: list[str] | None =
     return resolve_findings(scanned(spark, sf_dir, detectors))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fnd.dedup_findings(all_findings(spark, sf_dir))
+def findings(spark: SparkSession, sf_dir: str, by: str = "family") -> DataFrame:
+    return resolve_findings(scanned(spark, sf_dir).withColumn("hits", dedup_hits(F.col("hits"), by)))
 
 
 def run(spark: SparkSession, sf_dir: str) -> ScanRun:
@@ -85,8 +89,11 @@ def run(spark: SparkSession, sf_dir: str) -> ScanRun:
 
 
 def baseline_and_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs that differ in their detectors, so that findings are new, fixed and persisting."""
-    return tuple(fnd.dedup_findings(all_findings(spark, sf_dir, d)) for d in (corpora.BASELINE_DETECTORS, corpora.CURRENT_DETECTORS))
+    """Findings of two sets of detectors, so that some are new, fixed and persisting. The corpus is scanned once, for both sets."""
+    both = sorted(set(corpora.BASELINE_DETECTORS) | set(corpora.CURRENT_DETECTORS), key=cat.DETECTORS.index)
+    stored = written(scanned(spark, sf_dir, both), "scanned")
+    of = lambda names: resolve_findings(stored.withColumn("hits", dedup_hits(F.filter("hits", lambda h: h["detector"].isin(names)))))
+    return of(corpora.BASELINE_DETECTORS), of(corpora.CURRENT_DETECTORS)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +147,38 @@ def retrieval_signature_counts(spark, sf_dir):
     return rules.join(hits, "rule_id", "left").select("rule_id", "severity", "cwe", "owasp", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
+@query
+def signature_rule_findings(spark, sf_dir):
+    """Retrieval findings by signatures that were written to a file in the shared folder and read back from it."""
+    place = new_location(spark, "signatures")
+    entries = [{"id": f"OWN-{p['rule_id']}", "title": "Own", "pattern": p["pattern"], "severity": "low", "cwe": "CWE-1", "owasp": "LLM01", "remediation": "r"} for p in cat.RAG_PATTERNS]
+    local_table(spark, [{"value": json.dumps({"signatures": entries})}], "value string").coalesce(1).write.text(place)
+    rules = [r.asDict() for r in rule_files.load_signature_rules(spark, place).collect()]
+    rows = resolve_findings(scan_artifacts(corpora.code_corpus(spark, sf_dir), detectors=["rag"], signature_rules=rules))
+    return rows.select("file_path", "finding_id", "line_number", "column_number", "severity")
+
+
+@query
+def advisory_file_findings(spark, sf_dir):
+    """Dependencies by an advisory file in the shared folder."""
+    place = new_location(spark, "advisories")
+    rows = [{k: a[k] for k in ("package", "vulnerable_below", "cve", "severity", "cwe", "owasp", "description", "remediation")} for a in ADVISORIES]
+    local_table(spark, [{"value": json.dumps({"advisories": rows})}], "value string").coalesce(1).write.text(place)
+    scan = scanned(spark, sf_dir, ["supply"])
+    return resolve_findings(scan, rule_files.load_advisories(spark, place)).select("file_path", "finding_id", "severity", "line_number")
+
+
+@query
+def extra_detector_findings(spark, sf_dir):
+    """A detector of the caller's own: lines of at least 500 characters."""
+    def wide(path, content, lines):
+        numbered = F.filter(F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), F.length(line).alias("size"))), lambda x: x["size"] >= 500)
+        return F.transform(numbered, lambda x: hit("custom", "WIDE-001", x["n"], 1, [x["n"], 0, 0], attrs={"severity": "INFO", "title": "Wide line"}))
+
+    rows = resolve_findings(scan_artifacts(document_artifacts(spark, sf_dir), detectors=["model"], extra_detectors=[wide]))
+    return rows.select("file_path", "finding_id", "line_number", "severity")
+
+
 @query
 def advisory_exposure(spark, sf_dir):
     advisories = supply.advisory_table(spark)
@@ -154,6 +193,22 @@ def custom_rule_findings(spark, sf_dir):
         "file_path", "finding_id", "title", "category", "severity", "description", "line_number", "column_number", "cwe_id", "owasp_id", "remediation")
 
 
+@query
+def custom_rule_status(spark, sf_dir):
+    """Every custom rule: whether it is accepted, why not, and how often it hits."""
+    rules = local_table(spark, rule_files.check_custom_rules(local_table(spark, corpora.CUSTOM_RULES, CUSTOM_RULES)), rule_files.RULE_STATUS)
+    hits = all_findings(spark, sf_dir, ["custom"]).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return rules.join(hits, rules["id"] == hits["rule_id"], "left").select("id", "accepted", "reason", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@query
+def many_signatures(spark, sf_dir):
+    """Prompts scored with a hundred signatures more than there are built in, more than one mask holds."""
+    extra = [{"type": f"Letter pair {i}", "weight": 1, "pattern": f"{chr(97 + i // 10)}{chr(97 + i % 10)}x", "anchors": [f"{chr(97 + i // 10)}{chr(97 + i % 10)}x"]} for i in range(100)]
+    rows = prompts.score_prompts(corpora.prompt_corpus(spark, sf_dir), signatures=rule_files.all_signatures(spark) + extra)
+    return rows.select("conv_id", "turn", F.size(F.filter("threat_types", lambda t: t.startswith("Letter pair"))).alias("pairs"), "threat_score")
+
+
 @query
 def custom_rule_on_pages(spark, sf_dir):
     return resolve_findings(scan_artifacts(page_artifacts(pages(spark, sf_dir)), custom_rules(spark), ["custom"])).select("file_path", "finding_id", "line_number", "column_number", "severity")
@@ -331,9 +386,14 @@ def find_all_words(spark, sf_dir):
 
 @query
 def match_places(spark, sf_dir):
-    text = F.col("text")
-    offsets = documents(spark, sf_dir).select("doc_id", "text", F.explode(match_offsets(text, HEX40)).alias("offset"))
-    return offsets.select("doc_id", "offset", line_of(text, F.col("offset")).alias("line"), column_of(text, F.col("offset")).alias("col"))
+    return documents(spark, sf_dir).select("doc_id", F.explode(match_places_of(F.col("text"), HEX40)).alias("m")).select("doc_id", "m.offset", "m.line", "m.col")
+
+
+@query
+def first_match_place(spark, sf_dir):
+    """Offset, line and column of the first match, by the functions for single places."""
+    first = documents(spark, sf_dir).select("doc_id", "text", F.get(match_offsets(F.col("text"), HEX40), 0).alias("offset")).where("offset is not null")
+    return first.select("doc_id", "offset", line_of(F.col("text"), F.col("offset")).alias("line"), column_of(F.col("text"), F.col("offset")).alias("col"))
 
 
 @query
@@ -386,7 +446,7 @@ def dedup_findings(spark, sf_dir):
 
 @query
 def dedup_by_rule(spark, sf_dir):
-    return fnd.dedup_findings(all_findings(spark, sf_dir), by="rule_id").groupBy("target", "rule_id").agg(F.count("*").alias("findings"))
+    return findings(spark, sf_dir, by="rule_id").groupBy("target", "rule_id").agg(F.count("*").alias("findings"))
 
 
 @query
@@ -401,9 +461,9 @@ def finding_sequence(spark, sf_dir):
 
 @query
 def line_snippets(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("lines"))
-    rows = docs.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") + 1)).alias("line"))
-    return rows.select("doc_id", "line", F.md5(snippet(F.col("lines"), F.col("line"))).alias("snippet_md5"))
+    shown = lambda lines: F.transform(F.sequence(F.lit(0), F.size(lines) + 1), lambda n: F.struct(n.alias("line"), F.md5(snippet(lines, n)).alias("snippet_md5")))
+    every = F.get(F.transform(F.array(split_lines(F.col("text"))), shown), 0)
+    return documents(spark, sf_dir).select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.line", "s.snippet_md5")
 
 
 @query
@@ -548,11 +608,13 @@ def sbom_vulnerabilities(spark, sf_dir):
 
 @query
 def sbom_documents(spark, sf_dir):
-    documents = sbom.sbom_documents(supply.dependencies(corpora.code_corpus(spark, sf_dir)), run(spark, sf_dir).findings, STAMP, max_rows=20)
+    done = run(spark, sf_dir)
+    targets = done.summary.select("target").unionByName(spark.createDataFrame([("clean",)], "target string"))  # one without anything in it
+    documents = sbom.sbom_documents(supply.dependencies(corpora.code_corpus(spark, sf_dir)), done.findings, STAMP, max_rows=20, targets=targets)
     shape = "serialNumber string, components array<struct<purl:string>>, vulnerabilities array<struct<id:string>>"
     d = F.from_json("document", shape)
-    return documents.select("target", d.alias("d")).groupBy("target").agg(
-        F.max("d.serialNumber").alias("serial"), F.sum(F.size("d.components")).alias("components"), F.sum(F.size("d.vulnerabilities")).alias("vulnerabilities"))
+    return documents.select("target", "part", d.alias("d")).groupBy("target").agg(
+        F.max(F.when(F.col("part") == 0, F.col("d.serialNumber"))).alias("serial"), (F.count_distinct("d.serialNumber") == F.count("*")).alias("own_serials"), F.sum(F.size("d.components")).alias("components"), F.sum(F.size("d.vulnerabilities")).alias("vulnerabilities"))
 
 
 @query
@@ -610,15 +672,32 @@ def stream_prompt_scores(spark, sf_dir):
 
 @query
 def stream_artifact_findings(spark, sf_dir):
+    rows = corpora.code_artifacts(_read_stream(spark, sf_dir, "documents"))
+    return _streamed(stream_scan_artifacts(rows, custom_rules(spark)).select("file_path", "finding_id", "line_number", "column_number", "severity"))
+
+
+@query
+def stream_page_findings(spark, sf_dir):
     rows = page_artifacts(_read_stream(spark, sf_dir, "pages"))
     return _streamed(stream_scan_artifacts(rows, custom_rules(spark)).select("file_path", "finding_id", "line_number", "column_number", "severity"))
 
 
 @query
 def stream_audit_entries(spark, sf_dir):
+    return _streamed_audit(spark, sf_dir, 1)
+
+
+@query
+def stream_audit_two_streams(spark, sf_dir):
+    """Two streams, each with a checkpoint of its own, into one trail: every event is there twice."""
+    return _streamed_audit(spark, sf_dir, 2)
+
+
+def _streamed_audit(spark, sf_dir, streams: int) -> DataFrame:
     events = _read_stream(spark, sf_dir, "events").select(
         F.lit("scan").alias("event"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.concat(F.lit("t"), "user_id").alias("target"), F.col("value").alias("security_score"))
-    path, checkpoint = new_location(spark, "audit"), new_location(spark, "audit-checkpoint")
-    stream_audit_append(events, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    path = new_location(spark, "audit")
+    for _ in range(streams):
+        stream_audit_append(events, path, new_location(spark, "audit-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     entries = report_source.parse_audit(spark.read.option("recursiveFileLookup", "true").text(path))
     return entries.groupBy("target").agg(F.count("*").alias("entries"), F.max("timestamp").alias("latest"), F.round(F.sum("security_score"), 2).alias("score"))

@@ -9,12 +9,15 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_ROWS = 5000
+#: Shares of a target's rows when they meet the target's totals, so that one target's rows never meet on one task.
+SALTS = 64
 
 
 def with_part(rows: DataFrame, totals: DataFrame, key: list[Column], max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``part`` to the rows, given ``totals(target, n)``."""
-    counted = totals.select("target", parts_of(F.col("n"), max_rows).alias("_parts"))
-    return rows.join(counted, "target").withColumn("part", F.pmod(F.xxhash64(*key), F.col("_parts").cast("bigint")).cast("int")).drop("_parts")
+    counted = totals.select("target", parts_of(F.col("n"), max_rows).alias("_parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    return salted.join(counted, ["target", "_salt"]).withColumn("part", F.pmod(F.xxhash64(*key), F.col("_parts").cast("bigint")).cast("int")).drop("_parts", "_salt")
 
 
 def parts_of(count: Column, max_rows: int = MAX_ROWS) -> Column:

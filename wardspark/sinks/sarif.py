@@ -9,6 +9,7 @@ from wardspark.sinks.parts import MAX_ROWS, all_parts, with_part
 from wardspark.sinks.reports import place
 
 _SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+# The tags every run carries.
 _TAGS = ["ai-security", "llm-security", "owasp-llm-top10", "sast"]
 
 

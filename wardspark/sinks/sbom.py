@@ -29,17 +29,19 @@ def sbom_vulnerabilities(findings: DataFrame) -> DataFrame:
     )
 
 
-def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``target, part, parts, document``: the target is the project; ``timestamp`` is part of the serial number.
+def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max_rows: int = MAX_ROWS, targets: DataFrame | None = None) -> DataFrame:
+    """``target, part, parts, document``: the target is the project; target, ``timestamp`` and part make the serial number.
 
-    Equal components of a target are listed once.
+    Equal components of a target are listed once. ``targets``, such as a scan summary, adds those that have neither
+    dependencies nor findings.
     """
     components = sbom_components(packages).distinct()
     vulnerabilities = sbom_vulnerabilities(findings)
     counts = lambda rows, name: rows.groupBy("target").agg(F.count("*").alias(name))
-    totals = counts(components, "c").join(counts(vulnerabilities, "v"), "target", "full_outer").select(
-        "target", F.greatest(F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0))).alias("n")
-    )
+    totals = counts(components, "c").join(counts(vulnerabilities, "v"), "target", "full_outer")
+    if targets is not None:
+        totals = targets.select("target").distinct().join(totals, "target", "full_outer")
+    totals = totals.select("target", F.greatest(F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0))).alias("n"))
     component = F.struct(
         "type", "name", "version", "purl", F.array().cast("array<string>").alias("licenses"),
         F.array(F.struct(F.lit("distribution").alias("type"), F.col("distribution_url").alias("url"))).alias("externalReferences"),
@@ -55,7 +57,7 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max
         F.sort_array(F.collect_list(component)).alias("components"))
     affected = with_part(vulnerabilities, totals, [F.col("file_path"), F.col("line_number"), F.col("finding_id")], max_rows).groupBy("target", "part").agg(
         F.sort_array(F.collect_list(vulnerability)).alias("vulnerabilities"))
-    serial = F.concat(F.lit("urn:uuid:"), F.substring(F.sha2(F.concat("target", F.lit(timestamp)), 256), 1, 32))
+    serial = F.concat(F.lit("urn:uuid:"), F.substring(F.sha2(F.concat("target", F.lit(f"/{timestamp}/"), F.col("part").cast("string")), 256), 1, 32))
     document = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), serial.alias("serialNumber"), F.lit(1).alias("version"),
         F.struct(
@@ -70,5 +72,5 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max
     )
 
 
-def write_sbom(packages: DataFrame, findings: DataFrame, timestamp: str, path: str) -> None:
-    sbom_documents(packages, findings, timestamp).select("target", F.col("document").alias("value")).write.mode("overwrite").partitionBy("target").text(path)
+def write_sbom(packages: DataFrame, findings: DataFrame, timestamp: str, path: str, targets: DataFrame | None = None) -> None:
+    sbom_documents(packages, findings, timestamp, targets=targets).select("target", F.col("document").alias("value")).write.mode("overwrite").partitionBy("target").text(path)

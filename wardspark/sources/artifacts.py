@@ -13,6 +13,7 @@ from wardspark.functions.text import basename, decode_text, suffix
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BATCH_BYTES = 32 << 20
+_ONE_SPLIT = 32 << 20
 
 
 def artifacts_from_table(df: DataFrame, path: Column, text: Column, target: Column) -> DataFrame:
@@ -21,15 +22,23 @@ def artifacts_from_table(df: DataFrame, path: Column, text: Column, target: Colu
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shares a small input out over all cores by ``key``.
+    """Shares an input of at most 32 MB on disk out over all cores by ``key``; any other is left as it is.
 
-    A file with a single row group is read by one task. Inputs that already come in as many partitions as there are
-    cores are left alone, so nothing large is ever shuffled for this.
+    A file with a single row group is read by one task, however many cores there are. The bound is fixed and checked, so what is
+    shuffled for this grows neither with the cluster nor with the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    if df.isStreaming or _bytes_on_disk(spark, df.inputFiles()) > _ONE_SPLIT:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
+def _bytes_on_disk(spark: SparkSession, files: list[str]) -> int:
+    """The size of a few files; more than a handful are not one split's worth of small input."""
+    if len(files) > 8:
+        return _ONE_SPLIT + 1
+    sizes = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first() if files else None
+    return (sizes[0] or 0) if sizes else 0
 
 
 def scannable(path: Column, extensions: list[str] | None = None) -> Column:

@@ -1,15 +1,29 @@
 """Saved reports and audit trails read back."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardspark.catalog.severity import SEVERITY_NAMES
 from wardspark.functions.identifiers import rule_base, rule_family
 from wardspark.schemas import AUDIT, FINDING_COLUMNS, REPORT_FINDING
 
 
-def load_baseline(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
-    """Findings of saved JSON reports: one report per line, or per file with ``wholetext``."""
-    return baseline_findings(spark.read.text(path, wholetext=wholetext), "value")
+def load_baseline(spark: SparkSession, path: str, wholetext: bool | None = None) -> DataFrame:
+    """Findings of saved JSON reports: one report per line, or per file with ``wholetext``.
+
+    Without a word on the form, the first line decides: a whole report there means one per line. A line or file that is not
+    blank and no report is an error, since a baseline that loses findings makes them look new.
+    """
+    if wholetext is None:
+        first = spark.read.text(path).limit(1)
+        wholetext = first.where(_envelope("value").isNotNull()).isEmpty()
+    reports = spark.read.text(path, wholetext=wholetext)
+    broken = F.raise_error(F.concat(F.lit("no report: "), F.substring("value", 1, 60))).cast("string")
+    return baseline_findings(reports.select(F.when(_envelope("value").isNotNull(), F.col("value")).when(~F.col("value").rlike(r"\A\s*\z"), broken).alias("value")), "value")
+
+
+def _envelope(column: str) -> Column:
+    """The findings of a report, as text; null if it is none."""
+    return F.get_json_object(column, "$.findings")
 
 
 def baseline_findings(reports: DataFrame, column: str = "value") -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import os
 import re
+import warnings
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -90,16 +91,14 @@ def find_rule_file(path: str | None = None, directories: list[str] | None = None
 
 
 def read_custom_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The rule table of a YAML or JSON rule file; entries without id or pattern are left out."""
-    try:
-        import yaml
-
-        with open(path, encoding="utf-8") as handle:
-            data = yaml.safe_load(handle)
-    except ImportError:
-        with open(path, encoding="utf-8") as handle:
-            data = json.load(handle)
-    entries = data.get("rules", []) if isinstance(data, dict) else []
+    """The rule table of a YAML or JSON rule file (which is YAML too); entries without id or pattern are left out."""
+    import yaml  # a file that cannot be read for want of this package must not look like a file without rules
+
+    with open(path, encoding="utf-8") as handle:
+        data = yaml.safe_load(handle)
+    entries = (data.get("rules") if isinstance(data, dict) else None) or []
+    if not isinstance(entries, list):
+        raise ValueError(f"{path}: rules is no list")
     kept = [e for e in entries if isinstance(e, dict) and "id" in e and "pattern" in e]
     text = lambda name, value: value if value is None or name == "file_extensions" else str(value)
     return local_table(spark, [{name: text(name, value) for name, value in e.items()} for e in kept], CUSTOM_RULES)
@@ -119,36 +118,108 @@ def normalize_custom_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+_PIECE = re.compile(
+    r"\\(?:Z|.)|\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)|\(\?\((?P<test>\w+)\)|^\(\?(?P<flags>[aimsxu]+)\)|(?P<count>\{[0-9]*,?[0-9]*\})|[\[{&]|[^\\(\[{&]+|\(", re.DOTALL)
+
+
 def to_java(pattern: str) -> str:
-    """A Python pattern in Java spelling: named groups, back references and the end-of-text mark."""
-    pattern = re.sub(r"\(\?P<([A-Za-z]\w*)>", r"(?<\1>", pattern)
-    return re.sub(r"\(\?P=([A-Za-z]\w*)\)", r"\\k<\1>", pattern).replace(r"\Z", r"\z")
+    """A Python pattern in Java spelling.
+
+    Differences that are seen to: names of groups (Java's have no underscore), back references, the end-of-text mark, the ASCII flag,
+    braces that count nothing, opening brackets and ampersands inside a class. Conditional groups have no Java form.
+    """
+    out, names, at = [], {}, 0
+    java_name = lambda name: names.setdefault(name, f"g{len(names)}x" + re.sub("[^A-Za-z0-9]", "", name))
+    while at < len(pattern):
+        piece = _PIECE.match(pattern, at)
+        at = piece.end()
+        if piece["group"]:
+            out.append(f"(?<{java_name(piece['group'])}>")
+        elif piece["back"]:
+            out.append(rf"\k<{java_name(piece['back'])}>")
+        elif piece["flags"]:
+            flags = piece["flags"].replace("u", "")
+            on = flags.replace("a", "")
+            out.append((f"(?{on})" if on else "") + ("(?-U)" if "a" in flags else ""))
+        elif piece["count"]:
+            text = piece["count"]
+            counts = re.fullmatch(r"\{([0-9]*)(,?)([0-9]*)\}", text)
+            out.append("{0," + text[2:] if text.startswith("{,") and counts[3] else text if counts[1] else "\\" + text)
+        elif piece[0] == "{":
+            out.append(r"\{")
+        elif piece[0] == "[":
+            inside, at = _java_class(pattern, at)
+            out.append(inside)
+        else:
+            out.append({r"\Z": r"\z"}.get(piece[0], piece[0]))
+    return "".join(out)
+
+
+def _java_class(pattern: str, at: int) -> tuple[str, int]:
+    """A character class, from behind its opening bracket, and where it ends."""
+    head = "^" if pattern.startswith("^", at) else ""
+    at += len(head)
+    body = []
+    while at < len(pattern) and (pattern[at] != "]" or not body):
+        if pattern[at] == "\\":
+            body.append(pattern[at : at + 2])
+            at += 2
+        else:
+            body.append("\\" + pattern[at] if pattern[at] in "[]&" else pattern[at])
+            at += 1
+    return f"[{head}{''.join(body)}]", at + 1
+
+
+RULE_STATUS = "id string, accepted boolean, reason string"
+
+
+def _refusal(blank: DataFrame, pattern: str | None) -> str | None:
+    """Why a pattern cannot be used; null if it can. The look at it is over a local row: no job runs."""
+    if pattern is None:
+        return "no pattern"
+    try:
+        re.compile(pattern)
+        blank.select(F.col("t").rlike("(?dU)" + to_java(pattern))).collect()
+    except re.error:
+        return "the pattern does not compile"
+    except PySparkException:
+        return "the pattern has no Java form"
+    return None
+
+
+def check_custom_rules(rules: DataFrame) -> list[dict]:
+    """``id, accepted, reason`` of every rule, in order: nothing is left out without saying so."""
+    blank = local_table(rules.sparkSession, [{"t": ""}], "t string")
+    reasons = [(r["id"], "no id" if r["id"] is None else _refusal(blank, r["pattern"])) for r in rules.select("id", "pattern").collect()]
+    return [{"id": rule, "accepted": reason is None, "reason": reason} for rule, reason in reasons]
 
 
 def compile_custom_rules(rules: DataFrame) -> list[dict]:
-    """The rules as ``scan_artifacts`` takes them; those whose pattern does not compile are dropped.
+    """The rules as ``scan_artifacts`` takes them. Those that cannot be used are left out with a warning that names them and the
+    reason; ``check_custom_rules`` gives the same as rows.
 
     A rule table is configuration, so its rows are read by the driver and each pattern becomes a literal of the plan:
     Spark then compiles it once per task instead of once per row.
     """
     blank, compiled = local_table(rules.sparkSession, [{"t": ""}], "t string"), []
     for row in normalize_custom_rules(rules).collect():
-        rule = row.asDict() | {"pattern": to_java(row["pattern"])}
-        try:
-            re.compile(row["pattern"])
-            blank.select(F.col("t").rlike("(?dU)" + rule["pattern"])).collect()
-        except (re.error, PySparkException):
-            continue
-        compiled.append(rule)
+        reason = _refusal(blank, row["pattern"])
+        if reason:
+            warnings.warn(f"custom rule {row['id']}: {reason}", stacklevel=2)
+        else:
+            compiled.append(row.asDict() | {"pattern": to_java(row["pattern"])})
     return compiled
 
 
 def load_custom_rules(spark: SparkSession, path: str | None = None, directories: list[str] | None = None) -> list[dict]:
-    """Rules of the first rule file found; none if there is no file or it cannot be read."""
+    """Rules of the first rule file found; none if there is no file, and none with a warning if it cannot be read."""
+    import yaml
+
     found = find_rule_file(path, directories)
     if found is None:
         return []
     try:
         return compile_custom_rules(read_custom_rules(spark, found))
-    except (OSError, ValueError):
+    except (OSError, ValueError, yaml.YAMLError) as error:
+        warnings.warn(f"rule file {found} cannot be read: {error}", stacklevel=2)
         return []
