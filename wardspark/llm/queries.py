@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardspark.llm.byte_bpe import encode
 from wardspark.llm.cap_filters import vector_dedup
 from wardspark.llm.license_scan import license_report, license_scan
-from wardspark.llm.perspectives import SQL as PERSPECTIVES_SQL, rotate, rotation_report
+from wardspark.llm.oracles import ORACLES
+from wardspark.llm.perspectives import rotate, rotation_report
 from wardspark.llm.secret_scan import secret_report, secret_scan
 from wardspark.llm.shared import read
 from wardspark.llm.simhash import simhash_dedup
@@ -15,8 +16,9 @@ from wardspark.llm.tag_paths import extract
 from wardspark.llm.toxicity import toxicity
 from wardspark.llm.winnowing import contamination_report, decontaminate
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 #: Of the registered queries only; a real run brings its own key.
 KEY = b"a key for tests"
 
@@ -68,9 +70,6 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation_report(rotate(read(spark, sf_dir, "conversations")))
 
 
-ORACLES["op7_perspectives"] = PERSPECTIVES_SQL
-
-
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
