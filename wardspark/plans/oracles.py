@@ -499,3 +499,12 @@ ORACLES["stream_page_findings"] = "WITH " + ",\n".join([
     *[_PARTS[d] for d in _PAGE_DETECTORS], CATALOGUE, _CUSTOM_ROWS, findings_ctes(_PAGE_DETECTORS)]) + "\nSELECT file_path, finding_id, line_number, column_number, severity FROM kept"
 ORACLES["stream_audit_two_streams"] = "SELECT 't' || user_id AS target, 2 * count(*) AS entries, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS latest, round(2 * sum(value), 2) AS score FROM events GROUP BY 1"
 ORACLES["stream_audit_entries"] = "SELECT 't' || user_id AS target, count(*) AS entries, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS latest, round(sum(value), 2) AS score FROM events GROUP BY 1"
+
+# --- the same with finer targets -----------------------------------------------------------------------------------
+
+_GATES = " UNION ALL ".join(
+    f"SELECT target, {violations} AS violations, CASE WHEN {violations} > 0 THEN 3 WHEN critical > 0 THEN 2 WHEN high > 0 THEN 1 ELSE 0 END AS status, '{bound}' AS fail_on FROM summary"
+    for bound, violations in (("medium", "critical + high + medium"), ("none", "0")))
+_FINE = ("source AS target", "source || '/' || slot AS target")
+ORACLES["policy_gate_fine"] = scan(_GATES, more=summary_ctes()).replace(*_FINE)
+ORACLES["domain_status_fine"] = ORACLES["domain_status_soc2"].replace(*_FINE)
