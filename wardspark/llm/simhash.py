@@ -107,7 +107,8 @@ def simhash_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     members = distinct.join(linked.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "first")
     heads = members.groupBy("component").agg(F.min("first").alias("head"))
     heads = members.join(heads, "component").select("fp", "head")
-    every = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
+    # written, so that both sides of the last join come straight from an exchange and a crowded fingerprint can be split at run time
+    every = written(distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head")), "fingerprint-heads")
     rows = marked.join(every, "fp")
     return rows.select(
         F.col("_id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.id").alias("component_id"),
