@@ -135,9 +135,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     found = [let(_grams(hashes, GRAM), lambda g: let(known(_smallest(g)), lambda kept: _spots(words, g, kept, GRAM, REACH)))]
     for length in lengths:
         found.append(_short_spots(words, hashes, length, known))
-    spots = F.transform(F.concat(*found), lambda s: s)
     scanned = written(rows.select(
-        F.monotonically_increasing_id().alias("row"), F.col("_id"), "text_key", F.size("words").cast("long").alias("n_words"), spots.alias("spots")), "document-windows")
+        F.monotonically_increasing_id().alias("row"), F.col("_id"), "text_key", F.size("words").cast("long").alias("n_words"), F.concat(*found).alias("spots")), "document-windows")
 
     near = scanned.where("size(spots) > 0").select("row", F.explode("spots").alias("s")).select("row", "s.length", "s.gram", "s.at", F.col("s.left").alias("l"), F.col("s.right").alias("r"))
     met = near.join(windows.withColumn("long", ~F.col("short")), ["length", "gram"])
