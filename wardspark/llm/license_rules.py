@@ -18,7 +18,7 @@ class Rule:
     label: str
     starts: tuple[str, ...]  # the words it can begin with
     pattern: str  # the whole expression, first word included
-    keyword: str  # what the document must contain
+    keyword: str  # what the document must contain, and every match does
     rank: int
 
 
@@ -192,17 +192,27 @@ def first_words(pattern: str) -> list[str]:
     return words + (first_words(pattern[pattern.index(")") + 2 :]) if optional else [])
 
 
-#: Short names that mean a license by themselves; the others count only in documents that speak of a license.
-PLAIN_SHORT = ("gpl", "cc0", "cc by", "wtfpl", "unlicense")
+#: Short names of one word that mean a license by themselves. Other single words are also names of products (apache, zlib, x11),
+#: so they count only in documents that speak of a license: for them the keyword is a condition, for all other rules it only saves work.
+PLAIN_SHORT = ("gpl", "cc0", "wtfpl", "unlicense")
+#: Short names that are no rule of their own: too common as plain words.
+COMMON_SHORT = ("mit", "isc", "ruby", "perl 5", "artistic", "elastic 2 0")
+
+
+def needs_context(short: str) -> bool:
+    """Whether a short name by itself counts only in documents that speak of a license."""
+    return " " not in short and not any(p in short for p in PLAIN_SHORT)
 
 
 def rules() -> list[Rule]:
-    """All rules, in order of precedence among equal rank and length."""
+    """All rules, in order of precedence among equal rank and length. Whatever a rule matches contains its keyword, but for :func:`needs_context`."""
     found = [Rule(label, tuple(first_words(pattern)), pattern, keyword, rank) for label, pattern, keyword, rank in STATEMENTS]
+    grant = f"(?:{'|'.join(GRANT_WORDS)}) {GRANT_TAIL}"
     for label, short, name, keyword in NAMES:
         found.append(Rule(label, ("spdx",), f"spdx license identifier {short}", "licen", IDENTIFIER))
-        found.append(Rule(label, GRANT_WORDS, f"(?:{'|'.join(GRANT_WORDS)}) {GRANT_TAIL} (?:{name}|{short})", keyword if keyword in name else "licen", GRANT))
+        found.append(Rule(label, GRANT_WORDS, f"{grant} {name}", keyword, GRANT))
+        found.append(Rule(label, GRANT_WORDS, f"{grant} {short}", f" {short}", GRANT))
         found.append(Rule(label, tuple(first_words(name)), name, keyword, NAME))
-        if short not in ("mit", "isc", "ruby", "perl 5", "artistic", "elastic 2 0"):  # too common as plain words
-            found.append(Rule(label, tuple(first_words(short)), short, next((p for p in PLAIN_SHORT if p in short), "licen"), NAME))
+        if short not in COMMON_SHORT:
+            found.append(Rule(label, tuple(first_words(short)), short, "licen" if needs_context(short) else short, NAME))
     return found
