@@ -4,8 +4,9 @@ A page is read into text nodes, each with its path of tags from the root to the
 their punctuation marks are added up and divided by the number of its nodes. Both ratios are smoothed along the page with a
 Gaussian over neighbouring nodes, so that a short paragraph between long ones is not lost, and fused into their product. Paths
 whose fused ratio reaches a threshold, the standard deviation of the page's ratios or a share of the greatest if that is less, are
-content. The nodes of content paths are the text; headings of the block they stand in and whatever lies inside inherit
-its choice. Containers that never hold the article (menus, headers, footers, sidebars, forms, notices, adverts, comments, by their
+content. The nodes of content paths are the text; whatever stands in the same container as content, or in a container nested in
+that one (cells of tables, div, section), inherits its choice. The frame of the page (html, body) passes its choice on only if more than half of
+the content found stands right in it. Containers that never hold the article (menus, headers, footers, sidebars, forms, notices, adverts, comments, by their
 tag, role or class) have ratio zero.
 
 Each page is handled by itself, inside its row: no shuffle. Null and empty pages give an empty text; so do pages without content.
@@ -50,6 +51,16 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table article section main div body html nav aside header footer form blockquote figure td th li".split())
 CONTAINERS = frozenset(("article", "main", "section", "div", "body", "html", "td"))
+#: Containers of the whole page: what is nested in them need not belong to a text that stands right in them.
+FRAMES = frozenset(("body", "html"))
+
+
+@dataclass(eq=False)
+class Container:
+    """An element that holds blocks, and the container around it."""
+
+    frame: bool
+    around: "Container | None"
 
 
 @dataclass
@@ -58,12 +69,12 @@ class Node:
 
     path: str
     outside: bool
-    block: int
+    block: Container
     pieces: list[str]
     text: str = ""
 
 
-def _outside(tag: str, marks: str, path: list[tuple[str, bool, int]]) -> bool:
+def _outside(tag: str, marks: str, path: list[tuple[str, bool, Container]]) -> bool:
     if tag in OUTSIDE or (tag == "header" and not any(t in ("article", "main") for t, _, _ in path)):
         return True
     if "=" not in marks or tag in ("html", "body", "article", "main"):
@@ -76,10 +87,10 @@ def _outside(tag: str, marks: str, path: list[tuple[str, bool, int]]) -> bool:
 
 def nodes(page: str) -> list[Node]:
     """The blocks of text of a page, in order."""
-    stack: list[tuple[str, bool, int]] = []  # tag, outside, number of its container
+    stack: list[tuple[str, bool, Container]] = []  # tag, outside, its container
     found: list[Node] = []
     open_block = True  # whether the next piece of text begins a node
-    end, containers, position = len(page), 0, 0
+    end, page_frame, position = len(page), Container(True, None), 0
 
     def close_to(depth: int) -> None:
         nonlocal open_block
@@ -90,7 +101,7 @@ def nodes(page: str) -> list[Node]:
         nonlocal open_block
         if not piece or (open_block and piece.isspace()):
             return
-        outside, container = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        outside, container = (stack[-1][1], stack[-1][2]) if stack else (False, page_frame)
         if open_block or found[-1].outside != outside:
             found.append(Node("/".join(tag for tag, _, _ in stack if tag in BLOCKS), outside, container, []))
             open_block = False
@@ -127,10 +138,9 @@ def nodes(page: str) -> list[Node]:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, position)
                 position = close.end() if close else end
             continue
-        container = stack[-1][2] if stack else 0
+        container = stack[-1][2] if stack else page_frame
         if tag in CONTAINERS:
-            containers += 1
-            container = containers
+            container = Container(tag in FRAMES, container)
         stack.append((tag, bool(stack and stack[-1][1]) or _outside(tag, token[3], stack), container))
     for node in found:
         node.text = _SPACE.sub(" ", html.unescape("".join(node.pieces))).strip()
@@ -160,9 +170,23 @@ def select(blocks: list[Node], share: float = 0.1) -> list[bool]:
     per_path = np.bincount(place, fused) / uses
     threshold = min(float(np.std(fused)), share * float(per_path.max()))
     chosen = (per_path >= threshold)[place] & inside & (per_path[place] > 0)
+    # what stands in the same container as content, or nested in it, belongs to it
     kept = {b.block for b, c in zip(blocks, chosen) if c}
-    # what stands in the same container as content belongs to it
-    return [not b.outside and (bool(c) or b.block in kept) for b, c in zip(blocks, chosen)]
+    framed = sum(len(b.text) * (2 if b.block.frame else 0) - len(b.text) for b, c in zip(blocks, chosen) if c)
+    passing = {block: True for block in kept if framed > 0 or not block.frame}
+    return [not b.outside and (b.block in kept or _inherits(b.block, passing)) for b in blocks]
+
+
+def _inherits(block: Container, passing: dict[Container, bool]) -> bool:
+    """Whether a container or one around it passes its choice on; ``passing`` remembers what was found."""
+    way: list[Container] = []
+    at: Container | None = block
+    while at is not None and at not in passing:
+        way.append(at)
+        at = at.around
+    found = at is not None and passing[at]
+    passing.update((one, found) for one in way)
+    return found
 
 
 def main_text(page: str | None) -> str:
