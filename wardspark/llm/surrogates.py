@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detection: e-mail addresses, IBANs, IPv4 addresses, card and account numbers, social security numbers, phone numbers, and names after a
-form of address. Replacement: a keyed permutation of all values of the same format (a Feistel network walked until it stays inside
+form of address, with every other mention of these given and family names as whole words in the same text (written alike or all in capitals). Replacement: a keyed permutation of all values of the same format (a Feistel network walked until it stays inside
 the format). Digits become digits, letters letters of the same script and case, vowels vowels; country codes,
 top-level domains and separators stay; check digits are made right where they were right. A given name after a form of address
 keeps its last letter, which is where names show their gender.
@@ -50,8 +50,13 @@ PATTERNS = {
     "name": re.compile(rf"(?<!\w)({'|'.join(_TITLES)})\.? ({_CAPITAL})(?: ({_CAPITAL}))?"),
 }
 KINDS = tuple(PATTERNS)
+#: Calling codes: those of one and of two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _NUMBERS = ("iban", "ip", "card", "ssn", "phone")
 _DIGIT = re.compile(r"[0-9]")
+NAME_KINDS = ("given_m", "given_f", "family")
+_NAME_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*(?!\w)")
+_NAME_PART = re.compile(r"[^\W\d_]+")
 
 #: Letters that may stand for each other.
 _CLASSES = [
@@ -102,15 +107,53 @@ def entities(text: str) -> list[Entity]:
                 add(kind, m.start(), m.end(), m[0] if kind == "ip" else re.sub(r"[ -]", "", m[0]))
         found.sort(key=lambda e: e.start)
         starts, ends = [e.start for e in found], [e.end for e in found]
+    known: dict[str, Entity] = {}  # names as they may be written again; of a name with several kinds the first one counts
+    for e in found:
+        if e.kind in NAME_KINDS:
+            name = text[e.start : e.end]
+            if len(name) == 1 and name.lower() != name.upper():  # initials are plain words elsewhere, like A and I
+                continue
+            for written_as in dict.fromkeys((name, name.upper(), name.lower().title())):
+                if written_as != written_as.lower() or written_as == name:  # lower case would hit plain words
+                    known.setdefault(written_as, e)
+    if known:
+        for m in _NAME_WORD.finditer(text):
+            for start, end in _mentions(m, known):
+                e = known[text[start:end]]
+                add(e.kind, start, end, e.value)
+        found.sort(key=lambda e: e.start)
     return found
 
 
+def _mentions(word: re.Match, known: dict[str, Entity]) -> Iterator[tuple[int, int]]:
+    """Known names in a word: the whole of it, without a genitive's ending, or its parts between hyphens and apostrophes."""
+    if word[0] in known:
+        yield word.span()
+        return
+    parts = [(word.start() + m.start(), word.start() + m.end()) for m in _NAME_PART.finditer(word[0])]
+    first = 0
+    while first < len(parts):
+        last = next((n for n in range(len(parts) - 1, first - 1, -1) if word.string[parts[first][0] : parts[n][1]] in known), None)
+        if last is not None:
+            yield parts[first][0], parts[last][1]
+        first = first + 1 if last is None else last + 1
+
+
+def _prefix(written_as: str) -> int:
+    """How many characters of a phone number are its calling code with the plus; 0 without one. It ends by the table of codes, wherever a separator stands."""
+    if not written_as.startswith("+"):
+        return 0
+    places = [m.end() for m in _DIGIT.finditer(written_as)]
+    digits = re.sub(r"[^0-9]", "", written_as)
+    return places[next((n for n in (1, 2) if digits[:n] in _CODES), 3) - 1]
+
+
 def _country(written_as: str) -> str:
-    return (re.match(r"\+[0-9]{1,3}", written_as) or [""])[0]
+    return re.sub(r"[^0-9+]", "", written_as[: _prefix(written_as)])
 
 
 def _national(written_as: str) -> str:
-    return re.sub(r"[^0-9]", "", written_as[len(_country(written_as)) :])
+    return re.sub(r"[^0-9]", "", written_as[_prefix(written_as) :])
 
 
 def _permuted(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -198,8 +241,8 @@ def _dressed(kind: str, original: str, new: str) -> str:
     if kind == "ip":
         return new
     if kind == "phone":
-        country, digits = _country(original), iter(new.partition(":")[2])
-        return country + "".join(next(digits) if c.isdigit() else c for c in original[len(country) :])
+        code, digits = _prefix(original), iter(new.partition(":")[2])
+        return original[:code] + "".join(next(digits) if c.isdigit() else c for c in original[code:])
     if kind in ("card", "ssn", "iban"):
         signs = iter(new)
         return "".join(c if c in " -" else next(signs) for c in original)
