@@ -2,8 +2,8 @@
 
 Scan: three base kinds by their patterns, each from left to right without overlap, and more kinds for well-known formats. Every
 candidate's value is hashed. Ownership: over the whole corpus, each hash gets the number of different repositories and
-owners it occurs in. A value that many owners hold is a copied example; one that a single owner holds, and that does not look like
-a placeholder, may be live.
+owners it occurs in. A value that many owners hold is a copied example, and one that few owners hold in many repositories is repeated text rather
+than a secret of one place; one that a single owner holds in few, and that does not look like a placeholder, may be live.
 
 Texts are read once and never shuffled; what is shuffled is one short row per candidate. A hash that a third of all rows
 holds is reduced in two steps, first per owner and repository, before its counts meet.
@@ -92,11 +92,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per_owner.groupBy("sha256").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
-def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3) -> DataFrame:
+def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, repeated_repositories: int = 10) -> DataFrame:
     """Per row: id, ``spans`` with ``repositories`` and ``owners`` of their value and a ``verdict`` each.
 
-    Verdicts: ``copied`` (at least ``copied_owners`` owners have the value), ``placeholder`` (it looks like no secret), ``shared`` (two owners
-    up to that), ``live`` (one owner only).
+    Verdicts: ``copied`` (at least ``copied_owners`` owners have the value), ``placeholder`` (it looks like no secret),
+    ``repeated`` (fewer owners, but at least ``repeated_repositories`` repositories), ``shared`` (two owners up to ``copied_owners``), ``live`` (one owner only).
     """
     rows = documents.select(F.col(id_col).alias("_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("_text"))
     found = secret_spans(rows, "_text", ("_id", "repository", "owner"))
@@ -104,7 +104,8 @@ def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     candidates = scanned.select("row", "repository", "owner", F.posexplode("spans").alias("place", "span"))
     counts = ownership(candidates.select(F.col("span.sha256").alias("sha256"), "repository", "owner"))
     verdict = (
-        F.when(F.col("owners") >= copied_owners, "copied").when(~F.col("span.random"), "placeholder").when(F.col("owners") > 1, "shared").otherwise("live"))
+        F.when(F.col("owners") >= copied_owners, "copied").when(~F.col("span.random"), "placeholder")
+        .when(F.col("repositories") >= repeated_repositories, "repeated").when(F.col("owners") > 1, "shared").otherwise("live"))
     judged = candidates.select("row", "place", "span", F.col("span.sha256").alias("sha256")).join(counts, "sha256")
     full = F.struct("place", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.kind").alias("kind"), "sha256", "repositories", "owners", verdict.alias("verdict"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(full)).alias("judged"))
@@ -113,6 +114,8 @@ def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def secret_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One line per row of :func:`secret_scan`. ``held_by`` has repositories:owners of every span, in the order of ``spans``."""
+
     def line(rows):
         return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
@@ -120,7 +123,8 @@ def secret_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         id_col, *[_count("kind", kind) for kind in BASE_KINDS],
         F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
-        *[_count("verdict", v) for v in ("live", "shared", "copied", "placeholder")])
+        *[_count("verdict", v) for v in ("live", "shared", "copied", "placeholder", "repeated")],
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.repositories.cast("string"), x.owners.cast("string"))), ",").alias("held_by"))
 
 
 def _count(field: str, value: str) -> Column:
