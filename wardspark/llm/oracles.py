@@ -70,9 +70,31 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN of_items USING (r)"""
 
+COLLOCATIONS = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM said, (VALUES (1), (2), (3)) AS t(m)),
+counts AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE m > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = rest),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(list_slice(w, 1, 2), ' ') AS phrase FROM candidates WHERE m = 3 UNION ALL SELECT lang, a, array_to_string(list_slice(w, 2, 3), ' ') FROM candidates WHERE m = 3)
+  GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN longer o ON o.lang = w.lang AND o.phrase = w.phrase WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000"""
+
 ORACLES = {
     "op1_license_scan": licenses(),
     "op5_cap_filters": CAP_FILTERS,
     "op7_perspectives": PERSPECTIVES,
     "op10_winnowing_decontamination": WINNOWING,
+    "op11_collocations": COLLOCATIONS,
 }

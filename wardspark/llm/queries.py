@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardspark.llm.byte_bpe import encode
 from wardspark.llm.cap_filters import vector_dedup
+from wardspark.llm.collocations import collocations
 from wardspark.llm.license_scan import license_report, license_scan
 from wardspark.llm.oracles import ORACLES
 from wardspark.llm.perspectives import rotate, rotation_report
@@ -13,8 +14,11 @@ from wardspark.llm.shared import read
 from wardspark.llm.simhash import simhash_dedup
 from wardspark.llm.surrogates import pseudonymize
 from wardspark.llm.tag_paths import extract
+from wardspark.llm.token_files import read_tokens, write_tokens
 from wardspark.llm.toxicity import toxicity
+from wardspark.llm.whitening import by_component, whitened_vectors
 from wardspark.llm.winnowing import contamination_report, decontaminate
+from wardspark.plans.storage import new_location
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -89,3 +93,23 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows shared with the benchmark."""
     return contamination_report(decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two and three words of each language."""
+    return collocations(read(spark, sf_dir, "documents"), max_words=3, min_count=10, top=2000, covered=50)
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to seekable files and read back from them."""
+    folder = new_location(spark, "tokens")
+    write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, folder)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 components, whitened."""
+    return by_component(whitened_vectors(read(spark, sf_dir, "embeddings"), components=32))
