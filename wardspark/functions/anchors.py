@@ -9,11 +9,12 @@ import sys
 from itertools import product
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,38 +40,52 @@ def _bits(groups: list[list[str]]) -> dict[str, int]:
     return bits
 
 
-def anchor_mask(text: Column, groups: list[list[str]]) -> Column:
-    """An array of bigints, one for every 63 groups: bit ``i % 63`` of element ``i // 63`` is set if the text may contain an
-    anchor of ``groups[i]``; none is set for null."""
-    return F.array(*[_mask(text, groups[i : i + _WIDTH]) for i in range(0, max(1, len(groups)), _WIDTH)])
-
+def text_facts(text: Column, groups: list[list[str]]) -> Column:
+    """What one look at a text tells: ``struct<mask: array<bigint>, n_lines: int>``.
 
-def _mask(text: Column, groups: list[list[str]]) -> Column:
-    bits, built = _bits(groups), []
+    Bit ``i % 63`` of element ``i // 63`` of the mask is set if the text may contain an anchor of ``groups[i]``; lines end as
+    in ``split_lines``. For null no bit is set and there are no lines.
+    """
+    bits, words, built = _bits(groups), max(1, -(-len(groups) // _WIDTH)), []
 
-    @pandas_udf(LongType())
-    def mask(texts: pd.Series) -> pd.Series:
+    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int"))
+    def facts(texts: pa.Array) -> pa.Array:
         if not built:
             automaton = ahocorasick.Automaton()
             for spelling, value in bits.items():
                 automaton.add_word(spelling, value)
             automaton.make_automaton()
-            built.append(automaton)
-
-        def one(value: str | None) -> int:
+            built.append(automaton if bits else None)
+        masks, lines = np.zeros((len(texts), words), np.int64), np.zeros(len(texts), np.int32)
+        for i, value in enumerate(texts.to_pylist()):
+            if not value:
+                continue
+            lines[i] = len(value.splitlines())
             found = 0
-            for _, bit in built[0].iter(" ".join(value.lower().split())) if value else ():
+            for _, bit in built[0].iter(" ".join(value.lower().split())) if built[0] else ():
                 found |= bit
-            return found
+            if found:
+                masks[i] = [found >> _WIDTH * word & (1 << _WIDTH) - 1 for word in range(words)]
+        ends = pa.array(np.arange(0, masks.size + 1, words, dtype=np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), pa.array(lines)], names=["mask", "n_lines"])
+
+    return facts(text)
+
+
+def anchor_mask(text: Column, groups: list[list[str]]) -> Column:
+    """The mask of :func:`text_facts`."""
+    return text_facts(text, groups)["mask"]
 
-        return texts.map(one)
 
-    return F.coalesce(mask(text), F.lit(0).cast("bigint"))
+def in_own_words(groups: list[list[str]]) -> list[list[str]]:
+    """The groups, filled up so that groups added behind them have words of the mask to themselves."""
+    return groups + [[]] * (-len(groups) % _WIDTH)
 
 
 def has_bit(mask: Column, index: int) -> Column:
     return F.get(mask, F.lit(index // _WIDTH)).bitwiseAND(F.lit(1 << index % _WIDTH).cast("bigint")) != 0
 
 
-def any_bit(mask: Column) -> Column:
-    return F.exists(mask, lambda word: word != 0)
+def any_bit(mask: Column, groups: int | None = None) -> Column:
+    """Whether any bit is set, or any of the words that the first ``groups`` groups are in."""
+    return F.exists(mask if groups is None else F.slice(mask, 1, max(1, -(-groups // _WIDTH))), lambda word: word != 0)

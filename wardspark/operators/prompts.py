@@ -64,7 +64,7 @@ def score_prompts(df: DataFrame, text_col: str = "text", signatures: list[dict]
     text = F.col(text_col)
     hits = signature_hits(text, F.col("_mask"), signatures) if signatures else _default_hits(text_col)
     staged = df.withColumns({
-        "_mask": anchor_mask(text, [s.get("anchors", []) for s in signatures or default_signatures()]),
+        "_mask": anchor_mask(text, [s.get("anchors") or [] for s in signatures or default_signatures()]),
         "_entropy": shannon_entropy(text),
         "_blank": is_blank(text),
     }).withColumns({

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
-from wardspark.functions.anchors import any_bit, anchor_mask, has_bit
+from wardspark.functions.anchors import any_bit, has_bit, in_own_words, text_facts
 from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
-from wardspark.functions.text import count_lines, snippet, split_lines
+from wardspark.functions.pattern_anchors import anchors_of
+from wardspark.functions.text import snippet, split_lines
 from wardspark.operators import code_rules, line_rules, supply, text_rules
 from wardspark.operators.hits import HITS, join_arrays
 from wardspark.schemas import FINDING_COLUMNS
@@ -35,7 +36,7 @@ def _detector_hits(name: str) -> list[Column]:
     if name == "ast":
         return [code_rules.code_hits(F.col("facts"))]
     if name == "secrets":
-        return [line_rules.line_pattern_hits(lines, mask, _FIRST["lines"])]
+        return [line_rules.line_pattern_hits(lines, mask, line_rules.builtin_rules(_FIRST["lines"]))]
     if name == "owasp":
         return [line_rules.line_check_hits(lines, mask, _FIRST["checks"])]
     if name == "supply":
@@ -49,7 +50,43 @@ def _detector_hits(name: str) -> list[Column]:
 
 @built_once
 def _custom_hits(rules: str) -> Column:
-    return text_rules.custom_hits(F.col("path"), F.col("content"), json.loads(rules))
+    return text_rules.custom_hits(F.col("path"), F.col("content"), F.col("_mask"), json.loads(rules))
+
+
+def gated(rules: list[dict] | None, groups: list[list[str]]) -> list[dict]:
+    """Rules of a file with their ``anchors`` and the ``bit`` of the mask that tells which texts may match; both are None where
+    the pattern has no anchors, and the rule then runs over every text. Adds the anchors to ``groups``."""
+    placed = []
+    for rule in rules or []:
+        anchors = rule["anchors"] if "anchors" in rule else anchors_of(rule["pattern"])
+        placed.append(rule | {"anchors": anchors, "bit": len(groups) if anchors else None})
+        if anchors:
+            groups.append(anchors)
+    return placed
+
+
+def staged_texts(artifacts: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """``path, target, content, _mask, n_lines``: what one look at every text tells."""
+    looked = artifacts.select("path", "target", "content", text_facts(F.col("content"), groups).alias("_facts"))
+    return looked.select("path", "target", "content", F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
+
+
+def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
+    """``rule_id, anchors, texts, tried, matched`` of every custom rule: over how many texts its pattern has to run, and how many it matches.
+
+    ``anchors`` is null for rules whose pattern has none; they are tried on every text with an extension they name.
+    """
+    groups = in_own_words(GROUPS)
+    rules = gated(custom_rules, groups)
+    staged = staged_texts(artifacts, groups)
+    tried = F.array(*[text_rules.wanted_here(F.col("path"), F.col("_mask"), r) for r in rules])
+    matched = F.transform(_custom_hits(json.dumps(rules)), lambda h: F.get(h["seq"], 0))
+    places = F.filter(F.transform(tried, lambda t, i: F.when(t, i)), lambda i: i.isNotNull())
+    per_text = staged.select(F.explode_outer(F.arrays_zip(places.alias("i"), F.transform(places, lambda i: F.array_contains(matched, i)).alias("found"))).alias("t")).where("t is not null")
+    counts = per_text.groupBy(F.col("t.i").alias("i")).agg(F.count("*").alias("tried"), F.sum(F.col("t.found").cast("int")).alias("matched"))
+    named = local_table(artifacts.sparkSession, [{"i": i, "rule_id": r["id"], "anchors": r["anchors"]} for i, r in enumerate(rules)], "i int, rule_id string, anchors array<string>")
+    texts = artifacts.agg(F.count("*").alias("texts"))
+    return named.join(counts, "i", "left").crossJoin(texts).select("rule_id", "anchors", "texts", F.coalesce("tried", F.lit(0)).alias("tried"), F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
 @built_once
@@ -65,25 +102,35 @@ def scan_artifacts(
     detectors: list[str] | None = None,
     extra_detectors: list | None = None,
     signature_rules: list[dict] | None = None,
+    secret_rules: list[dict] | None = None,
 ) -> DataFrame:
     """One row per artifact: ``path, target, n_lines, hits``.
 
     ``detectors`` picks among the built-in ones. ``signature_rules``, as ``load_signature_rules`` reads them, take the place of
-    the built-in retrieval patterns. Each of ``extra_detectors`` is a function of the columns
+    the built-in retrieval patterns; ``secret_rules``, as ``load_secret_rules`` gives them, are line patterns in front of the built-in ones. The
+    patterns of custom, signature and secret rules run only where one of the anchors that were worked out from them stands. Each of ``extra_detectors`` is a function of the columns
     ``(path, content, lines)`` that returns an array of ``operators.hits.hit`` values.
     """
     wanted = detectors or cat.DETECTORS
-    text = F.col("content")
-    staged = artifacts.select("path", "target", "content", anchor_mask(text, GROUPS).alias("_mask"), count_lines(text).alias("n_lines"))
+    groups = in_own_words(GROUPS)
+    secret_rules = gated(secret_rules if "secrets" in wanted else None, groups)
+    signature_rules = gated(signature_rules if "rag" in wanted else None, groups)
+    custom_rules = gated(custom_rules if "custom" in wanted else None, groups)
+    staged = staged_texts(artifacts, groups)
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
-    needs_lines = any_bit(F.col("_mask")) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(extra_detectors))
+    needs_lines = any_bit(F.col("_mask"), len(GROUPS)) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(extra_detectors))
+    for rule in secret_rules:
+        needs_lines |= text_rules.possible(F.col("_mask"), rule)
     staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>")))
-    hits = [h for name in wanted if name != "custom" and not (name == "rag" and signature_rules) for h in _detector_hits(name)]
-    if "rag" in wanted and signature_rules:
-        hits += [text_rules.signature_hits(F.col("content"), signature_rules), _detector_hits("rag")[1]]
-    if "custom" in wanted and custom_rules:
+    replaced = {name for name, given in (("secrets", secret_rules), ("rag", signature_rules)) if given} | {"custom"}
+    hits = [h for name in wanted if name not in replaced for h in _detector_hits(name)]
+    if secret_rules:
+        hits.append(line_rules.line_pattern_hits(F.col("_lines"), F.col("_mask"), secret_rules + line_rules.builtin_rules(_FIRST["lines"])))
+    if signature_rules:
+        hits += [text_rules.signature_hits(F.col("content"), F.col("_mask"), signature_rules), _detector_hits("rag")[1]]
+    if custom_rules:
         hits.append(_custom_hits(json.dumps(custom_rules)))
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     staged = staged.select(

@@ -24,6 +24,11 @@ def _matched(rule_id: str, order: int, content: Column, pattern: str, possible:
     return F.when(possible & content.rlike(pattern), row)
 
 
+def possible(mask: Column, rule: dict) -> Column:
+    """Whether a rule can match at all, as far as its anchors tell."""
+    return F.lit(True) if rule["bit"] is None else has_bit(mask, rule["bit"])
+
+
 def _pattern_hits(detector: str, rules: list[dict], content: Column, mask: Column, first_bit: int) -> Column:
     found = F.array_compact(F.array(*[
         _matched(r["rule_id"], i, content, java_pattern(r["pattern"], True, r["dotall"]), has_bit(mask, first_bit + i)) for i, r in enumerate(rules)
@@ -38,10 +43,10 @@ def rag_hits(content: Column, mask: Column, first_bit: int) -> Column:
     return _pattern_hits("rag", cat.RAG_PATTERNS, content, mask, first_bit)
 
 
-def signature_hits(content: Column, rules: list[dict]) -> Column:
-    """Matches of retrieval signatures out of a file, with the details the file gives."""
+def signature_hits(content: Column, mask: Column, rules: list[dict]) -> Column:
+    """Matches of retrieval signatures out of a file, with the details the file gives. ``bit`` tells which texts a rule can match; None stands for all."""
     fields = {"title": "title", "severity": "severity", "cwe_id": "cwe", "owasp_id": "owasp", "remediation": "remediation"}
-    found = F.array_compact(F.array(*[_matched(r["id"], i, content, java_pattern(r["pattern"], True, True), F.lit(True)) for i, r in enumerate(rules)]))
+    found = F.array_compact(F.array(*[_matched(r["id"], i, content, java_pattern(r["pattern"], True, True), possible(mask, r)) for i, r in enumerate(rules)]))
     detail = lambda field, order: F.get(F.array(*[F.lit(r.get(field)).cast("string") for r in rules]), order)
     return F.flatten(F.transform(found, lambda y: F.transform(
         places(y["marked"], y["matches"]),
@@ -87,16 +92,20 @@ def model_hits(path: Column, content: Column) -> list[Column]:
     ]
 
 
-def custom_hits(path: Column, content: Column, rules: list[dict]) -> Column:
-    """Matches of user-supplied patterns, each limited to the file extensions it names."""
+def wanted_here(path: Column, mask: Column, rule: dict) -> Column:
+    """Whether a custom rule's pattern has to run: the extension is one it names, and the text has one of its anchors."""
+    named = F.lower(suffix(path)).isin(*rule["file_extensions"]) if rule["file_extensions"] else F.lit(True)
+    return named & possible(mask, rule)
+
+
+def custom_hits(path: Column, content: Column, mask: Column, rules: list[dict]) -> Column:
+    """Matches of user-supplied patterns, each limited to the file extensions it names and to texts with one of its anchors."""
     if not rules:
         return no_hits()
-    ext = F.lower(suffix(path))
     fields = ("name", "category", "severity", "message", "remediation", "cwe", "owasp")
 
     def one(order: int, rule: dict) -> Column:
-        wanted = ext.isin(*rule["file_extensions"]) if rule["file_extensions"] else F.lit(True)
-        matched = _matched(rule["id"], order, content, "(?dU)" + rule["pattern"], wanted)
+        matched = _matched(rule["id"], order, content, "(?dU)" + rule["pattern"], wanted_here(path, mask, rule))
         return F.struct(matched.alias("m"), *[F.lit(rule[f]).cast("string").alias(f) for f in fields])
 
     def made(y: Column, m: Column) -> Column:

@@ -89,6 +89,31 @@ CUSTOM_RULES = [
      "message": "A token is written out.", "remediation": "Revoke it.", "cwe": "CWE-798", "owasp": "LLM06", "file_extensions": []},
 ]
 
+# Parts of words that prose and code hold, for rules in any number.
+_STEMS = ["tion", "ment", "load", "from", "ering", "the", "open", "call", "ound", "self", "ung", "model", "token", "keit", "eau", "import", "prompt", "quel", "schen", "aux"]
+
+
+def many_rules(count: int) -> list[dict]:
+    """Custom rules of six kinds: words next to each other, either of two, with classes and repeats, assignments, calls, and one kind without any fixed word."""
+    rows = []
+    for n in range(count):
+        a, b, c = (_STEMS[(n * step + n // 20) % len(_STEMS)] for step in (1, 3, 7))
+        pattern = [
+            f"{a}{b}", f"(?i){a}[ _]?(?:{b}|{c})", f"(?:{a}|{b}){{2}}[a-z]", f"{a}[a-z_]* *= *['\"]", rf"{a}(?:_{c})?\(", f"[{a[0]}{b[0]}][0-9]{{{1 + n % 3}}}[a-f]",
+        ][n % 6]
+        rows.append({"id": f"MANY-{n:03d}", "severity": "low", "category": "pii_exposure", "pattern": pattern, "message": "m", "file_extensions": [".py"] if n % 11 == 0 else None})
+    return rows
+
+
+# Secret signatures of a file: a rule of its own, one the catalogue knows, one without a fixed word, and one that ends the list.
+SECRET_SIGNATURES = [
+    {"id": "OWN-KEY-001", "provider": "Example", "pattern": r"(?i)HF_[a-z0-9]{34,}", "title": None, "severity": None, "cwe": None, "owasp": None, "remediation": None},
+    {"id": "SEC-KEY-002", "provider": "Other", "pattern": r"sk-ant-[a-z0-9]+-", "title": "Own title", "severity": "HIGH", "cwe": "CWE-1", "owasp": "LLM01", "remediation": "Turn it."},
+    {"id": "SEC-KEY-900", "provider": "Plain", "pattern": r"[0-9][a-z][0-9][A-Z][0-9]", "title": "Mixed", "severity": "LOW", "cwe": None, "owasp": None, "remediation": None},
+    {"id": "OWN-KEY-002", "provider": None, "pattern": "never", "title": None, "severity": None, "cwe": None, "owasp": None, "remediation": None},
+    {"id": "OWN-KEY-003", "provider": "Late", "pattern": "print", "title": None, "severity": None, "cwe": None, "owasp": None, "remediation": None},
+]
+
 # Two detector sets whose findings overlap.
 BASELINE_DETECTORS = ["ast", "owasp", "supply", "rag", "agent", "model"]
 CURRENT_DETECTORS = ["ast", "secrets", "owasp", "supply", "model", "custom"]

@@ -11,6 +11,8 @@ from wardspark.catalog.advisories import ADVISORIES
 from wardspark.catalog.controls import CONTROLS
 from wardspark.catalog.rules import DETECTOR_RULES, RULES, UNSAFE_WEIGHT_FORMATS
 from wardspark.catalog.severity import SARIF_LEVELS, SARIF_SCORES, WEIGHTS
+from wardspark.functions.anchors import FOLDING
+from wardspark.functions.pattern_anchors import anchors_of
 from wardspark.operators.prompts import default_signatures
 from wardspark.plans import corpora
 from wardspark.plans.queries import HEX40, RULE_DETECTORS, STAMP
@@ -61,9 +63,9 @@ def _head(detector: str, rule: str) -> str:
     return _HIT.format(ord=cat.DETECTORS.index(detector), detector=lit(detector), rule=rule)
 
 
-def _secrets() -> str:
+def _secrets(rules=tuple(cat.LINE_PATTERNS)) -> str:
     parts = []
-    for i, r in enumerate(cat.LINE_PATTERNS):
+    for i, r in enumerate(rules):
         pattern = ("(?i)" if r["ignore_case"] else "") + r["pattern"]
         keep, match = "TRUE", "m"
         if r["rule_id"] == "SEC-DOS-001":  # the look-ahead, spelled as a condition on the argument list
@@ -317,6 +319,30 @@ ORACLES["signature_rule_findings"] = scan("SELECT file_path, 'OWN-' || finding_i
 ORACLES["advisory_file_findings"] = scan("SELECT file_path, finding_id, severity, line_number FROM found", ["supply"])
 ORACLES["extra_detector_findings"] = f"""SELECT 'docs/' || doc_id || '.txt' AS file_path, 'WIDE-001-' || n AS finding_id, n AS line_number, 'INFO' AS severity
   FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {split_lines('text')} AS l FROM documents)) WHERE length(line) >= 500"""
+_FOLDED = contains_any("lower(content)", FOLDING) + " OR contains(content, 'İ')"
+_MANY = corpora.many_rules(200)
+MANY = f"""WITH {CODE}, many(rule_id, pattern, only_py) AS ({values([(r["id"], r["pattern"], str(bool(r["file_extensions"])).lower()) for r in _MANY])}),
+anchored(rule_id, anchor) AS ({values([(r["id"], a) for r in _MANY for a in anchors_of(r["pattern"]) or []])}),
+wanted AS (SELECT rule_id, pattern, path, content FROM many, code WHERE content IS NOT NULL AND (only_py = 'false' OR ext = '.py'))"""
+ORACLES["many_custom_rules"] = MANY + """, found AS (
+  SELECT rule_id, path, unnest(range(1, len(ms) + 1)) AS k, ms, string_split(regexp_replace(content, '(' || pattern || ')', chr(1) || '\\1', 'g'), chr(1)) AS ps
+  FROM (SELECT *, regexp_extract_all(content, pattern) AS ms FROM wanted) WHERE len(ms) > 0),
+placed AS (SELECT rule_id, path, ms[k] AS m, array_to_string(ps[1:k], '') AS prefix FROM found)
+SELECT rule_id, count(*) AS findings, count(DISTINCT path) AS artifacts, CAST(sum(1 + length(prefix) - length(replace(prefix, chr(10), ''))) AS BIGINT) AS lines,
+  CAST(sum(length(string_split(prefix, chr(10))[-1]) + 1) AS BIGINT) AS columns, CAST(sum(length(m)) AS BIGINT) AS characters FROM placed GROUP BY rule_id"""
+ORACLES["custom_rule_trials"] = MANY + f""", tried AS (
+  SELECT rule_id, count(*) AS tried FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM anchored a WHERE a.rule_id = w.rule_id) OR {_FOLDED}
+    OR EXISTS (SELECT 1 FROM anchored a WHERE a.rule_id = w.rule_id AND contains(lower(content), anchor)) GROUP BY rule_id),
+matched AS (SELECT rule_id, count(*) AS matched FROM wanted WHERE regexp_matches(content, pattern) GROUP BY rule_id)
+SELECT m.rule_id, EXISTS (SELECT 1 FROM anchored a WHERE a.rule_id = m.rule_id) AS gated, (SELECT count(*) FROM code) AS texts, coalesce(matched, 0) AS matched, TRUE AS covered,
+  coalesce(tried, 0) + CASE WHEN EXISTS (SELECT 1 FROM anchored a WHERE a.rule_id = m.rule_id) THEN 0 ELSE (SELECT count(*) FROM code WHERE content IS NULL AND (m.only_py = 'false' OR ext = '.py')) END AS tried
+FROM many m LEFT JOIN tried t ON t.rule_id = m.rule_id LEFT JOIN matched x ON x.rule_id = m.rule_id"""
+_OWN = [{"rule_id": s["id"], "pattern": s["pattern"], "ignore_case": False} for s in corpora.SECRET_SIGNATURES[:3]] + cat.LINE_PATTERNS
+_TOLD = {r["rule_id"]: r for r in RULES + DETECTOR_RULES}
+_OWN_ROWS = [(i, s["severity"] or "CRITICAL", s["cwe"] or "CWE-798", s["owasp"] or "LLM06:2025-Sensitive-Info-Disclosure") for i, s in enumerate(corpora.SECRET_SIGNATURES[:3])]
+_OWN_ROWS += [(3 + i, *[_TOLD[p["rule_id"]][f] for f in ("severity", "cwe_id", "owasp_id")]) for i, p in enumerate(cat.LINE_PATTERNS)]
+ORACLES["secret_signature_findings"] = f"""WITH {CODE},\n{LINES},\n{_secrets(_OWN)}, told(place, severity, cwe_id, owasp_id) AS ({values(_OWN_ROWS)})
+SELECT path AS file_path, rule_id || '-' || line || '-' || col AS finding_id, rule_id, severity, cwe_id, owasp_id, line AS line_number, col AS column_number, s2 AS place FROM secrets JOIN told ON s2 = place"""
 ORACLES["custom_rule_on_pages"] = f"WITH {_PAGES},\n{_custom()},\n{_CUSTOM_ROWS}\nSELECT path AS file_path, rule_id || '-' || line AS finding_id, line AS line_number, col AS column_number, c_severity AS severity FROM custom JOIN custom_rules USING (rule_id)"
 ORACLES["baseline_round_trip"] = scan("SELECT target, finding_id, family, severity, file_path, line_number, column_number, cwe_id, owasp_id, confidence::DOUBLE AS confidence FROM kept")
 ORACLES["dependencies"] = f"WITH {CODE},\n{LINES},\n{DEPS}\nSELECT path, target, package, version, line_number FROM deps"

@@ -14,7 +14,7 @@ from wardspark.functions.regex import column_of, find_all, line_of, match_offset
 from wardspark.functions.text import basename, count_lines, decode_text, snippet, split_lines, strip, suffix
 from wardspark.functions.versions import version_lt
 from wardspark.operators import code_rules, compliance, diff, findings as fnd, prompts, supply
-from wardspark.operators.scan import dedup_hits, enrich_findings, explode_hits, resolve_findings, rule_table, scan_artifacts
+from wardspark.operators.scan import dedup_hits, enrich_findings, explode_hits, resolve_findings, rule_table, rule_trials, scan_artifacts
 from wardspark.operators.hits import hit
 from wardspark.plans import corpora
 from wardspark.plans.pipelines import ScanRun, run_scan
@@ -209,6 +209,35 @@ def many_signatures(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size(F.filter("threat_types", lambda t: t.startswith("Letter pair"))).alias("pairs"), "threat_score")
 
 
+def many_rules(spark: SparkSession) -> list[dict]:
+    return rule_files.compile_custom_rules(local_table(spark, corpora.many_rules(200), CUSTOM_RULES))
+
+
+@query
+def many_custom_rules(spark, sf_dir):
+    """Findings of 200 custom rules, counted, with the sums of their places."""
+    rows = scan_artifacts(corpora.code_corpus(spark, sf_dir), many_rules(spark), ["custom"]).select("path", F.explode_outer("hits").alias("h")).where("h is not null")
+    return rows.groupBy(F.col("h.rule_id").alias("rule_id")).agg(
+        F.count("*").alias("findings"), F.countDistinct("path").alias("artifacts"), F.sum("h.line").alias("lines"), F.sum("h.col").alias("columns"), F.sum(F.length("h.match")).alias("characters"))
+
+
+@query
+def custom_rule_trials(spark, sf_dir):
+    """Over how many texts the pattern of each of 200 custom rules has to run, and how many it matches."""
+    rows = rule_trials(corpora.code_corpus(spark, sf_dir), many_rules(spark))
+    return rows.select("rule_id", F.col("anchors").isNotNull().alias("gated"), "texts", "matched", (F.col("tried") >= F.col("matched")).alias("covered"), "tried")
+
+
+@query
+def secret_signature_findings(spark, sf_dir):
+    """Line findings by secret signatures that were written to a file in the shared folder, together with the built-in ones."""
+    place = new_location(spark, "secrets")
+    local_table(spark, [{"value": json.dumps({"signatures": corpora.SECRET_SIGNATURES})}], "value string").coalesce(1).write.text(place)
+    rules = rule_files.load_secret_rules(spark, place)
+    rows = resolve_findings(scan_artifacts(corpora.code_corpus(spark, sf_dir), detectors=["secrets"], secret_rules=rules))
+    return rows.select("file_path", "finding_id", "rule_id", "severity", "cwe_id", "owasp_id", "line_number", "column_number", F.element_at("seq", 2).alias("place"))
+
+
 @query
 def custom_rule_on_pages(spark, sf_dir):
     return resolve_findings(scan_artifacts(page_artifacts(pages(spark, sf_dir)), custom_rules(spark), ["custom"])).select("file_path", "finding_id", "line_number", "column_number", "severity")

@@ -9,9 +9,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardspark.catalog import patterns as cat
-from wardspark.catalog.rules import DETECTOR_RULES
+from wardspark.catalog.rules import DETECTOR_RULES, RULES
 from wardspark.catalog.prompt_signatures import SIGNATURE_FILE
 from wardspark.catalog.severity import CATEGORIES, CUSTOM_CATEGORIES, SEVERITY_NAMES
+from wardspark.functions.pattern_anchors import anchors_of
+from wardspark.functions.regex import java_pattern
 from wardspark.operators.prompts import default_signatures
 from wardspark.schemas import CUSTOM_RULES
 from wardspark.sources.local import local_table
@@ -47,7 +49,7 @@ def all_signatures(spark: SparkSession, path: str | None = None) -> list[dict]:
     if path is None:
         return default_signatures()
     rows = load_prompt_signatures(spark, path).orderBy("ord").collect()
-    from_file = [{"type": r["type"], "weight": r["weight"], "pattern": r["pattern"]} for r in rows]
+    from_file = [{"type": r["type"], "weight": r["weight"], "pattern": r["pattern"], "anchors": anchors_of(r["pattern"])} for r in rows]
     return from_file + [s for s in default_signatures() if s["type"] not in {v["vector"] for g in SIGNATURE_FILE.values() for v in g}]
 
 
@@ -71,6 +73,49 @@ def load_signature_rules(spark: SparkSession, path: str | None = None) -> DataFr
     return complete.where(F.col("severity").isin(SEVERITY_NAMES))
 
 
+SECRET_RULES = "id string, provider string, pattern string, title string, severity string, cwe string, owasp string, remediation string"
+
+
+def read_secret_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a secret signature file, in file order: ``ord`` and the fields as the file gives them."""
+    raw = spark.read.text(path, wholetext=True)
+    rows = raw.select(F.posexplode(F.from_json("value", f"signatures array<struct<{','.join(f.replace(' ', ':') for f in SECRET_RULES.split(', '))}>>")["signatures"]).alias("ord", "s"))
+    return rows.select("ord", "s.*")
+
+
+def compile_secret_rules(rules: DataFrame) -> list[dict]:
+    """Secret signatures as ``scan_artifacts`` takes them: line patterns that go before the built-in ones.
+
+    A file is read up to the first row without id, pattern or provider, with a pattern that does not compile, or with an unknown severity; a
+    warning names that row and the number of rows behind it. Title and description are the catalogue's for rules it knows, unless the file gives a title.
+    """
+    known, blank, compiled = {r["rule_id"] for r in RULES + DETECTOR_RULES}, local_table(rules.sparkSession, [{"t": ""}], "t string"), []
+    rows = rules.orderBy("ord").collect()
+    for row in rows:
+        severity = row["severity"] or "CRITICAL"
+        if row["id"] is None or row["provider"] is None:
+            reason = "no id or provider"
+        elif severity not in SEVERITY_NAMES:
+            reason = f"unknown severity {severity}"
+        else:
+            reason = _refusal(blank, row["pattern"])
+        if reason:
+            warnings.warn(f"secret signature {row['id']}: {reason}; {len(rows) - len(compiled)} rows from there on are left out", stacklevel=2)
+            break
+        given = row["id"] in known
+        attrs = {
+            "title": row["title"] or (None if given else f"Exposed secret ({row['id']})"), "severity": severity, "cwe_id": row["cwe"] or "CWE-798",
+            "owasp_id": row["owasp"] or "LLM06:2025-Sensitive-Info-Disclosure", "remediation": row["remediation"] or "Keep the key in a vault or in the environment.",
+            "description": None if given else f"A key or token of {row['provider']} is written out.",
+        }
+        compiled.append({"rule_id": row["id"], "pattern": java_pattern(to_java(row["pattern"])), "ignore_case": False, "anchors": anchors_of(row["pattern"]), "attrs": attrs})
+    return compiled
+
+
+def load_secret_rules(spark: SparkSession, path: str) -> list[dict]:
+    return compile_secret_rules(read_secret_rules(spark, path))
+
+
 def load_advisories(spark: SparkSession, path: str) -> DataFrame:
     """An advisory file in file order."""
     fields = ("package", "vulnerable_below", "cve", "severity", "cwe", "owasp", "description", "remediation")
@@ -207,7 +252,7 @@ def compile_custom_rules(rules: DataFrame) -> list[dict]:
         if reason:
             warnings.warn(f"custom rule {row['id']}: {reason}", stacklevel=2)
         else:
-            compiled.append(row.asDict() | {"pattern": to_java(row["pattern"])})
+            compiled.append(row.asDict() | {"pattern": to_java(row["pattern"]), "anchors": anchors_of(row["pattern"])})
     return compiled
 
 
