@@ -79,11 +79,10 @@ def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
     groups = in_own_words(GROUPS)
     rules = gated(custom_rules, groups)
     staged = staged_texts(artifacts, groups)
-    tried = F.array(*[text_rules.wanted_here(F.col("path"), F.col("_mask"), r) for r in rules])
-    matched = F.transform(_custom_hits(json.dumps(rules)), lambda h: F.get(h["seq"], 0))
-    places = F.filter(F.transform(tried, lambda t, i: F.when(t, i)), lambda i: i.isNotNull())
-    per_text = staged.select(F.explode_outer(F.arrays_zip(places.alias("i"), F.transform(places, lambda i: F.array_contains(matched, i)).alias("found"))).alias("t")).where("t is not null")
-    counts = per_text.groupBy(F.col("t.i").alias("i")).agg(F.count("*").alias("tried"), F.sum(F.col("t.found").cast("int")).alias("matched"))
+    runs = F.array_compact(F.array(*[F.when(text_rules.wanted_here(F.col("path"), F.col("_mask"), r), F.struct(F.lit(i).alias("i"), F.lit(0).alias("hit"))) for i, r in enumerate(rules)]))
+    matches = F.transform(F.array_distinct(F.transform(_custom_hits(json.dumps(rules)), lambda h: F.get(h["seq"], 0))), lambda i: F.struct(i.alias("i"), F.lit(1).alias("hit")))
+    seen = staged.select(F.explode_outer(F.concat(runs, matches)).alias("t")).where("t is not null")
+    counts = seen.groupBy(F.col("t.i").alias("i")).agg(F.count_if(F.col("t.hit") == 0).alias("tried"), F.count_if(F.col("t.hit") == 1).alias("matched"))
     named = local_table(artifacts.sparkSession, [{"i": i, "rule_id": r["id"], "anchors": r["anchors"]} for i, r in enumerate(rules)], "i int, rule_id string, anchors array<string>")
     texts = artifacts.agg(F.count("*").alias("texts"))
     return named.join(counts, "i", "left").crossJoin(texts).select("rule_id", "anchors", "texts", F.coalesce("tried", F.lit(0)).alias("tried"), F.coalesce("matched", F.lit(0)).alias("matched"))

@@ -170,6 +170,38 @@ def code_artifacts(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Detectors that look at text alone, whatever the name of the file.
+RESCAN_DETECTORS = ["secrets", "owasp", "rag", "agent"]
+#: Versions of the corpus for re-scans, as SQL: which documents a batch brings, which slot their fragment comes from, and whether they go.
+VERSIONS = [
+    ("TRUE", "doc_id", "FALSE"),
+    ("doc_id % 3 > 0", "CASE WHEN doc_id % 3 = 1 THEN doc_id + 5 ELSE doc_id END", "FALSE"),
+    ("doc_id % 4 < 2", "doc_id + 11", "doc_id % 4 = 0"),
+]
+
+
+def versioned_artifacts(documents: DataFrame, version: int) -> DataFrame:
+    """The artifacts that come with one version; many of a target have the same file name."""
+    comes, slot, goes = VERSIONS[version]
+    fragment = _pick(tuple(s[1] for s in CODE_SLOTS), slot)
+    return documents.where(comes).select(
+        F.expr("'src/' || source || '/d' || doc_id || '/m' || (doc_id % 7) || '.py'").alias("path"), F.col("source").alias("target"),
+        F.concat("text", F.lit("\n"), fragment, F.lit("\n")).alias("content"), F.expr(goes).alias("removed"))
+
+
+def versions_sql(version: int) -> str:
+    """CTE ``code`` as of a version: every document with the fragment it was last given."""
+    slot, gone = "doc_id", "FALSE"
+    for comes, newer, goes in VERSIONS[1 : version + 1]:
+        slot, gone = f"CASE WHEN {comes} THEN {newer} ELSE {slot} END", f"CASE WHEN {comes} THEN {goes} ELSE {gone} END"
+    rows = ",\n".join(f"({i}, {_sql(text)})" for i, (_, text, _) in enumerate(CODE_SLOTS))
+    return f"""slots(slot, fragment) AS (VALUES {rows}),
+code AS (
+  SELECT 'src/' || source || '/d' || doc_id || '/m' || (doc_id % 7) || '.py' AS path, source AS target, s.slot, '.py' AS ext, 'm' AS name, 0 AS first_line, doc_id,
+         text || chr(10) || fragment || chr(10) AS content
+  FROM documents JOIN slots s ON ({slot}) % {len(CODE_SLOTS)} = s.slot WHERE NOT ({gone}))"""
+
+
 def code_corpus_sql() -> str:
     """CTEs ``slots`` and ``code(path, target, content, slot, first_line, ext, name)``."""
     rows = ",\n".join(f"({i}, {_sql(name)}, {_sql(text)})" for i, (name, text, _) in enumerate(CODE_SLOTS))

@@ -475,6 +475,23 @@ ORACLES["fingerprint_sets"] = _diff("SELECT target, fingerprint, status FROM dif
 ORACLES["diff_summary"] = _diff("SELECT target, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'fixed') AS fixed, count(*) FILTER (WHERE status = 'persisting') AS persisting, count(*) FILTER (WHERE status = 'new') > 0 AS has_regressions FROM diffed GROUP BY target")
 
 
+def _rescan(version: int, select: str) -> str:
+    """The difference between two versions of the corpus, each scanned whole."""
+    wanted = corpora.RESCAN_DETECTORS
+    snapshot = lambda v: "WITH " + ",\n".join([corpora.versions_sql(v), LINES, *[_PARTS[d] for d in wanted], CATALOGUE, _CUSTOM_ROWS, findings_ctes(wanted)]) + f"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, fingerprint ORDER BY {weight('severity')}, file_path DESC, line_number DESC, ord DESC, s1 DESC, s2 DESC, s3 DESC) AS pick
+  FROM (SELECT *, regexp_replace(finding_id, '-[^-]*$', '') || '::' || string_split(file_path, '/')[-1] || '::' || line_number AS fingerprint FROM kept)) WHERE pick = 1"""
+    before = snapshot(version - 1) if version else snapshot(0) + " AND FALSE"
+    return f"""SELECT {version} AS batch, {select} FROM (
+  SELECT CASE WHEN o.target IS NULL THEN 'new' WHEN n.target IS NULL THEN 'fixed' ELSE 'persisting' END AS status, coalesce(n.target, o.target) AS target, coalesce(n.fingerprint, o.fingerprint) AS fingerprint,
+    coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.finding_id, o.finding_id) AS finding_id, coalesce(n.severity, o.severity) AS severity
+  FROM ({before}) o FULL OUTER JOIN ({snapshot(version)}) n ON o.target = n.target AND o.fingerprint = n.fingerprint)"""
+
+
+ORACLES["rescan_changes"] = " UNION ALL ".join(_rescan(v, "status, target, fingerprint, file_path, finding_id, severity") + " WHERE status <> 'persisting'" for v in range(len(corpora.VERSIONS)))
+ORACLES["rescan_diffs"] = " UNION ALL ".join(_rescan(v, "status, target, fingerprint, file_path, severity") for v in range(len(corpora.VERSIONS)))
+
+
 def _control_ctes(framework: str) -> str:
     rows = values((domain, key) for domain, keys in CONTROLS[framework].items() for key in keys)
     matched = " OR ".join(f"contains(lower({c}), lower(key))" for c in ("owasp_id", "cwe_id", "finding_id", "meta_rule", "detector_name"))

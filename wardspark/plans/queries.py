@@ -1,5 +1,6 @@
 """The registered queries: one per operator, each over whole tables or over data derived from them."""
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +25,7 @@ from wardspark.schemas import CUSTOM_RULES
 from wardspark.sources.local import local_table
 from wardspark.sources import reports as report_source, rule_files
 from wardspark.sources.artifacts import artifacts_from_table, in_ignored_directory, scannable, spread
+from wardspark.streaming.rescan import Rescan, stream_rescan
 from wardspark.streaming.pipelines import stream_audit_append, stream_scan_artifacts, stream_score_prompts
 
 QUERIES: dict = {}
@@ -730,6 +732,32 @@ def stream_page_findings(spark, sf_dir):
     return _streamed(stream_scan_artifacts(rows, custom_rules(spark)).select("file_path", "finding_id", "line_number", "column_number", "severity"))
 
 
+def _rescanned(spark: SparkSession, sf_dir: str, compact_every: int = 20) -> Rescan:
+    """Three versions of the corpus, taken in by a stream one after the other."""
+    incoming, checkpoint = new_location(spark, "versions"), new_location(spark, "rescan-checkpoint")
+    state = Rescan(new_location(spark, "rescan"), compact_every=compact_every, scan={"detectors": corpora.RESCAN_DETECTORS})
+    for version in range(len(corpora.VERSIONS)):
+        rows = corpora.versioned_artifacts(documents(spark, sf_dir), version)
+        rows.write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).parquet(incoming)
+        stream_rescan(stream, state, checkpoint, removed_col="removed").trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+@query
+def rescan_changes(spark, sf_dir):
+    """Findings of artifacts that changed, over three batches of which each brings a part of the corpus."""
+    return _rescanned(spark, sf_dir).changes(spark).where("status <> 'persisting'").select("batch", "status", "target", "fingerprint", "file_path", "finding_id", "severity")
+
+
+@query
+def rescan_diffs(spark, sf_dir):
+    """Differences between the corpus before and after each of three batches, with the state written whole in between."""
+    state = _rescanned(spark, sf_dir, compact_every=2)
+    rows = [state.diff(spark, i).withColumn("batch", F.lit(i)) for i in range(len(corpora.VERSIONS))]
+    return functools.reduce(DataFrame.unionByName, rows).select("batch", "status", "target", "fingerprint", "file_path", "severity")
+
+
 @query
 def stream_audit_entries(spark, sf_dir):
     return _streamed_audit(spark, sf_dir, 1)
