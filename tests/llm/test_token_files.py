@@ -32,7 +32,9 @@ def test_words_have_the_ids_of_the_whole_text(library, monkeypatch):
     monkeypatch.setattr(tf, "SLICE", 50)
     monkeypatch.setattr(tf, "REMEMBERED", 20)
     encoder = tf.WordEncoder(PATH)
-    for _, text in [*ROWS, (0, None)]:
+    plain_letters = "".join(f" x{chr(c)} {chr(c)}y, {chr(c)}" for c in [*range(0x20, 0x250), 0x3A3, 0x3C2, 0x1E9E, 0x212A, 0xFB01])
+    marks = "J\u030c j\u030c e\u0301 E\u0301 <\u0338 a<\u0338 a,\u0338 W\u030a wo.\u0301 don't. it's, 'S, I'M! a.b a... ?! 'quoted.' x;; Straße, ÉTÉ. œuvre ĲSSEL ŉ ſ ı İ"
+    for _, text in [*ROWS, (0, None), (0, plain_letters), (0, marks), (0, marks * 50)]:
         assert np.frombuffer(b"".join(encoder.encode(text or "")), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
@@ -96,5 +98,5 @@ def test_empty_table_and_a_crowd_of_equal_rows(spark, tmp_path):
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
     crowd = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(LONG[:2000]).alias("text"))
     manifest = write_tokens(crowd, str(tmp_path / "crowd"), PATH, 2, file_bytes=100_000)
-    assert len(manifest["files"]) > 3 and max(f["documents"] for f in manifest["files"]) < 2000
+    assert len(manifest["files"]) >= 3 and max(f["documents"] for f in manifest["files"]) < 2000
     assert read_tokens(spark, str(tmp_path / "crowd")).groupBy("n_tokens", "ids_crc32").count().count() == 1

@@ -69,7 +69,7 @@ def test_many_tasks_add_up_in_two_steps(spark, monkeypatch):
 
 
 def test_unfit_rows_are_dropped(spark):
-    rows = [*cloud(50, 6), (50, None), (51, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (52, [math.nan] * 6), (53, [math.inf, 0, 0, 0, 0, 0.0]), (54, []), (55, [-0.4] * 6)]
+    rows = [*cloud(50, 6), (50, None), (51, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (52, [math.nan] * 6), (53, [math.inf, 0.0, 0.0, 0.0, 0.0, 0.0]), (54, []), (55, [-0.4] * 6)]
     compare(spark, rows)
     other = [*rows, (60, [1.0, 2.0]), (61, [2.0**41] * 6)]
     assert {r.vec_id for r in whitened_vectors(table(spark, other)).collect()} == {*range(50), 55}

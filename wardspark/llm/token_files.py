@@ -10,14 +10,17 @@ order of a hash of their texts. A null or empty text is the end id alone. A task
 attempts that Spark counted, so a task that was lost or ran twice leaves a file that nobody reads. The folder must be one that ``pyarrow.fs`` can open from all executors.
 """
 
+import functools
 import io
 import itertools
 import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +37,56 @@ from wardspark.llm.shared import slices, text_key, written
 FRAME = 1 << 18
 #: Bytes in a file, about.
 FILE = 32 << 20
-#: Characters of a text that are split at a time, longest word that is remembered, words that a task remembers, bytes that are read at once.
-SLICE, LONGEST, REMEMBERED, READ = 1 << 20, 40, 400_000, 8 << 20
+#: Characters of a text that are split at a time, longest word that is remembered, words that a Python worker remembers (200 bytes each), bytes that are read at once.
+SLICE, LONGEST, REMEMBERED, READ = 1 << 20, 40, 1_200_000, 8 << 20
 #: Fixed values of the seekable format: skippable frames of the index and of the seek table, the table's last word, the flag for checksums.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER = struct.Struct("<IBI")
 BLANK = re.compile(r"[ \n]")
+#: Words of letters that have one spelling and one lower case: ASCII, Latin-1 and Latin Extended-A without the dotted I.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
+class Words(dict):
+    """Ids of words as little-endian bytes, worked out when first asked for; all go when there are too many."""
+
+    def __init__(self, library) -> None:
+        self.encode, self.merge = library.encode, library.model.tokenize
+        normal, cut = library.normalizer, library.pre_tokenizer
+        letters = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x180)) if PLAIN.fullmatch(c) and c.islower())
+        #: How the library spells a letter before it merges; the letters of words that it neither changes nor cuts.
+        self.spelt = {ord(c): cut.pre_tokenize_str(normal.normalize_str(c))[0][0] for c in letters}
+
+    def __missing__(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            low = word.lower()
+            found = self[low] if low != word else _little([token.id for token in self.merge(word if word.isascii() else word.translate(self.spelt))])
+        elif (stem := word.rstrip(".,;:!?")) != word and PLAIN.fullmatch(stem):
+            rare = stem not in self
+            found = self[stem] + self[word[len(stem) :]]  # a letter and a mark are never in one token
+            if rare:
+                return found
+        else:
+            found = _little(self.encode(word, add_special_tokens=False).ids)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class WordEncoder:
     """The tokenizers library, asked once for each word.
 
-    Only for tokenizers whose tokens never hold a blank or line end: then a text's ids are those of its words between them, one after the other. The strings of special
+    Only for tokenizers whose tokens never hold a blank or line end, and which lower-case: then a text's ids are those of its words between them, one after the other. Words of
+    plain letters go straight to the library's merges, for it would neither change nor cut them but for their case. The strings of special
     tokens in a text are treated as the library does by itself.
     """
 
@@ -53,11 +94,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.words = Words(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text as little-endian bytes, slice by slice."""
@@ -65,22 +102,19 @@ class WordEncoder:
         while start < len(text):
             cut = BLANK.search(text, start + SLICE)
             stop = cut.start() if cut else len(text)
-            words = text[start:stop].replace("\n", " ").split(" ")
-            if missing := [w for w in set(words) if w not in self.known]:
-                if len(self.known) + len(missing) > REMEMBERED:
-                    self.known = {"": b""}
-                    missing = [w for w in set(words) if w]
-                self.known.update(zip(missing, self._ask(missing)))
-            yield b"".join([self.known[w] for w in words])
-            for word in missing:
-                if len(word) > LONGEST:
-                    del self.known[word]
+            yield b"".join(map(self.words.__getitem__, text[start:stop].replace("\n", " ").split(" ")))
             start = stop
 
 
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: it is loaded once, and keeps the words it knows."""
+    return WordEncoder(path)
+
+
 def frames(ids: Iterator[bytes], frame: int = FRAME) -> Iterator[tuple[bytes, int]]:
     """Compressed frames of at most ``frame`` ids, with the checksums of their contents."""
-    press, held = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True), b""
+    press, held = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True), b""
     for part in itertools.chain(ids, [None]):
         held += part or b""
         while held and (part is None or len(held) > 4 * frame):
@@ -94,7 +128,7 @@ def encoded(documents: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("tie long, n_tokens long, frames binary, sizes array<long>, sums array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = word_encoder(tokenizer), struct.pack("<I", end_id)
         for batch in slices(batches, 64):
             counts, bodies, sizes, sums = [], [], [], []
             for text in batch.column(1).to_pylist():
