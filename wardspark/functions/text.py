@@ -40,16 +40,21 @@ def snippet(lines: Column, line_number: Column, context: int = 2) -> Column:
     """A line with its neighbours, numbered; the line itself carries a pointer. Empty if there is no such line."""
     first = F.greatest(F.lit(1), line_number - context)
     shown = F.slice(lines, first, F.least(F.size(lines), line_number + context) - first + 1)
+    inside = (line_number >= 1) & (line_number <= F.size(lines))
+    return F.when(inside, numbered_lines(shown, first, line_number)).otherwise(F.lit(""))
+
+
+def numbered_lines(shown: Column, first: Column, pointed: Column) -> Column:
+    """Lines one below the other with their numbers from ``first`` on, and a pointer at one of them."""
     numbered = F.transform(
         shown,
         lambda line, i: F.concat(
             F.format_string("%4d", first + i),
-            F.when(first + i == line_number, F.lit(" > ")).otherwise(F.lit("   ")),
+            F.when(first + i == pointed, F.lit(" > ")).otherwise(F.lit("   ")),
             line,
         ),
     )
-    inside = (line_number >= 1) & (line_number <= F.size(lines))
-    return F.when(inside, F.array_join(numbered, "\n")).otherwise(F.lit(""))
+    return F.array_join(numbered, "\n")
 
 
 def basename(path: Column) -> Column:

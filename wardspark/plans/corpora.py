@@ -202,6 +202,24 @@ code AS (
   FROM documents JOIN slots s ON ({slot}) % {len(CODE_SLOTS)} = s.slot WHERE NOT ({gone}))"""
 
 
+def file_artifacts(documents: DataFrame) -> DataFrame:
+    """The code corpus as files: ``name, content`` with names that start with an underscore in every other folder. Weight files have a few bytes."""
+    name = _pick(tuple(s[0] for s in CODE_SLOTS), "doc_id")
+    name = F.when((F.col("doc_id") % 2 == 1) & name.endswith(".py") & (name != "setup.py"), F.concat(F.lit("_"), name)).otherwise(name)
+    text = F.concat("text", F.lit("\n"), F.coalesce(_pick(tuple(s[1] for s in CODE_SLOTS), "doc_id"), F.lit("weights")), F.lit("\n"))
+    return documents.select(F.concat(F.lit("src/"), "source", F.lit("/d"), "doc_id", F.lit("/"), name).alias("name"), text.alias("content"))
+
+
+def file_corpus_sql() -> str:
+    """CTE ``code`` as of :func:`file_artifacts`, with paths below the folder."""
+    rows = ",\n".join(f"({i}, {_sql(name)}, {_sql(text)})" for i, (name, text, _) in enumerate(CODE_SLOTS))
+    return f"""slots(slot, fname, fragment) AS (VALUES {rows}),
+code AS (
+  SELECT 'src/' || source || '/d' || doc_id || '/' || CASE WHEN doc_id % 2 = 1 AND fname LIKE '%.py' AND fname <> 'setup.py' THEN '_' ELSE '' END || fname AS path, 'files' AS target, slot, fname AS name,
+         lower(regexp_extract(fname, '.(\\.[^.]+)$', 1)) AS ext, text || chr(10) || fragment || chr(10) AS content, 0 AS first_line, doc_id
+  FROM documents JOIN slots ON doc_id % {len(CODE_SLOTS)} = slot)"""
+
+
 def code_corpus_sql() -> str:
     """CTEs ``slots`` and ``code(path, target, content, slot, first_line, ext, name)``."""
     rows = ",\n".join(f"({i}, {_sql(name)}, {_sql(text)})" for i, (name, text, _) in enumerate(CODE_SLOTS))

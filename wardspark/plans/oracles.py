@@ -376,6 +376,14 @@ for _rule, _detector in RULE_DETECTORS.items():
 
 _SNIPPET = """array_to_string(list_transform(range(greatest(1, {n} - 2), least(len({lines}), {n} + 2) + 1),
   lambda i: printf('%4d', i) || CASE WHEN i = {n} THEN ' > ' ELSE '   ' END || {lines}[i]), chr(10))"""
+ORACLES["chunked_findings"] = scan(f"SELECT file_path, finding_id, severity, line_number, column_number, CASE WHEN detector IN ('secrets', 'owasp') THEN md5({_SNIPPET.format(n='line_number', lines='all_lines')}) END AS snippet FROM kept")
+ORACLES["chunk_places"] = """WITH cut AS (
+  SELECT 'docs/' || doc_id || '.txt' AS path, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT path, list_transform(range(1, len(l) + 1), lambda i: l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END) AS l FROM cut),
+kept AS (SELECT path, l, unnest(range(0, greatest(1, CAST(ceil(len(l) / 5.0) AS BIGINT)))) AS part FROM lines)
+SELECT path, CAST(part AS INTEGER) AS part, CAST(5 * part AS INTEGER) AS first_line, CAST(length(array_to_string(l[1 : 5 * part], '')) AS BIGINT) AS first_offset, md5(array_to_string(l[5 * part + 1 : 5 * part + 5], '')) AS chunk FROM kept"""
+_FILE_DETECTORS = ["secrets", "owasp", "rag", "agent", "model"]
+ORACLES["file_findings"] = "WITH " + ",\n".join([corpora.file_corpus_sql(), LINES, *[_PARTS[d] for d in _FILE_DETECTORS], CATALOGUE, _CUSTOM_ROWS, findings_ctes(_FILE_DETECTORS)]) + "\nSELECT file_path, finding_id, severity, line_number, column_number FROM found"
 ORACLES["secret_details"] = scan(f"SELECT file_path, finding_id, {mask('match')} AS match, sha256(match) AS match_sha256, md5({_SNIPPET.format(n='line_number', lines='all_lines')}) AS snippet_md5, 0.92::DOUBLE AS confidence FROM found", ["secrets"])
 ORACLES["model_artifacts"] = scan("SELECT file_path, finding_id, severity, line_number, CASE WHEN rule_id LIKE 'MODEL-UNSAFE-FMT-%' THEN '.' || lower(split_part(rule_id, '-', 4)) END AS extension, confidence::DOUBLE AS confidence FROM found", ["model"])
 ORACLES["supply_chain_findings"] = f"WITH {CODE},\n{LINES},\n{DEPS},\n{MATCHED}\nSELECT path AS file_path, 'SC-' || replace(cve, '-', '') || '-' || line_number AS finding_id, severity, line_number, cwe AS cwe_id, owasp AS owasp_id, package, version, cve, below AS safe_version FROM covered"

@@ -16,6 +16,7 @@ from wardspark.functions.text import basename, count_lines, decode_text, snippet
 from wardspark.functions.versions import version_lt
 from wardspark.operators import code_rules, compliance, diff, findings as fnd, prompts, supply
 from wardspark.operators.scan import dedup_hits, enrich_findings, explode_hits, resolve_findings, rule_table, rule_trials, scan_artifacts
+from wardspark.operators.chunks import chunk_offsets, cut_artifacts, scan_chunks
 from wardspark.operators.hits import hit
 from wardspark.plans import corpora
 from wardspark.plans.pipelines import ScanRun, run_scan
@@ -24,6 +25,7 @@ from wardspark.sinks import audit, reports as report_sink, sarif, sbom
 from wardspark.schemas import CUSTOM_RULES
 from wardspark.sources.local import local_table
 from wardspark.sources import reports as report_source, rule_files
+from wardspark.sources.files import opened, read_chunks
 from wardspark.sources.artifacts import artifacts_from_table, in_ignored_directory, scannable, spread
 from wardspark.streaming.rescan import Rescan, stream_rescan
 from wardspark.streaming.pipelines import stream_audit_append, stream_scan_artifacts, stream_score_prompts
@@ -109,6 +111,48 @@ def artifacts_from_documents(spark, sf_dir):
     return document_artifacts(spark, sf_dir).select("path", "target", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
+@query
+def chunked_findings(spark, sf_dir):
+    """All findings of the code corpus, cut into chunks of seven lines."""
+    chunks = cut_artifacts(corpora.code_corpus(spark, sf_dir), 7)
+    rows = resolve_findings(scan_chunks(chunks, custom_rules(spark)).withColumn("hits", dedup_hits(F.col("hits"))))
+    return rows.select("file_path", "finding_id", "severity", "line_number", "column_number", F.when(F.col("detector").isin("secrets", "owasp"), F.md5("code_snippet")).alias("snippet"))
+
+
+@query
+def chunk_places(spark, sf_dir):
+    """Lines and characters before each chunk of five lines of every document."""
+    chunks = chunk_offsets(cut_artifacts(document_artifacts(spark, sf_dir), 5))
+    return chunks.select("path", "part", "first_line", "first_offset", F.md5("content").alias("chunk"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for every document, written by the tasks."""
+    folder = new_location(spark, "files")
+
+    def save(batches):
+        for batch in batches:
+            system, top = opened(folder)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{top}/{name}", compression=None) as out:
+                    out.write(content.encode())
+            yield batch.select(["name"])
+
+    corpora.file_artifacts(documents(spark, sf_dir)).mapInArrow(save, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query
+def file_findings(spark, sf_dir):
+    """Line findings of files that were written to the shared folder, read in ranges of 2,000 bytes, hidden names among them."""
+    folder = _files(spark, sf_dir)
+    chunks = read_chunks(spark, folder, range_bytes=2000, task_bytes=1 << 20)
+    top = len(opened(folder)[1]) + 2
+    rows = resolve_findings(scan_chunks(chunks, detectors=["secrets", "owasp", "rag", "agent", "model"]))
+    return rows.select(F.expr(f"substring(file_path, {top})").alias("file_path"), "finding_id", "severity", "line_number", "column_number")
+
+
 @query
 def decode_invalid_utf8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
