@@ -11,7 +11,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FACTS = (
     "struct<"
-    "calls:array<struct<seq:int,line:int,col:int,func:string,first_arg_kind:string,first_arg_src:string,kwargs:map<string,string>>>,"
+    "calls:array<struct<seq:int,line:int,col:int,func:string,first_arg_kind:string,first_arg_src:string,kwargs:map<string,string>,resolved_name:string,torch_seen:boolean>>,"
     "imports:array<struct<seq:int,local_name:string,full_name:string,module:string>>,"
     "assigns:array<struct<seq:int,line:int,col:int,target:string,value_src:string>>>"
 )
@@ -19,6 +19,7 @@ _ARROW = pa.struct([
     ("calls", pa.list_(pa.struct([
         ("seq", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("func", pa.string()),
         ("first_arg_kind", pa.string()), ("first_arg_src", pa.string()), ("kwargs", pa.map_(pa.string(), pa.string())),
+        ("resolved_name", pa.string()), ("torch_seen", pa.bool_()),
     ]))),
     ("imports", pa.list_(pa.struct([
         ("seq", pa.int32()), ("local_name", pa.string()), ("full_name", pa.string()), ("module", pa.string()),
@@ -56,20 +57,38 @@ def facts_of(code: str | None) -> dict | None:
         return None
 
 
+def _reading_order(tree: ast.AST) -> list[tuple[ast.AST, bool]]:
+    """All nodes in the order the code is read, each with whether it stands in an f-string."""
+    nodes, pending = [], [(tree, False)]
+    while pending:  # children are stacked in reverse
+        node, quoted = pending.pop()
+        nodes.append((node, quoted))
+        quoted = quoted or isinstance(node, ast.JoinedStr)
+        pending.extend((child, quoted) for child in reversed(list(ast.iter_child_nodes(node))))
+    return nodes
+
+
+def _stand_in(call: ast.Call) -> None:
+    """Turns a call into a name that reads like it, so that calls around it do not write it out once more. A call never needs brackets, nor does a name."""
+    source = _source(call)
+    if source:
+        call.__class__ = ast.Name
+        call.id, call.ctx = source, ast.Load()
+
+
 def _facts(tree: ast.AST) -> dict:
-    pending = [tree]
-    calls, imports, assigns, seq = [], [], [], 0
-    while pending:  # children are stacked in reverse, so nodes come in reading order
-        node = pending.pop()
-        seq += 1
+    """One walk down for names: an index of the imports read so far tells what a call's name stands for. One walk back up for sources:
+    inner calls come first, and outer ones take over what was written for them."""
+    calls, imports, assigns = [], [], []
+    full_names, torch_seen, sources = {}, False, []
+    for seq, (node, quoted) in enumerate(_reading_order(tree), 1):
         if isinstance(node, ast.Call):
-            first = node.args[0] if node.args else None
+            func, first = _dotted(node.func), node.args[0] if node.args else None
             calls.append({
-                "seq": seq, "line": node.lineno, "col": node.col_offset, "func": _dotted(node.func),
-                "first_arg_kind": type(first).__name__ if first is not None else "",
-                "first_arg_src": _source(first) if first is not None else "",
-                "kwargs": [(k.arg, _source(k.value)) for k in node.keywords if k.arg],
+                "seq": seq, "line": node.lineno, "col": node.col_offset, "func": func, "first_arg_kind": type(first).__name__ if first is not None else "",
+                "resolved_name": func if "." in func else full_names.get(func, func), "torch_seen": torch_seen,
             })
+            sources.append((node, calls[-1], quoted))
         elif isinstance(node, ast.Import):
             for alias in node.names:
                 imports.append({"seq": seq, "local_name": alias.asname, "full_name": alias.name, "module": alias.name})
@@ -81,8 +100,20 @@ def _facts(tree: ast.AST) -> dict:
         elif isinstance(node, ast.Assign):
             for target in node.targets:
                 if isinstance(target, ast.Name):
-                    assigns.append({"seq": seq, "line": node.lineno, "col": target.col_offset, "target": target.id, "value_src": _source(node.value)})
-        pending.extend(reversed(list(ast.iter_child_nodes(node))))
+                    assigns.append({"seq": seq, "line": node.lineno, "col": target.col_offset, "target": target.id})
+                    sources.append((node, assigns[-1], quoted))
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            for entry in imports[-len(node.names) :]:
+                full_names[entry["local_name"]] = entry["full_name"]
+                torch_seen = torch_seen or entry["module"] == "torch"
+    for node, fact, quoted in reversed(sources):
+        if isinstance(node, ast.Assign):
+            fact["value_src"] = _source(node.value)
+        else:
+            fact["first_arg_src"] = _source(node.args[0]) if node.args else ""
+            fact["kwargs"] = [(k.arg, _source(k.value)) for k in node.keywords if k.arg]
+            if not quoted:  # in an f-string quotes depend on what is inside
+                _stand_in(node)
     return {"calls": calls, "imports": imports, "assigns": assigns}
 
 

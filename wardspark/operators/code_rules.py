@@ -36,22 +36,11 @@ def with_code_facts(artifacts: DataFrame, condition: Column | None = None) -> Da
     return artifacts.withColumn("facts", code_facts_udf()(F.when(wanted, F.col("content"))))
 
 
-def resolve_import(call: Column, imports: Column) -> Column:
-    """The full name behind a bare call name: the latest import of that name above the call, else the name itself."""
-    above = F.filter(imports, lambda i: (i["local_name"] == call["func"]) & (i["seq"] < call["seq"]))
-    bare = ~F.contains(call["func"], F.lit("."))
-    return F.coalesce(F.when(bare, F.try_element_at(above, F.lit(-1))["full_name"]), call["func"])
-
-
 def resolve_imports(artifacts: DataFrame) -> DataFrame:
-    """The call table of Python artifacts: one row per call with its resolved name."""
-    rows = with_code_facts(artifacts).where("facts is not null").select("path", "target", "facts")
-    resolved = F.transform(
-        F.col("facts.calls"),
-        lambda c: F.struct(*[c[f].alias(f) for f in ("seq", "line", "col", "func", "first_arg_kind", "first_arg_src", "kwargs")],
-                           resolve_import(c, F.col("facts.imports")).alias("resolved_name")),
-    )
-    return rows.select("path", "target", F.explode(resolved).alias("call")).select("path", "target", "call.*")
+    """The call table of Python artifacts: one row per call. ``resolved_name`` is the full name behind a bare name: that of the latest import of
+    the name above the call, else the name itself."""
+    rows = with_code_facts(artifacts).where("facts is not null").select("path", "target", F.explode("facts.calls").alias("call"))
+    return rows.select("path", "target", "call.*").drop("torch_seen")
 
 
 def import_table(artifacts: DataFrame) -> DataFrame:
@@ -72,16 +61,15 @@ def _flag(call: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(call["kwargs"], F.lit(name)) == "True", F.lit(False))
 
 
-def _branch(call: Column, imports: Column) -> Column:
+def _branch(call: Column) -> Column:
     """The rule of the first branch that takes the call; a branch may take a call and find nothing."""
-    func, resolved = call["func"], resolve_import(call, imports)
+    func, resolved = call["func"], call["resolved_name"]
     none = F.lit(None).cast("string")
     rule_if = lambda condition, rule: F.when(condition, F.lit(rule)).otherwise(none)
-    torch_seen = F.exists(imports, lambda i: (i["module"] == "torch") & (i["seq"] < call["seq"]))
     loader = F.coalesce(F.try_element_at(call["kwargs"], F.lit("Loader")), F.lit(""))
     return (
         F.when(func.isin(PICKLE_NAMES) | resolved.isin(PICKLE_RESOLVED), F.lit("AST-DESER-001"))
-        .when((func == "torch.load") | ((func == "load") & (F.contains(resolved, F.lit("torch.load")) | torch_seen)),
+        .when((func == "torch.load") | ((func == "load") & (F.contains(resolved, F.lit("torch.load")) | call["torch_seen"])),
               rule_if(~_flag(call, "weights_only"), "AST-DESER-002"))
         .when(func.isin("np.load", "numpy.load") | F.contains(resolved, F.lit("numpy.load")),
               rule_if(_flag(call, "allow_pickle"), "AST-DESER-003"))
@@ -100,12 +88,10 @@ def _branch(call: Column, imports: Column) -> Column:
 
 def code_hits(facts: Column) -> Column:
     """All hits of an artifact's facts."""
-    imports = facts["imports"]
-
     def of_call(call: Column) -> Column:
         low = F.lower(call["func"])
         place = lambda rule, order, nth=0: hit("ast", rule, call["line"], call["col"], [call["seq"], order, nth])
-        chain = F.filter(F.array(place(_branch(call, imports), 0)), lambda h: h["rule_id"].isNotNull())
+        chain = F.filter(F.array(place(_branch(call), 0)), lambda h: h["rule_id"].isNotNull())
         flags = F.filter(F.map_entries(call["kwargs"]), lambda e: e["key"].isin(TOOL_FLAGS) & (e["value"] == "True"))
         agent = F.when(any_contains(low, TOOL_NAMES), F.transform(flags, lambda e, i: place("AST-AGENT-001", 1, i))).otherwise(no_hits())
         queried = (

@@ -388,10 +388,34 @@ ORACLES["secret_details"] = scan(f"SELECT file_path, finding_id, {mask('match')}
 ORACLES["model_artifacts"] = scan("SELECT file_path, finding_id, severity, line_number, CASE WHEN rule_id LIKE 'MODEL-UNSAFE-FMT-%' THEN '.' || lower(split_part(rule_id, '-', 4)) END AS extension, confidence::DOUBLE AS confidence FROM found", ["model"])
 ORACLES["supply_chain_findings"] = f"WITH {CODE},\n{LINES},\n{DEPS},\n{MATCHED}\nSELECT path AS file_path, 'SC-' || replace(cve, '-', '') || '-' || line_number AS finding_id, severity, line_number, cwe AS cwe_id, owasp AS owasp_id, package, version, cve, below AS safe_version FROM covered"
 
-_NAMES = {"pickles.py": [(1, 0, "loads", "loads"), (7, 4, "loads", "pickle.loads"), (9, 4, "loads", "json.loads")],
-          "torches.py": [(1, 0, "load", "load"), (6, 4, "load", "load")], "arrays.py": [(6, 4, "fetch", "joblib.load")]}
-_CALLS = values((slot, *row) for slot, (name, _, _) in enumerate(corpora.CODE_SLOTS) for row in _NAMES.get(name, []))
-ORACLES["resolved_calls"] = f"WITH {CODE} SELECT path, first_line + rel - 1 AS line, c.col, func, resolved_name FROM code JOIN ({_CALLS}) c(slot, rel, col, func, resolved_name) USING (slot)"
+def _read_calls():
+    """(slot, line, column, name, full name, kind and source of the first argument, keywords) of the calls of every fragment, each looked up and written out by itself."""
+    for slot, (name, text, _) in enumerate(corpora.CODE_SLOTS):
+        if text is None or not name.endswith(".py"):
+            continue
+        try:
+            order = []
+            visit = lambda node: (order.append(node), [visit(child) for child in ast.iter_child_nodes(node)])  # noqa: E731, B023
+            visit(ast.parse(text))
+        except SyntaxError:
+            continue
+        for place, node in enumerate(order):
+            if not isinstance(node, ast.Call):
+                continue
+            parts, owner = [], node.func
+            while isinstance(owner, ast.Attribute):
+                parts.insert(0, owner.attr)
+                owner = owner.value
+            func = ".".join([owner.id] * isinstance(owner, ast.Name) + parts)
+            full = [f"{n.module}.{a.name}" if isinstance(n, ast.ImportFrom) and n.module else a.name for n in order[:place] if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names
+                    if func == (a.asname or (a.name if isinstance(n, ast.ImportFrom) else None))]
+            keywords = "|".join(sorted(f"{k.arg}={ast.unparse(k.value)}" for k in node.keywords if k.arg))
+            yield slot, node.lineno, node.col_offset, func, full[-1] if full and "." not in func else func, type(node.args[0]).__name__ if node.args else "", ast.unparse(node.args[0]) if node.args else "", keywords
+
+
+_READ = f"WITH {CODE}, calls(slot, rel, col, func, resolved_name, kind, first_arg, kwargs) AS ({values(_read_calls())})\n"
+ORACLES["resolved_calls"] = _READ + "SELECT path, first_line + rel - 1 AS line, c.col, func, resolved_name FROM code JOIN calls c USING (slot)"
+ORACLES["call_arguments"] = _READ + "SELECT path, first_line + rel - 1 AS line, c.col, kind AS first_arg_kind, md5(first_arg) AS first_arg, md5(kwargs) AS kwargs FROM code JOIN calls c USING (slot)"
 
 
 def _fact_counts():

@@ -387,8 +387,8 @@ def registered_rule_counts(spark, sf_dir):
 
 def _rule_query(rule_id: str, detector: str):
     def matches(spark, sf_dir):
-        rows = all_findings(spark, sf_dir, [detector]).where(F.col("rule_id") == rule_id)
-        return rows.select("file_path", "finding_id", "line_number", "column_number", "severity")
+        hits = scanned(spark, sf_dir, [detector]).withColumn("hits", F.filter("hits", lambda h: h["rule_id"] == rule_id))
+        return resolve_findings(hits).select("file_path", "finding_id", "line_number", "column_number", "severity")
 
     return matches
 
@@ -422,8 +422,14 @@ def supply_chain_findings(spark, sf_dir):
 
 @query
 def resolved_calls(spark, sf_dir):
-    return code_rules.resolve_imports(corpora.code_corpus(spark, sf_dir)).where("func in ('load', 'loads', 'fetch')").select(
-        "path", "line", "col", "func", "resolved_name")
+    return code_rules.resolve_imports(corpora.code_corpus(spark, sf_dir)).select("path", "line", "col", "func", "resolved_name")
+
+
+@query
+def call_arguments(spark, sf_dir):
+    """The source text of the arguments of all calls, hashed."""
+    kwargs = F.array_join(F.array_sort(F.transform(F.map_entries("kwargs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return code_rules.resolve_imports(corpora.code_corpus(spark, sf_dir)).select("path", "line", "col", "first_arg_kind", F.md5("first_arg_src").alias("first_arg"), F.md5(kwargs).alias("kwargs"))
 
 
 @query

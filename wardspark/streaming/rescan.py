@@ -102,7 +102,7 @@ class Rescan:
         old = before.join(touched, ["slot", "target", "fingerprint"], "left_semi")
         new = old.join(gone, ["slot", "target", "file_path"], "left_anti").unionByName(found)
         changes = diff_findings(old.drop("fingerprint"), new.drop("fingerprint"), by=("slot", "target"))
-        changes.write.mode("overwrite").partitionBy("slot").parquet(f"{self._at('changes')}/batch={batch_id}")
+        changes.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self._at('changes')}/batch={batch_id}")
         if (batch_id + 1) % self.compact_every == 0:  # the artifacts come last: they tell that the whole state is there
             self._write(self.findings(spark, batch_id + 1, whole_before=batch_id), "findings", 1, batch_id)
             whole = self.artifacts(spark, batch_id + 1, whole_before=batch_id).select("slot", *_KEYS, "content_sha", F.lit(False).alias("removed"))
@@ -115,7 +115,7 @@ class Rescan:
         return with_fingerprint(resolve_findings(scanned.withColumn("hits", dedup_hits(F.col("hits"))), advisories))
 
     def _write(self, rows: DataFrame, name: str, full: int, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy("slot").parquet(f"{self._at(name)}/full={full}/batch={batch_id}")
+        rows.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self._at(name)}/full={full}/batch={batch_id}")
 
     def changes(self, spark: SparkSession) -> DataFrame:
         """Per batch, the fingerprints of artifacts that changed, with ``status`` new, fixed or persisting and the finding as it is now, or was."""
