@@ -12,7 +12,7 @@ from wardspark.operators.hits import hit
 from wardspark.operators.scan import dedup_hits, explode_hits, resolve_findings, scan_artifacts
 from wardspark.plans.pipelines import run_evidence, run_regression, run_scan
 from wardspark.sinks import reports, sarif, sbom
-from wardspark.sinks.parts import with_part
+from wardspark.sinks.parts import in_parts, with_parts
 from wardspark.sources.reports import baseline_findings
 
 KEY = "sk-proj-" + "0a1B2c3D4e" * 5
@@ -111,13 +111,25 @@ def test_many_signatures_and_unknown_rules(spark):
         resolve_findings(scan_artifacts(artifacts(spark, ("a.txt", "x")), detectors=["model"], extra_detectors=[nameless])).collect()
 
 
-def test_a_target_with_most_findings_is_shared_out(spark):
-    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), F.col("id") % 7)).otherwise("hot").alias("target"), "id")
-    totals = rows.groupBy("target").agg(F.count("*").alias("n"))
-    parted = with_part(rows, totals, [F.col("id")], 500)
-    assert parted.count() == 20_000 and parted.columns == ["target", "id", "part"]
-    sizes = {(r.target, r.part): r["count"] for r in parted.groupBy("target", "part").count().collect()}
-    assert max(sizes.values()) < 700 and len([k for k in sizes if k[0] == "hot"]) == 36
+def test_documents_are_bounded_and_in_order(spark, tmp_path):
+    """One target has most rows, and a few long ones; parts joined in order are the report."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), F.col("id") % 7)).otherwise(F.lit("hot")).alias("target"), (F.col("id") * 7919 % 6007).alias("n"),
+        F.when(F.col("id") % 500 == 1, F.repeat(F.lit("é"), 900)).when(F.col("id") % 977 == 3, F.repeat(F.lit("x"), 4000)).otherwise(F.repeat(F.lit("y"), F.col("id").cast("int") % 90)).alias("text"))
+    for max_rows, max_bytes in ((5000, 2000), (40, 1 << 20), (50, 3000), (10_000, 1 << 30)):
+        parted = in_parts(rows, F.struct("n"), F.struct("n", "text"), max_rows, max_bytes).collect()
+        expected = {}
+        for r in rows.collect():
+            expected.setdefault(r.target, []).append((r.n, r.text))
+        for target, items in expected.items():
+            own = sorted((p for p in parted if p.target == target), key=lambda p: p.part)
+            assert [p.part for p in own] == list(range(len(own))) and [(i.n, i.text) for p in own for i in p["items"]] == sorted(items)
+            for p in own:
+                size = sum(len(json.dumps({"n": i.n, "text": i.text}, separators=(",", ":"), ensure_ascii=False).encode()) + 1 for i in p["items"])
+                assert len(p["items"]) <= max_rows and (size <= max_bytes or len(p["items"]) == 1)
+    empty = in_parts(rows.where("false"), F.struct("n"), F.struct("n", "text"))
+    targets = spark.createDataFrame([("a",)], "target string")
+    assert empty.count() == 0 and [tuple(r) for r in with_parts(targets, empty).collect()] == [("a", 1, 0)]
 
 
 def test_many_matches_in_one_artifact(spark):

@@ -544,6 +544,32 @@ ORACLES["compliance_summary_iso27001"] = scan("""SELECT s.target, security_score
 ORACLES["report_documents"] = scan("SELECT target, total AS findings_count, security_score, files, critical, total AS listed FROM summary", more=summary_ctes())
 ORACLES["csv_rows"] = scan("SELECT finding_id AS id, severity, category, file_path AS file, line_number AS line, cwe_id AS cwe, owasp_id AS owasp FROM kept")
 _PLACE = f"{weight('severity')} DESC, file_path, line_number, ord, s1, s2, s3"
+
+
+def _in_parts(columns: str, more: str = "") -> str:
+    """Findings of each target in report order, twenty a part, put together as text; targets without any have one empty part."""
+    return scan(f"""SELECT t.target, CAST(coalesce(part, 0) AS INTEGER) AS part, CAST(coalesce(parts, 1) AS INTEGER) AS parts{more}, md5(coalesce(said, '')) AS digest FROM (SELECT DISTINCT target FROM code) t LEFT JOIN (
+  SELECT target, part, 1 + max(part) OVER (PARTITION BY target) AS parts, n AS findings, said FROM (
+    SELECT target, place // 20 AS part, count(*) AS n, string_agg(concat_ws('|', {columns}), chr(10) ORDER BY place) AS said FROM (
+      SELECT *, row_number() OVER (PARTITION BY target ORDER BY {_PLACE}, finding_id) - 1 AS place FROM kept) GROUP BY target, part)) p ON p.target = t.target""")
+
+
+ORACLES["report_contents"] = _in_parts("finding_id, severity, category, file_path, line_number, column_number, cwe_id, owasp_id", ", CAST(coalesce(findings, 0) AS INTEGER) AS findings")
+ORACLES["sarif_contents"] = _in_parts(f"sarif_rule, {by_severity(SARIF_LEVELS)}, file_path, greatest(1, line_number), greatest(1, column_number), cwe_id, owasp_id", ", coalesce((SELECT string_agg(DISTINCT sarif_rule, '|' ORDER BY sarif_rule) FROM kept k WHERE k.target = t.target), '') AS rules")
+ORACLES["sbom_contents"] = scan("""SELECT t.target, CAST(t.part AS INTEGER) AS part, CAST(t.parts AS INTEGER) AS parts, md5(coalesce(components, '')) AS components, md5(coalesce(vulnerabilities, '')) AS vulnerabilities
+FROM (SELECT target, parts, unnest(range(0, parts)) AS part FROM (
+  SELECT c.target, CAST(greatest(1, ceil(coalesce(max(cn), 0) / 20.0), ceil(coalesce(max(vn), 0) / 20.0)) AS BIGINT) AS parts FROM (SELECT DISTINCT target FROM code) c
+  LEFT JOIN (SELECT target, count(*) AS cn FROM (SELECT DISTINCT target, package, version FROM deps) GROUP BY target) d ON d.target = c.target
+  LEFT JOIN (SELECT target, count(*) AS vn FROM kept GROUP BY target) v ON v.target = c.target GROUP BY c.target)) t
+LEFT JOIN (SELECT target, place // 20 AS part, string_agg('pkg:pypi/' || package || '@' || version, chr(10) ORDER BY place) AS components FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY package, version) - 1 AS place FROM (SELECT DISTINCT target, package, version FROM deps)) GROUP BY ALL) x ON x.target = t.target AND x.part = t.part
+LEFT JOIN (SELECT target, place // 20 AS part, string_agg(CASE WHEN cwe_id = '' THEN finding_id ELSE cwe_id END || '|' || string_split(file_path, '/')[-1], chr(10) ORDER BY place) AS vulnerabilities FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY file_path, line_number, finding_id) - 1 AS place FROM kept) GROUP BY ALL) y ON y.target = t.target AND y.part = t.part""")
+_TEXTS = "texts_of(rule_id, description, remediation) AS (" + values((r["rule_id"], r["description"], r["remediation"]) for r in RULES + DETECTOR_RULES) + ")"
+ORACLES["csv_columns"] = scan(f"""SELECT finding_id AS id, severity, category, file_path AS file, line_number AS line, cwe_id AS cwe, owasp_id AS owasp, md5(title) AS title, md5(remediation) AS remediation,
+  md5(CASE WHEN detector = 'secrets' THEN description || ' (Matched: ' || {mask('match')} || ')' WHEN detector = 'rag' AND match IS NOT NULL THEN 'Retrieval risk: ' || title || ' (Matched: ' || match || ')' ELSE description END) AS description
+  FROM kept JOIN texts_of t ON t.rule_id = kept.rule_id""", ["ast", "secrets", "owasp", "rag", "agent"], _TEXTS)
+ORACLES["code_finding_ranks"] = scan("SELECT file_path, finding_id, column_number, CAST(row_number() OVER (PARTITION BY file_path ORDER BY s1) AS INTEGER) AS rank FROM found", ["ast"])
 ORACLES["sarif_rules"] = scan(f"""SELECT sarif_rule AS id, CASE WHEN owasp_id = '' THEN 'AI-Security' ELSE split_part(owasp_id, ':', 1) END || '|' || CASE WHEN cwe_id = '' THEN 'CWE-Unknown' ELSE cwe_id END || '|ai-security|llm-security' AS tags,
   lower(severity) AS problem_severity, {by_severity(SARIF_SCORES)} AS security_severity, {by_severity(SARIF_LEVELS)} AS level
 FROM (SELECT *, row_number() OVER (PARTITION BY sarif_rule ORDER BY {_PLACE}) AS pick FROM kept) WHERE pick = 1""")

@@ -3,7 +3,7 @@
 import functools
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.advisories import ADVISORIES
@@ -668,6 +668,61 @@ def report_documents(spark, sf_dir):
         F.sum(F.size("d.findings")).alias("listed"))
 
 
+def _digest(items: Column, *fields: str) -> Column:
+    """A hash of a document's list, in its order."""
+    return F.md5(F.array_join(F.transform(items, lambda i: F.concat_ws("|", *[functools.reduce(lambda x, name: x[name], f.split("."), i).cast("string") for f in fields])), "\n"))
+
+
+@query
+def report_contents(spark, sf_dir):
+    """What the parts of report documents hold, in order."""
+    done = run(spark, sf_dir)
+    documents = report_sink.report_documents(done.findings, done.summary, STAMP, max_rows=20)
+    shape = "findings array<struct<id:string,severity:string,category:string,file_path:string,line_number:int,column_number:int,cwe_id:string,owasp_id:string>>"
+    d = F.from_json("document", shape)["findings"]
+    return documents.select("target", "part", "parts", F.size(d).alias("findings"), _digest(d, "id", "severity", "category", "file_path", "line_number", "column_number", "cwe_id", "owasp_id").alias("digest"))
+
+
+@query
+def sarif_contents(spark, sf_dir):
+    """What the parts of SARIF documents hold, in order."""
+    done = run(spark, sf_dir)
+    documents = sarif.sarif_documents(done.findings, done.summary, STAMP, max_rows=20)
+    shape = ("runs array<struct<results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>,"
+             "properties:struct<cwe:string,owasp:string>>>,tool:struct<driver:struct<rules:array<struct<id:string>>>>>>")
+    first = F.from_json("document", shape)["runs"][0]
+    results = F.transform(first["results"], lambda r: F.struct(r["ruleId"].alias("rule"), r["level"].alias("level"), r["locations"][0]["physicalLocation"].alias("at"), r["properties"].alias("p")))
+    return documents.select(
+        "target", "part", "parts", _digest(results, "rule", "level", "at.artifactLocation.uri", "at.region.startLine", "at.region.startColumn", "p.cwe", "p.owasp").alias("digest"),
+        F.array_join(first["tool"]["driver"]["rules"]["id"], "|").alias("rules"))
+
+
+@query
+def sbom_contents(spark, sf_dir):
+    """What the parts of bills of materials hold, in order."""
+    done = run(spark, sf_dir)
+    documents = sbom.sbom_documents(supply.dependencies(corpora.code_corpus(spark, sf_dir)), done.findings, STAMP, max_rows=20, targets=done.summary)
+    d = F.from_json("document", "components array<struct<purl:string>>, vulnerabilities array<struct<id:string,affects:array<struct<ref:string>>>>")
+    affected = F.transform(d["vulnerabilities"], lambda v: F.struct(v["id"].alias("id"), v["affects"][0].alias("a")))
+    return documents.select("target", "part", "parts", _digest(d["components"], "purl").alias("components"), _digest(affected, "id", "a.ref").alias("vulnerabilities"))
+
+
+@query
+def csv_columns(spark, sf_dir):
+    """All ten columns of the line, agent, code and library detectors' findings, texts as hashes."""
+    rows = resolve_findings(scanned(spark, sf_dir, ["ast", "secrets", "owasp", "rag", "agent"]).withColumn("hits", dedup_hits(F.col("hits"))))
+    plain = {"ID": "id", "Severity": "severity", "Category": "category", "File": "file", "Line": "line", "CWE": "cwe", "OWASP": "owasp"}
+    return report_sink.csv_rows(rows).select(*[F.col(k).alias(v) for k, v in plain.items()], *[F.md5(k).alias(k.lower()) for k in ("Title", "Description", "Remediation")])
+
+
+@query
+def code_finding_ranks(spark, sf_dir):
+    """Where each code finding stands among those of its file."""
+    rows = all_findings(spark, sf_dir, ["ast"])
+    place = Window.partitionBy("file_path").orderBy("seq")
+    return rows.select("file_path", "finding_id", "column_number", F.row_number().over(place).alias("rank"))
+
+
 @query
 def csv_rows(spark, sf_dir):
     columns = {"ID": "id", "Severity": "severity", "Category": "category", "File": "file", "Line": "line", "CWE": "cwe", "OWASP": "owasp"}

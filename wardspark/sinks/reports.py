@@ -4,18 +4,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.operators.findings import severity_weight
 from wardspark.schemas import VERSION
-from wardspark.sinks.parts import MAX_ROWS, all_parts, with_part
+from wardspark.sinks.parts import MAX_BYTES, MAX_ROWS, in_parts, with_parts
 
 METRICS = ["critical", "high", "medium", "low", "info"]
 
 
 def place() -> Column:
     """Report order: severity, path, line, detector."""
-    return F.struct((-severity_weight(F.col("severity"))).alias("w"), "file_path", "line_number", "detector_ord", "seq")
-
-
-def in_place_order(a: Column, b: Column) -> Column:
-    return F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    return F.struct((-severity_weight(F.col("severity"))).alias("w"), "file_path", "line_number", "detector_ord", "seq", "finding_id")
 
 
 def report_finding() -> Column:
@@ -29,13 +25,9 @@ def _timestamp(timestamp: str | None) -> Column:
     return F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def report_documents(findings: DataFrame, summary: DataFrame, timestamp: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``target, part, parts, document``: the report envelope with its findings in report order."""
-    totals = summary.withColumn("n", F.col("total"))
-    grouped = (
-        with_part(findings, totals, [F.col("file_path"), F.col("line_number"), F.col("finding_id")], max_rows)
-        .groupBy("target", "part").agg(F.array_sort(F.collect_list(F.struct(place().alias("place"), report_finding().alias("finding"))), in_place_order).alias("items"))
-    )
+def report_documents(findings: DataFrame, summary: DataFrame, timestamp: str | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``target, part, parts, document``: the report envelope with its findings in report order, through all parts of a target."""
+    grouped = in_parts(findings, place(), report_finding(), max_rows, max_bytes)
     metrics = F.struct(
         F.col("files").alias("total_files_scanned"), F.col("lines").alias("total_lines_scanned"),
         *[F.col(m).alias(f"{m}_count") for m in METRICS], "security_score",
@@ -43,9 +35,9 @@ def report_documents(findings: DataFrame, summary: DataFrame, timestamp: str | N
     document = F.struct(
         F.col("target").alias("target_path"), _timestamp(timestamp).alias("timestamp"), F.lit(VERSION).alias("scanner_version"),
         metrics.alias("metrics"), F.col("total").alias("findings_count"),
-        F.coalesce(F.transform("items", lambda i: i["finding"]), F.array()).alias("findings"),
+        F.coalesce("items", F.array()).alias("findings"),
     )
-    return all_parts(totals, max_rows).join(grouped, ["target", "part"], "left").select("target", "part", "parts", F.to_json(document).alias("document"))
+    return with_parts(summary, grouped).join(grouped, ["target", "part"], "left").select("target", "part", "parts", F.to_json(document).alias("document"))
 
 
 def write_findings_json(findings: DataFrame, summary: DataFrame, path: str, timestamp: str | None = None) -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardspark.catalog.severity import SARIF_LEVELS, SARIF_SCORES
 from wardspark.functions.identifiers import fingerprint_sha, rule_base
 from wardspark.schemas import TOOL, VERSION
-from wardspark.sinks.parts import MAX_ROWS, all_parts, with_part
+from wardspark.sinks.parts import MAX_BYTES, MAX_ROWS, in_parts, with_parts
 from wardspark.sinks.reports import place
 
 _SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -53,9 +53,8 @@ def _text(column: str) -> Column:
     return F.struct(F.col(column).alias("text"))
 
 
-def sarif_documents(findings: DataFrame, summary: DataFrame, timestamp: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``target, part, parts, document``; every part names all rules of its target, whose number the catalogue bounds."""
-    totals = summary.withColumn("n", F.col("total"))
+def sarif_documents(findings: DataFrame, summary: DataFrame, timestamp: str | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``target, part, parts, document``; results are in report order through all parts, and every part names all rules of its target, whose number the catalogue bounds."""
     result = F.struct(
         F.col("rule_id").alias("ruleId"), "level", _text("message").alias("message"),
         F.array(F.struct(
@@ -68,10 +67,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, timestamp: str | No
         F.struct(F.col("fingerprint").alias("primaryLocationLineHash/v1")).alias("partialFingerprints"),
         F.struct("cwe", "owasp", "confidence", "remediation").alias("properties"),
     )
-    results = (
-        with_part(sarif_results(findings), totals, [F.col("file_path"), F.col("line_number"), F.col("finding_id")], max_rows)
-        .groupBy("target", "part").agg(F.sort_array(F.collect_list(F.struct(place().alias("place"), result.alias("result")))).alias("items"))
-    )
+    results = in_parts(sarif_results(findings), place(), result, max_rows, max_bytes)
     rule = F.struct(
         "id", "name", _text("short_description").alias("shortDescription"), _text("full_description").alias("fullDescription"),
         _text("help").alias("help"),
@@ -85,7 +81,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, timestamp: str | No
             F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"), F.coalesce("rules", F.array()).alias("rules"),
             F.struct(F.array(*[F.lit(t) for t in _TAGS]).alias("tags")).alias("properties"),
         ).alias("driver")).alias("tool"),
-        F.coalesce(F.transform("items", lambda i: i["result"]), F.array()).alias("results"),
+        F.coalesce("items", F.array()).alias("results"),
         F.array(F.struct(
             F.lit(True).alias("executionSuccessful"), F.concat(F.lit(f"{TOOL} scan "), "target").alias("commandLine"),
             (F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).alias("startTimeUtc"),
@@ -94,7 +90,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, timestamp: str | No
     )
     document = F.struct(F.lit(_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
     return (
-        all_parts(totals, max_rows).join(results, ["target", "part"], "left").join(rules, "target", "left")
+        with_parts(summary, results).join(results, ["target", "part"], "left").join(rules, "target", "left")
         .select("target", "part", "parts", F.to_json(document).alias("document"))
     )
 

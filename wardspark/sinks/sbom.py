@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardspark.functions.text import basename
 from wardspark.schemas import TOOL, VERSION
-from wardspark.sinks.parts import MAX_ROWS, all_parts, with_part
+from wardspark.sinks.parts import MAX_BYTES, MAX_ROWS, in_parts, with_parts
 
 
 def sbom_components(packages: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def sbom_vulnerabilities(findings: DataFrame) -> DataFrame:
     )
 
 
-def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max_rows: int = MAX_ROWS, targets: DataFrame | None = None) -> DataFrame:
+def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max_rows: int = MAX_ROWS, targets: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``target, part, parts, document``: the target is the project; target, ``timestamp`` and part make the serial number.
 
     Equal components of a target are listed once. ``targets``, such as a scan summary, adds those that have neither
@@ -37,11 +37,8 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max
     """
     components = sbom_components(packages).distinct()
     vulnerabilities = sbom_vulnerabilities(findings)
-    counts = lambda rows, name: rows.groupBy("target").agg(F.count("*").alias(name))
-    totals = counts(components, "c").join(counts(vulnerabilities, "v"), "target", "full_outer")
-    if targets is not None:
-        totals = targets.select("target").distinct().join(totals, "target", "full_outer")
-    totals = totals.select("target", F.greatest(F.coalesce("c", F.lit(0)), F.coalesce("v", F.lit(0))).alias("n"))
+    named = components.select("target").unionByName(vulnerabilities.select("target"))
+    named = (named if targets is None else named.unionByName(targets.select("target"))).distinct()
     component = F.struct(
         "type", "name", "version", "purl", F.array().cast("array<string>").alias("licenses"),
         F.array(F.struct(F.lit("distribution").alias("type"), F.col("distribution_url").alias("url"))).alias("externalReferences"),
@@ -53,10 +50,8 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max
         "cwes", "description", "recommendation",
         F.array(F.struct(F.col("affects").alias("ref"), F.array(F.struct(F.lit("1.0.0").alias("version"), F.lit("affected").alias("status"))).alias("versions"))).alias("affects"),
     )
-    listed = with_part(components, totals, [F.col("name"), F.col("version")], max_rows).groupBy("target", "part").agg(
-        F.sort_array(F.collect_list(component)).alias("components"))
-    affected = with_part(vulnerabilities, totals, [F.col("file_path"), F.col("line_number"), F.col("finding_id")], max_rows).groupBy("target", "part").agg(
-        F.sort_array(F.collect_list(vulnerability)).alias("vulnerabilities"))
+    listed = in_parts(components, F.struct("name", "version"), component, max_rows, max_bytes).withColumnRenamed("items", "components")
+    affected = in_parts(vulnerabilities, F.struct("file_path", "line_number", "finding_id", "id"), vulnerability, max_rows, max_bytes).withColumnRenamed("items", "vulnerabilities")
     serial = F.concat(F.lit("urn:uuid:"), F.substring(F.sha2(F.concat("target", F.lit(f"/{timestamp}/"), F.col("part").cast("string")), 256), 1, 32))
     document = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), serial.alias("serialNumber"), F.lit(1).alias("version"),
@@ -67,7 +62,7 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, timestamp: str, max
         F.coalesce("components", F.array()).alias("components"), F.coalesce("vulnerabilities", F.array()).alias("vulnerabilities"),
     )
     return (
-        all_parts(totals, max_rows).join(listed, ["target", "part"], "left").join(affected, ["target", "part"], "left")
+        with_parts(named, listed, affected).join(listed, ["target", "part"], "left").join(affected, ["target", "part"], "left")
         .select("target", "part", "parts", F.to_json(document).alias("document"))
     )
 
