@@ -17,6 +17,7 @@ from wardspark.functions.pattern_anchors import anchors_of
 from wardspark.functions.text import snippet, split_lines
 from wardspark.operators import code_rules, line_rules, supply, text_rules
 from wardspark.operators.hits import HITS, join_arrays
+from wardspark.operators.registry import Detectors
 from wardspark.schemas import FINDING_COLUMNS
 from wardspark.sources.local import local_table
 
@@ -65,10 +66,10 @@ def gated(rules: list[dict] | None, groups: list[list[str]]) -> list[dict]:
     return placed
 
 
-def staged_texts(artifacts: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """``path, target, content, _mask, n_lines``: what one look at every text tells."""
-    looked = artifacts.select("path", "target", "content", text_facts(F.col("content"), groups).alias("_facts"))
-    return looked.select("path", "target", "content", F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
+def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str) -> DataFrame:
+    """``path, target, content, _mask, n_lines`` and kept columns: what one look at every text tells."""
+    looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups).alias("_facts"))
+    return looked.select("path", "target", "content", *kept, F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
 
 
 def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
@@ -102,20 +103,22 @@ def scan_artifacts(
     extra_detectors: list | None = None,
     signature_rules: list[dict] | None = None,
     secret_rules: list[dict] | None = None,
+    registered: Detectors | None = None,
 ) -> DataFrame:
     """One row per artifact: ``path, target, n_lines, hits``.
 
     ``detectors`` picks among the built-in ones. ``signature_rules``, as ``load_signature_rules`` reads them, take the place of
     the built-in retrieval patterns; ``secret_rules``, as ``load_secret_rules`` gives them, are line patterns in front of the built-in ones. The
     patterns of custom, signature and secret rules run only where one of the anchors that were worked out from them stands. Each of ``extra_detectors`` is a function of the columns
-    ``(path, content, lines)`` that returns an array of ``operators.hits.hit`` values.
+    ``(path, content, lines)`` that returns an array of ``operators.hits.hit`` values; ``registered`` ones are functions of the table.
     """
     wanted = detectors or cat.DETECTORS
     groups = in_own_words(GROUPS)
     secret_rules = gated(secret_rules if "secrets" in wanted else None, groups)
     signature_rules = gated(signature_rules if "rag" in wanted else None, groups)
     custom_rules = gated(custom_rules if "custom" in wanted else None, groups)
-    staged = staged_texts(artifacts, groups)
+    own = [registered.column(name) for name in registered or []]
+    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own)
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
@@ -132,6 +135,7 @@ def scan_artifacts(
     if custom_rules:
         hits.append(_custom_hits(json.dumps(custom_rules)))
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
+    hits += registered.hits() if registered else []
     staged = staged.select(
         "path", "target", "content", "n_lines",
         join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
@@ -250,7 +254,7 @@ def _finding_columns() -> list[Column]:
     attr = lambda name: F.try_element_at(F.col("attrs"), F.lit(name))
     entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
     metadata = F.map_from_entries(F.filter(F.array(
-        entry("detector", names[detector]),
+        entry("detector", F.coalesce(names[detector], detector)),
         entry("rule_id", F.when((detector != "supply") & ~rule.like("MODEL-UNSAFE-FMT-%"), rule)),
         entry("match", F.when(detector == "secrets", mask_match(F.col("match"))).when(detector == "custom", F.col("match"))),
         entry("match_sha256", F.when(detector == "secrets", F.sha2(F.col("match"), 256))),
@@ -260,7 +264,7 @@ def _finding_columns() -> list[Column]:
         new_id.alias("finding_id"), "rule_id", rule_family(rule).alias("family"), detector.alias("detector"), "detector_ord", "seq",
         "title", "category", "severity", description.alias("description"), "file_path", "target",
         line.alias("line_number"), F.col("col").alias("column_number"), F.col("snippet").alias("code_snippet"), "remediation",
-        "cwe_id", "owasp_id", F.coalesce(F.try_element_at(by_rule, rule), confidences[detector]).alias("confidence"), metadata.alias("metadata"),
+        "cwe_id", "owasp_id", F.coalesce(F.try_element_at(by_rule, rule), confidences[detector], attr("confidence").try_cast("double"), F.lit(0.85)).alias("confidence"), metadata.alias("metadata"),
     ]
 
 

@@ -343,6 +343,16 @@ _OWN_ROWS = [(i, s["severity"] or "CRITICAL", s["cwe"] or "CWE-798", s["owasp"]
 _OWN_ROWS += [(3 + i, *[_TOLD[p["rule_id"]][f] for f in ("severity", "cwe_id", "owasp_id")]) for i, p in enumerate(cat.LINE_PATTERNS)]
 ORACLES["secret_signature_findings"] = f"""WITH {CODE},\n{LINES},\n{_secrets(_OWN)}, told(place, severity, cwe_id, owasp_id) AS ({values(_OWN_ROWS)})
 SELECT path AS file_path, rule_id || '-' || line || '-' || col AS finding_id, rule_id, severity, cwe_id, owasp_id, line AS line_number, col AS column_number, s2 AS place FROM secrets JOIN told ON s2 = place"""
+_NUMBERS = """numbers AS (SELECT path AS file_path, 'NUM-001-' || line_number AS finding_id, 'LOW' AS severity, CAST(line_number AS INTEGER) AS line_number,
+  CAST(length(regexp_extract(line, '^(.*?)[0-9]{6}', 1)) + 1 AS INTEGER) AS column_number FROM lines WHERE regexp_matches(line, '[0-9]{6}'))"""
+ORACLES["registered_detector_findings"] = f"""WITH {CODE},\n{LINES},\n{_secrets(_OWN)}, told(place, severity, cwe_id, owasp_id) AS ({values(_OWN_ROWS)}), {_NUMBERS}
+SELECT file_path, finding_id, severity, line_number, column_number FROM (
+  SELECT path AS file_path, rule_id || '-' || line || '-' || col AS finding_id, severity, line AS line_number, col AS column_number, row_number() OVER (PARTITION BY path, line, split_part(rule_id, '-', 1) ORDER BY s2, s3) AS pick
+  FROM secrets JOIN told ON s2 = place) WHERE pick = 1 UNION ALL SELECT * FROM numbers"""
+ORACLES["stream_registered_findings"] = f"""WITH {CODE},\n{LINES},\n{_rag()}, {_NUMBERS}
+SELECT file_path, finding_id, severity, line_number, column_number FROM (
+  SELECT path AS file_path, CASE WHEN rule_id = {lit(cat.SSL_RULE_ID)} THEN '' ELSE 'OWN-' END || rule_id || '-' || line AS finding_id, CASE WHEN rule_id = {lit(cat.SSL_RULE_ID)} THEN 'HIGH' ELSE 'LOW' END AS severity, line AS line_number, col AS column_number,
+    row_number() OVER (PARTITION BY path, line, CASE WHEN rule_id = {lit(cat.SSL_RULE_ID)} THEN 1 ELSE 0 END ORDER BY s1, s2) AS pick FROM rag) WHERE pick = 1 UNION ALL SELECT * FROM numbers"""
 ORACLES["custom_rule_on_pages"] = f"WITH {_PAGES},\n{_custom()},\n{_CUSTOM_ROWS}\nSELECT path AS file_path, rule_id || '-' || line AS finding_id, line AS line_number, col AS column_number, c_severity AS severity FROM custom JOIN custom_rules USING (rule_id)"
 ORACLES["baseline_round_trip"] = scan("SELECT target, finding_id, family, severity, file_path, line_number, column_number, cwe_id, owasp_id, confidence::DOUBLE AS confidence FROM kept")
 ORACLES["dependencies"] = f"WITH {CODE},\n{LINES},\n{DEPS}\nSELECT path, target, package, version, line_number FROM deps"

@@ -28,14 +28,16 @@ def run_scan(
     severity: str | None = None,
     store: bool = True,
     signature_rules: list[dict] | None = None,
+    **more,
 ) -> ScanRun:
     """Scans artifacts and scores their targets.
 
     Duplicates go inside each artifact's row, so no shuffle by path is needed. With ``store`` the narrow per-artifact result
     and the findings are written to the shared folder: contents are read and parsed once and findings put together once,
-    however many reports follow, and a lost executor costs only its own tasks.
+    however many reports follow, and a lost executor costs only its own tasks. ``more`` are further arguments of ``scan_artifacts``: secret rules,
+    detectors of the caller's own.
     """
-    scanned = scan_artifacts(artifacts, custom_rules, detectors, signature_rules=signature_rules)
+    scanned = scan_artifacts(artifacts, custom_rules, detectors, signature_rules=signature_rules, **more)
     scanned = scanned.withColumn("hits", dedup_hits(F.col("hits")))
     if store:
         scanned = written(scanned, "scanned")

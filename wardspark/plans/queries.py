@@ -18,6 +18,7 @@ from wardspark.operators import code_rules, compliance, diff, findings as fnd, p
 from wardspark.operators.scan import dedup_hits, enrich_findings, explode_hits, resolve_findings, rule_table, rule_trials, scan_artifacts
 from wardspark.operators.chunks import chunk_offsets, cut_artifacts, scan_chunks
 from wardspark.operators.hits import hit
+from wardspark.operators.registry import FOUND, Detectors
 from wardspark.plans import corpora
 from wardspark.plans.pipelines import ScanRun, run_scan
 from wardspark.plans.storage import new_location, written
@@ -225,6 +226,38 @@ def extra_detector_findings(spark, sf_dir):
     return rows.select("file_path", "finding_id", "line_number", "severity")
 
 
+def own_detectors() -> Detectors:
+    """A detector that is a function of a table: lines with a number of at least six digits."""
+    detectors = Detectors()
+
+    @detectors.register("numbers")
+    def numbers(artifacts: DataFrame) -> DataFrame:
+        lines = F.transform(split_lines(F.coalesce("content", F.lit(""))), lambda line, i: F.struct((i + 1).alias("n"), F.regexp_instr(line, F.lit("[0-9]{6}")).alias("at")))
+        row = lambda x: F.struct(
+            F.lit("NUM-001").alias("rule_id"), x["n"].alias("line"), x["at"].alias("col"), F.lit(None).cast("string").alias("match"),
+            F.create_map(F.lit("title"), F.lit("Long number"), F.lit("severity"), F.lit("LOW")).alias("attrs"))
+        return artifacts.withColumn("found", F.transform(F.filter(lines, lambda x: x["at"] > 0), row).cast(FOUND))
+
+    return detectors
+
+
+@query
+def registered_detector_findings(spark, sf_dir):
+    """A whole scan with a registered detector, line findings by a file's secret rules among the others."""
+    rules = rule_files.compile_secret_rules(local_table(spark, [{"ord": i, **r} for i, r in enumerate(corpora.SECRET_SIGNATURES)], f"ord int, {rule_files.SECRET_RULES}"))
+    done = run_scan(corpora.code_corpus(spark, sf_dir), detectors=["secrets"], secret_rules=rules, registered=own_detectors())
+    return done.findings.select("file_path", "finding_id", "severity", "line_number", "column_number")
+
+
+@query
+def stream_registered_findings(spark, sf_dir):
+    """The same over a stream, with retrieval signatures of a file."""
+    rules = [{"id": f"OWN-{p['rule_id']}", "title": "Own", "pattern": p["pattern"], "severity": "LOW", "cwe": "CWE-1", "owasp": "LLM01", "remediation": "r"} for p in cat.RAG_PATTERNS]
+    artifacts = corpora.code_artifacts(_read_stream(spark, sf_dir, "documents"))
+    rows = stream_scan_artifacts(artifacts, detectors=["rag"], signature_rules=rules, registered=own_detectors())
+    return _streamed(rows.select("file_path", "finding_id", "severity", "line_number", "column_number"))
+
+
 @query
 def advisory_exposure(spark, sf_dir):
     advisories = supply.advisory_table(spark)

@@ -60,4 +60,27 @@ def last_entries(entries: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    return last_entries(parse_audit(spark.read.option("recursiveFileLookup", "true").text(path)), limit)
+    """The last entries of a trail. Its folders are one for each day, so days are read from the newest backwards, twice as many each time, until
+    there are enough entries. Files that lie outside such folders are always read."""
+    days, loose = _audit_folders(spark, path)
+    if not days:
+        return last_entries(parse_audit(spark.read.option("recursiveFileLookup", "true").text(path)), limit)
+    names, taken = sorted(days, key=lambda d: (d[0].isdigit(), d), reverse=True), 1
+    while True:
+        entries = parse_audit(spark.read.text([folder for name in names[:taken] for folder in days[name]] + loose))
+        if taken >= len(names) or entries.limit(limit).count() >= limit:
+            return last_entries(entries, limit)
+        taken *= 2
+
+
+def _audit_folders(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], list[str]]:
+    """The folders of each day, of appended and of streamed entries, and files beside them."""
+    top = path.rstrip("/")
+    root = spark._jvm.org.apache.hadoop.fs.Path(top)
+    system = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    listed = lambda pattern: list(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{pattern}")) or [])
+    days: dict[str, list[str]] = {}
+    for status in listed("day=*") + listed("stream=*/batch_id=*/day=*"):
+        days.setdefault(status.getPath().getName().removeprefix("day="), []).append(status.getPath().toString())
+    names = [s.getPath().getName() for s in listed("*") if s.isFile()]
+    return days, [f"{top}/{name}" for name in names if name[0] not in "._"]

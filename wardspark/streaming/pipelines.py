@@ -15,12 +15,13 @@ def stream_score_prompts(prompts: DataFrame, text_col: str = "text") -> DataFram
     return score_prompts(prompts, text_col)
 
 
-def stream_scan_artifacts(artifacts: DataFrame, custom_rules: list[dict] | None = None, detectors: list[str] | None = None, advisories: DataFrame | None = None) -> DataFrame:
-    """Findings of a stream of artifacts, de-duplicated within each artifact: the same as of a table.
+def stream_scan_artifacts(artifacts: DataFrame, custom_rules: list[dict] | None = None, detectors: list[str] | None = None, advisories: DataFrame | None = None, **more) -> DataFrame:
+    """Findings of a stream of artifacts, de-duplicated within each artifact: the same as of a table. ``more`` are further arguments of ``scan_artifacts``:
+    signature and secret rules, detectors of the caller's own.
 
     Rules and advisories are static tables, so the joins with them keep no state.
     """
-    scanned = scan_artifacts(artifacts, custom_rules, detectors)
+    scanned = scan_artifacts(artifacts, custom_rules, detectors, **more)
     return resolve_findings(scanned.withColumn("hits", dedup_hits(F.col("hits"))), advisories)
 
 
