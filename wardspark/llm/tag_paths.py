@@ -6,17 +6,24 @@ Gaussian over neighbouring nodes, so that a short paragraph between long ones is
 whose fused ratio reaches a threshold, the standard deviation of the page's ratios or a share of the greatest if that is less, are
 content. The nodes of content paths are the text; whatever stands in the same container as content, or in a container nested in
 that one (cells of tables, div, section), inherits its choice. The frame of the page (html, body) passes its choice on only if more than half of
-the content found stands right in it. Containers that never hold the article (menus, headers, footers, sidebars, forms, notices, adverts, comments, by their
-tag, role or class) have ratio zero.
+the content found stands right in it. Elements that never belong to an article (menus, headers of the page, footers, asides, controls, by their tag or role) are left out.
+
+Names in class, id, label and itemprop are hints, not proof: a container that is named like a sidebar, an advert, a notice or reader comments, and a form, keeps
+a fiftieth of its ratio and inherits nothing from the container around it. So it is left out beside an article, and read where it holds the article itself. A name counts if it
+consists of such words and of words for places and boxes only ("sidebar-left", "cookie-notice"; not "no-sidebar", "related-work", "search-algorithms"), on elements other than
+paragraphs, headings and tables, and other than sections in an article.
 
 Each page is handled by itself, inside its row: no shuffle. Null and empty pages give an empty text; so do pages without content.
 """
 
+import functools
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wardspark.llm.shared import slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
-_MARK = re.compile(r"(?:^|[\s\"'])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_MARK = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 _WORD = re.compile(r"[a-z]+")
@@ -37,13 +44,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address "
     "nav header footer aside form fieldset details summary hgroup center hr br option select button noscript dialog menu".split())
-#: Elements that never belong to an article.
-OUTSIDE = frozenset("head nav footer aside form fieldset select option button noscript dialog menu svg canvas object audio video map label input".split())
-#: Words in class, id, role or label that name such containers.
-OUTSIDE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist contentinfo consent cookie cookies disqus footer "
-    "gdpr login masthead menu nav navbar navigation newsletter notice notification pagination pager popup promo promoted related reply replies respond rss search share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary modal overlay paywall alert skip".split())
+#: Elements that never belong to an article, and roles that say the same.
+OUTSIDE = frozenset("head nav footer aside select option button noscript dialog menu svg canvas object audio video map label input".split())
+OUTSIDE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar toolbar".split())
+#: Elements that are taken as marked whatever their names.
+MARKED = frozenset(("form", "fieldset"))
+#: What is left of the ratio of marked text.
+MARKED_SHARE = 0.02
+#: Words of names that mark a container by themselves, that do so only next to another of these, and words for places and boxes that may stand beside them.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu nav navbar navigation "
+    "newsletter notice notification pager pagination popup promo promoted sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets modal overlay paywall".split())
+WEAK_MARKS = frozenset("alert links related replies reply respond rss search share sharing skip tags buttons".split())
+PLACES = frozenset(
+    "site page main top bottom left right upper lower global primary secondary first second inner outer box boxes area list lists wrap wrapper container block section region bar slot unit holder group "
+    "panel pane item items row col column header head foot body reader readers user users form policy fixed sticky floating mobile desktop small large wide block text content".split())
+#: Elements whose names are not looked at.
+UNNAMED = frozenset("html body article main p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure a b i em strong span code".split())
 #: A new one closes an open one of the same kind.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -57,7 +74,7 @@ FRAMES = frozenset(("body", "html"))
 
 @dataclass(eq=False)
 class Container:
-    """An element that holds blocks, and the container around it."""
+    """An element that holds blocks, and the container around it; a marked one stands by itself."""
 
     frame: bool
     around: "Container | None"
@@ -65,45 +82,81 @@ class Container:
 
 @dataclass
 class Node:
-    """One block of text: its path, whether it lies outside the article, its pieces and the container it stands in."""
+    """One block of text: the number of its path, whether it lies outside the article, whether it is marked, its pieces and the container it stands in."""
 
-    path: str
+    path: int
     outside: bool
+    marked: bool
     block: Container
     pieces: list[str]
     text: str = ""
 
 
-def _outside(tag: str, marks: str, path: list[tuple[str, bool, Container]]) -> bool:
-    if tag in OUTSIDE or (tag == "header" and not any(t in ("article", "main") for t, _, _ in path)):
-        return True
-    if "=" not in marks or tag in ("html", "body", "article", "main"):
-        return False
-    for found in _MARK.finditer(marks):
-        if not OUTSIDE_WORDS.isdisjoint(_WORD.findall((found[1] or found[2] or found[3] or "").lower())):
+class Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    outside: bool
+    marked: bool
+    container: Container
+    path: int
+    in_article: bool
+
+
+@functools.lru_cache(maxsize=65_536)
+def names_outside(name: str) -> bool:
+    """Whether a class, id or label names a container that holds no article."""
+    for token in name.lower().split():
+        words = _WORD.findall(token)
+        strong = sum(w in MARKS for w in words)
+        if words and strong + sum(w in WEAK_MARKS for w in words) >= (1 if strong else 2) and all(w in MARKS or w in WEAK_MARKS or w in PLACES for w in words):
             return True
     return False
 
 
+def _judged(tag: str, attributes: str, around: Open) -> tuple[bool, bool]:
+    """Whether an element lies outside the article, and whether it is marked."""
+    if tag in OUTSIDE or (tag == "header" and not around.in_article):
+        return True, False
+    if tag in MARKED:
+        return False, True
+    if "=" not in attributes or tag in UNNAMED or (tag == "section" and around.in_article):
+        return False, False
+    marked = False
+    for found in _MARK.finditer(attributes):
+        value = found[2] or found[3] or found[4] or ""
+        if found[1].lower() == "role":
+            if value.strip().lower() in OUTSIDE_ROLES:
+                return True, False
+        else:
+            marked = marked or names_outside(value)
+    return False, marked
+
+
 def nodes(page: str) -> list[Node]:
     """The blocks of text of a page, in order."""
-    stack: list[tuple[str, bool, Container]] = []  # tag, outside, its container
+    top = Open("", False, False, Container(True, None), 0, False)
+    stack: list[Open] = [top]
+    paths: dict[tuple[int, str], int] = {}  # a path is numbered by the path before its last tag
+    there: Counter[str] = Counter()
     found: list[Node] = []
     open_block = True  # whether the next piece of text begins a node
-    end, page_frame, position = len(page), Container(True, None), 0
+    end, position = len(page), 0
 
     def close_to(depth: int) -> None:
         nonlocal open_block
-        open_block = open_block or any(tag in BLOCKS for tag, _, _ in stack[depth:])
+        for element in stack[depth:]:
+            open_block = open_block or element.tag in BLOCKS
+            there[element.tag] -= 1
         del stack[depth:]
 
     def add(piece: str) -> None:
         nonlocal open_block
         if not piece or (open_block and piece.isspace()):
             return
-        outside, container = (stack[-1][1], stack[-1][2]) if stack else (False, page_frame)
-        if open_block or found[-1].outside != outside:
-            found.append(Node("/".join(tag for tag, _, _ in stack if tag in BLOCKS), outside, container, []))
+        around = stack[-1]
+        if open_block or (found[-1].outside, found[-1].marked) != (around.outside, around.marked):
+            found.append(Node(around.path, around.outside, around.marked, around.container, []))
             open_block = False
         found[-1].pieces.append(piece)
 
@@ -119,18 +172,20 @@ def nodes(page: str) -> list[Node]:
             continue
         tag = name.lower()
         if token[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCKS or not any(t in SCOPES for t, _, _ in stack[depth + 1 :])):
-                close_to(depth)
+            if there[tag]:
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if tag in BLOCKS or not any(element.tag in SCOPES for element in stack[depth + 1 :]):
+                    close_to(depth)
             if tag in BLOCKS:
                 open_block = True
             continue
         if tag in BLOCKS:
             open_block = True
-            lowest = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SCOPES and stack[i][0] not in CLOSES.get(tag, ())), -1)
             closed = ("p",) + CLOSES.get(tag, ())
-            if tag != "br" and (depth := next((i for i in range(lowest + 1, len(stack)) if stack[i][0] in closed), -1)) >= 0:
-                close_to(depth)
+            if tag != "br" and any(there[t] for t in closed):
+                lowest = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SCOPES and stack[i].tag not in CLOSES.get(tag, ())), 0)
+                if (depth := next((i for i in range(lowest + 1, len(stack)) if stack[i].tag in closed), 0)) > 0:
+                    close_to(depth)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -138,10 +193,16 @@ def nodes(page: str) -> list[Node]:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, position)
                 position = close.end() if close else end
             continue
-        container = stack[-1][2] if stack else page_frame
-        if tag in CONTAINERS:
+        around = stack[-1]
+        outside, marked = _judged(tag, token[3], around)
+        container = around.container
+        if marked and not around.marked:
+            container = Container(False, None)
+        elif tag in CONTAINERS:
             container = Container(tag in FRAMES, container)
-        stack.append((tag, bool(stack and stack[-1][1]) or _outside(tag, token[3], stack), container))
+        path = paths.setdefault((around.path, tag), len(paths) + 1) if tag in BLOCKS else around.path
+        stack.append(Open(tag, around.outside or outside, around.marked or marked, container, path, around.in_article or tag in ("article", "main")))
+        there[tag] += 1
     for node in found:
         node.text = _SPACE.sub(" ", html.unescape("".join(node.pieces))).strip()
     return [node for node in found if node.text]
@@ -157,8 +218,8 @@ def _smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 def select(blocks: list[Node], share: float = 0.1) -> list[bool]:
     """Which blocks are content."""
-    paths: dict[str, int] = {}
-    place = np.array([paths.setdefault(("!" if b.outside else "") + b.path, len(paths)) for b in blocks], np.int64)
+    paths: dict[tuple[bool, bool, int], int] = {}
+    place = np.array([paths.setdefault((b.outside, b.marked, b.path), len(paths)) for b in blocks], np.int64)
     inside = np.array([not b.outside for b in blocks])
     if not inside.any():
         return [False] * len(blocks)
@@ -166,7 +227,7 @@ def select(blocks: list[Node], share: float = 0.1) -> list[bool]:
     lengths = (np.bincount(place, [len(b.text) for b in blocks]) / uses)[place]
     marks = (np.bincount(place, [len(_PUNCTUATION.findall(b.text)) for b in blocks]) / uses)[place]
     lengths, marks = _smooth(np.where(inside, lengths, 0.0)), _smooth(np.where(inside, marks, 0.0))
-    fused = np.where(inside, lengths * (1.0 + marks), 0.0)
+    fused = np.where(inside, lengths * (1.0 + marks), 0.0) * np.where([b.marked for b in blocks], MARKED_SHARE, 1.0)
     per_path = np.bincount(place, fused) / uses
     threshold = min(float(np.std(fused)), share * float(per_path.max()))
     chosen = (per_path >= threshold)[place] & inside & (per_path[place] > 0)
