@@ -5,6 +5,8 @@ candidate's value is hashed. Ownership: over the whole corpus, each hash gets th
 owners it occurs in. A value that many owners hold is a copied example, and one that few owners hold in many repositories is repeated text rather
 than a secret of one place; one that a single owner holds in few, and that does not look like a placeholder, may be live.
 
+The span of a private key is its first line; its value is the body behind it, so that two keys of one type are two values. The value of a bearer is its token.
+
 Texts are read once and never shuffled; what is shuffled is one short row per candidate. A hash that a third of all rows
 holds is reduced in two steps, first per owner and repository, before its counts meet.
 
@@ -30,16 +32,18 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs of one class: the long ones are the
 
 #: Formats that the method adds: kind, what a text must contain, pattern.
 FORMATS = [
-    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
-    ("github", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b")),
+    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?=((?:\s*[A-Za-z-]+: [^\r\n]*)*[A-Za-z0-9+/=\s]*))")),
+    ("github", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
     ("gitlab", "glpat-", re.compile(r"\bglpat-[A-Za-z0-9_-]{20,}")),
     ("slack", "xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}")),
     ("google", "AIza", re.compile(r"\bAIza[A-Za-z0-9_-]{35}")),
     ("stripe", "_live_", re.compile(r"\b[rs]k_live_[A-Za-z0-9]{16,}")),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']{1,64}:[^\s:/@\"']{3,128}@")),
-    ("bearer", "earer ", re.compile(r"\b[Bb]earer [A-Za-z0-9+/_.~-]{20,}=*")),
+    ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']+:[^\s:/@\"']{3,}@")),
+    ("bearer", "earer ", re.compile(r"\b[Bb]earer ([A-Za-z0-9+/_.~-]{20,}=*)")),
 ]
+#: Characters of a key's body, at least; a first line with less behind it stands for itself.
+SHORTEST = 16
 KINDS = BASE_KINDS + tuple(kind for kind, _, _ in FORMATS)
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|todo|redacted|1234567|abcdef0?1?2")
 
@@ -54,13 +58,19 @@ def spans(text: str) -> list[tuple[int, int, int, str]]:
     found += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
     for number, (_, needed, pattern) in enumerate(FORMATS, len(BASE_KINDS)):
         if needed in text:
-            found += [(m.start(), number, m.end(), m[0]) for m in pattern.finditer(text)]
+            found += [(m.start(), number, m.end(), _value(m)) for m in pattern.finditer(text)]
     return sorted(found)
 
 
+def _value(match: re.Match) -> str:
+    """What is secret in a match: the body that follows a key's first line, without its line breaks, or a bearer's token; else all of it."""
+    inner = "".join(match[1].split()) if match.re.groups else ""
+    return inner if len(inner) >= SHORTEST else match[0]
+
+
 def _random_looking(value: str) -> bool:
-    """Enough different characters for its length, and no word that examples are made of."""
-    if _PLACEHOLDER.search(value):
+    """Enough different characters for its length, and no word that examples are made of; in long values such words come about by chance."""
+    if len(value) <= 200 and _PLACEHOLDER.search(value):
         return False
     counts, n = Counter(value), len(value)
     return -sum(c / n * math.log2(c / n) for c in counts.values()) >= min(3.0, 0.6 * math.log2(n))
