@@ -63,3 +63,15 @@ def test_pieces_lose_no_ngram(monkeypatch):
     whole = tox.features(text)
     monkeypatch.setattr(tox, "PIECE", 100)
     assert np.array_equal(tox.features(text), whole)
+
+
+def test_the_sample_has_one_row_for_each_id(spark):
+    from wardspark.llm.toxicity import labelled_sample
+
+    rows = [(1, f"text {i}") for i in range(500)] + [(2, "b"), (2, "b"), (3, None), (3, None), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)] + [(1, 0)], "doc_id long, toxic int")
+    one = labelled_sample(docs, labels, 100, "doc_id", "text", "toxic").collect()
+    again = labelled_sample(docs.repartition(3), labels, 100, "doc_id", "text", "toxic").collect()
+    assert sorted(map(tuple, one), key=str) == sorted(map(tuple, again), key=str) and len({r.doc for r in one}) == len(one) >= 2
+    assert len(labelled_sample(docs, labels, 2, "doc_id", "text", "toxic").collect()) == 2

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wardspark.llm.shared import slices, written
+from wardspark.llm.shared import slices, text_key, written
 
 SIZES = (3, 4, 5)
 #: Lengths counted only from the beginning of a word, its blank included.
@@ -80,12 +80,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(doc, text, toxic): at most ``max_labelled`` labelled ids that may be learnt from; conflicting labels count as toxic."""
+    """(doc, text, toxic): at most ``max_labelled`` rows that may be learnt from, one for each labelled id; conflicting labels count as toxic. Of
+    several texts of one id, the one with the smallest key stands for all, so no id weighs more than another."""
     known = labels.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("toxic")).where(f"doc IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out(F.col("doc"))).groupBy("doc").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(max_labelled)
     texts = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc")  # at most max_labelled rows of two numbers
+    met = texts.join(F.broadcast(chosen), "doc")  # at most max_labelled rows of two numbers
+    return met.groupBy("doc", "toxic").agg(F.min_by("text", F.struct(text_key(F.col("text")), "text")).alias("text")).select("doc", "text", "toxic")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
