@@ -1,6 +1,7 @@
 """From raw documents to token ids: the stages of a training-data pipeline, each written as Parquet and read again."""
 
 import os
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,8 +14,9 @@ from wardspark.llm.simhash import simhash_dedup
 from wardspark.llm.surrogates import pseudonymize
 from wardspark.llm.winnowing import decontaminate
 
-#: The key of the surrogates. Whoever has it can work out which surrogate belongs to a known value.
-KEY = os.environ.get("SURROGATE_KEY", "a key for tests").encode()
+#: The key of the surrogates. Whoever has it can work out which surrogate belongs to a known value. Without a setting, every session draws a key that nobody
+#: learns: surrogates agree within its runs and with no others.
+KEY = os.environ.get("SURROGATE_KEY", "").encode() or secrets.token_bytes(32)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
