@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from wardspark.llm.perspectives import rotate
 from test_perspectives import brute
 
@@ -23,3 +25,19 @@ def test_pieces_are_bounded_and_in_order(spark, bound):
         pieces.sort()
         assert [p[0] for p in pieces] == list(range(len(pieces))) and all(p[1] == bound for p in pieces[:-1])
         assert (sum(p[1] for p in pieces), sum(p[2] for p in pieces), "".join(p[3] for p in pieces)) == whole[key]
+
+
+def test_twin_cuts_crowded_parts_alike(spark, tmp_path):
+    import duckdb
+
+    from wardspark.llm.perspectives import SQL, rotation_report
+
+    rows = [(None, n % 3, ["ann", "bob", None, "system"][n % 4], f"text {n % 97}") for n in range(3000)] + [(1, n, "ann", "x") for n in range(1500)] + [(2, None, "bob", "y")] * 1100
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
+    table.write.parquet(str(tmp_path / "c"))
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW conversations AS SELECT conv_id, turn, role, text FROM '{tmp_path}/c/*.parquet'")
+    found = rotation_report(rotate(table))
+    order = sorted(found.columns)
+    expected = database.execute(f"SELECT {', '.join(order)} FROM ({SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, found.select(order).collect()))) == sorted(map(repr, expected)) and max(r.piece for r in found.collect()) == 2

@@ -32,8 +32,8 @@ def brute(rows, width=256):
 
 def test_equals_brute_force(spark):
     table = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("speakers", F.lit("y"))
-    assert plain(rotation_report(rotate(table)).collect()) == plain(brute(ROWS))
-    assert plain(rotation_report(rotate(table, turns_per_part=2)).collect()) == plain(brute(ROWS, 2))
+    assert plain(rotation_report(rotate(table)).drop("piece").collect()) == plain(brute(ROWS))
+    assert plain(rotation_report(rotate(table, turns_per_part=2)).drop("piece").collect()) == plain(brute(ROWS, 2))
     assert rotate(table.limit(0)).count() == 0
 
 

@@ -85,10 +85,10 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def rotation_report(rotated: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """One line per row of :func:`rotate`, in the columns of the SQL twin: without the number of the piece, 0 wherever a part was not crowded."""
+    """One line per row of :func:`rotate`, in the columns of the SQL twin."""
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return rotated.select(
-        conv_col, "part", "speaker", "n_turns", "n_own", F.length("text").cast("long").alias("n_chars"), masked.alias("n_masked"),
+        conv_col, "part", "piece", "speaker", "n_turns", "n_own", F.length("text").cast("long").alias("n_chars"), masked.alias("n_masked"),
         F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",").alias("mask"), "text")
 
 
@@ -97,15 +97,16 @@ SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS part FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, body) - 1) // 1024 AS piece FROM said),
 pieces AS (
-  SELECT s.conv_id, part, speaker, row_number() OVER (PARTITION BY s.conv_id, part, speaker ORDER BY turn NULLS FIRST, role, body) AS place, role = speaker AS own,
+  SELECT s.conv_id, part, piece, speaker, row_number() OVER (PARTITION BY s.conv_id, part, piece, speaker ORDER BY turn NULLS FIRST, role, body) AS place, role = speaker AS own,
     CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user ' || regexp_replace(role, '[|<>\\s]', '_', 'g') || '|>' END || chr(10) AS head,
     replace(body, '<|', '< |') || '<|end|>' || chr(10) AS tail
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-placed AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, part, speaker ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM pieces)
-SELECT conv_id, part, speaker, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own, CAST(max(stop) AS BIGINT) AS n_chars,
+  FROM cut s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, part, piece, speaker ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM pieces)
+SELECT conv_id, part, piece, speaker, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own, CAST(max(stop) AS BIGINT) AS n_chars,
   CAST(sum(CASE WHEN own THEN length(tail) ELSE 0 END) AS BIGINT) AS n_masked,
   coalesce(string_agg(CASE WHEN own THEN CAST(stop - length(tail) AS VARCHAR) || ':' || CAST(stop AS VARCHAR) END, ',' ORDER BY place), '') AS mask,
   string_agg(head || tail, '' ORDER BY place) AS text
-FROM placed GROUP BY conv_id, part, speaker
+FROM placed GROUP BY conv_id, part, piece, speaker
 """
