@@ -11,6 +11,7 @@ from itertools import product
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -21,6 +22,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Groups in one mask: the bits of a bigint without its sign.
 _WIDTH = 63
 
+# Bytes of texts that are looked at together, and screens that are tried as one before they are tried one by one.
+_LOOK_BYTES, _TOGETHER = 4 << 20, 32
+
 # Characters that lower-casing leaves behind for letters that a case-insensitive pattern treats as ASCII i, s or k.
 FOLDING = ["ı", "ſ", "̇"]
 
@@ -40,22 +44,48 @@ def _bits(groups: list[list[str]]) -> dict[str, int]:
     return bits
 
 
-def text_facts(text: Column, groups: list[list[str]]) -> Column:
+def looks(texts: pa.Array, size: int = _LOOK_BYTES):
+    """A batch in slices of about so many bytes, at least one text each: what is made of a text in Python is held for one slice, not for the batch."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _screened(texts: pa.Array, masks: np.ndarray, groups: list[list[str]], screens: dict[int, str]) -> None:
+    """Takes back the bits of groups whose screen does not match the text; for groups without anchors all texts are tried, first with many screens as one."""
+    def matching(rows: np.ndarray, screen: str) -> np.ndarray:
+        tried = texts if len(rows) == len(texts) else texts.take(pa.array(rows))
+        return rows[pc.fill_null(pc.match_substring_regex(tried, screen), False).to_numpy(zero_copy_only=False)]
+
+    free = [i for i in screens if not groups[i]]
+    maybe = {}
+    for at in range(0, len(free), _TOGETHER):
+        some = free[at : at + _TOGETHER]
+        try:
+            rows = matching(np.arange(len(texts)), "|".join(screens[i] for i in some))
+        except pa.ArrowInvalid:  # too large as one
+            rows = np.arange(len(texts))
+        maybe |= dict.fromkeys(some, rows)
+    for i, screen in screens.items():
+        word, bit = i // _WIDTH, np.int64(1 << i % _WIDTH)
+        rows = maybe[i] if i in maybe else np.flatnonzero(masks[:, word] & bit)
+        masks[:, word] &= ~bit
+        if len(rows):
+            masks[matching(rows, screen), word] |= bit
+
+
+def text_facts(text: Column, groups: list[list[str]], screens: dict[int, str] | None = None) -> Column:
     """What one look at a text tells: ``struct<mask: array<bigint>, n_lines: int>``.
 
-    Bit ``i % 63`` of element ``i // 63`` of the mask is set if the text may contain an anchor of ``groups[i]``; lines end as
-    in ``split_lines``. For null no bit is set and there are no lines.
+    Bit ``i % 63`` of element ``i // 63`` of the mask is set if the text may contain an anchor of ``groups[i]`` and, where ``screens`` has one for ``i``, the screen
+    matches; a group that has a screen may be without anchors. Lines end as in ``split_lines``. For null no bit is set and there are no lines.
     """
-    bits, words, built = _bits(groups), max(1, -(-len(groups) // _WIDTH)), []
+    bits, words, built, screens = _bits(groups), max(1, -(-len(groups) // _WIDTH)), [], screens or {}
 
-    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int"))
-    def facts(texts: pa.Array) -> pa.Array:
-        if not built:
-            automaton = ahocorasick.Automaton()
-            for spelling, value in bits.items():
-                automaton.add_word(spelling, value)
-            automaton.make_automaton()
-            built.append(automaton if bits else None)
+    def look(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         masks, lines = np.zeros((len(texts), words), np.int64), np.zeros(len(texts), np.int32)
         for i, value in enumerate(texts.to_pylist()):
             if not value:
@@ -66,6 +96,19 @@ def text_facts(text: Column, groups: list[list[str]]) -> Column:
                 found |= bit
             if found:
                 masks[i] = [found >> _WIDTH * word & (1 << _WIDTH) - 1 for word in range(words)]
+        _screened(texts, masks, groups, screens)
+        return masks, lines
+
+    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int"))
+    def facts(texts: pa.Array) -> pa.Array:
+        if not built:
+            automaton = ahocorasick.Automaton()
+            for spelling, value in bits.items():
+                automaton.add_word(spelling, value)
+            automaton.make_automaton()
+            built.append(automaton if bits else None)
+        seen = [look(part) for part in looks(texts)] or [(np.zeros((0, words), np.int64), np.zeros(0, np.int32))]
+        masks, lines = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
         ends = pa.array(np.arange(0, masks.size + 1, words, dtype=np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), pa.array(lines)], names=["mask", "n_lines"])
 
@@ -86,6 +129,15 @@ def has_bit(mask: Column, index: int) -> Column:
     return F.get(mask, F.lit(index // _WIDTH)).bitwiseAND(F.lit(1 << index % _WIDTH).cast("bigint")) != 0
 
 
+def word_at(index: int) -> int:
+    """The word of the mask that a bit is in."""
+    return index // _WIDTH
+
+
+def any_of_word(mask: Column, word: int) -> Column:
+    return F.get(mask, F.lit(word)) != 0
+
+
 def any_bit(mask: Column, groups: int | None = None) -> Column:
     """Whether any bit is set, or any of the words that the first ``groups`` groups are in."""
     return F.exists(mask if groups is None else F.slice(mask, 1, max(1, -(-groups // _WIDTH))), lambda word: word != 0)

@@ -66,9 +66,22 @@ def gated(rules: list[dict] | None, groups: list[list[str]]) -> list[dict]:
     return placed
 
 
-def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str) -> DataFrame:
+def screened(rules: list[dict], groups: list[list[str]]) -> tuple[list[dict], dict[int, str]]:
+    """Gated rules, and the screens of those that have one, by bit. A rule without anchors that has a screen gets a bit as well."""
+    placed, screens = [], {}
+    for rule in rules:
+        if rule.get("screen"):
+            if rule["bit"] is None:
+                rule = rule | {"bit": len(groups)}
+                groups.append([])
+            screens[rule["bit"]] = rule["screen"]
+        placed.append(rule)
+    return placed, screens
+
+
+def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str, screens: dict[int, str] | None = None) -> DataFrame:
     """``path, target, content, _mask, n_lines`` and kept columns: what one look at every text tells."""
-    looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups).alias("_facts"))
+    looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups, screens).alias("_facts"))
     return looked.select("path", "target", "content", *kept, F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
 
 
@@ -116,9 +129,9 @@ def scan_artifacts(
     groups = in_own_words(GROUPS)
     secret_rules = gated(secret_rules if "secrets" in wanted else None, groups)
     signature_rules = gated(signature_rules if "rag" in wanted else None, groups)
-    custom_rules = gated(custom_rules if "custom" in wanted else None, groups)
+    custom_rules, screens = screened(gated(custom_rules if "custom" in wanted else None, groups), groups)
     own = [registered.column(name) for name in registered or []]
-    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own)
+    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own, screens=screens)
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)

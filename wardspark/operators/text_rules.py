@@ -1,13 +1,15 @@
 """Rules over a whole artifact: retrieval and agent patterns, model files, custom patterns."""
 
+from itertools import groupby
+
 from pyspark.sql import Column, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import UNSAFE_WEIGHT_FORMATS
-from wardspark.functions.anchors import has_bit
+from wardspark.functions.anchors import any_of_word, has_bit, word_at
 from wardspark.functions.regex import any_contains, find_all, java_pattern, marked, places
 from wardspark.functions.text import basename, suffix
-from wardspark.operators.hits import hit, no_hits, only_if
+from wardspark.operators.hits import hit, join_arrays, no_hits, only_if
 
 RAG_GROUPS = [p["anchors"] for p in cat.RAG_PATTERNS]
 AGENT_GROUPS = [p["anchors"] for p in cat.AGENT_PATTERNS]
@@ -93,9 +95,9 @@ def model_hits(path: Column, content: Column) -> list[Column]:
 
 
 def wanted_here(path: Column, mask: Column, rule: dict) -> Column:
-    """Whether a custom rule's pattern has to run: the extension is one it names, and the text has one of its anchors."""
+    """Whether a custom rule's pattern has to run: the text has one of its anchors, and the extension is one it names."""
     named = F.lower(suffix(path)).isin(*rule["file_extensions"]) if rule["file_extensions"] else F.lit(True)
-    return named & possible(mask, rule)
+    return possible(mask, rule) & named
 
 
 def custom_hits(path: Column, content: Column, mask: Column, rules: list[dict]) -> Column:
@@ -103,18 +105,22 @@ def custom_hits(path: Column, content: Column, mask: Column, rules: list[dict])
     if not rules:
         return no_hits()
     fields = ("name", "category", "severity", "message", "remediation", "cwe", "owasp")
+    told = {f: F.array(*[F.lit(r[f]).cast("string") for r in rules]) for f in fields}
 
-    def one(order: int, rule: dict) -> Column:
-        matched = _matched(rule["id"], order, content, "(?dU)" + rule["pattern"], wanted_here(path, mask, rule))
-        return F.struct(matched.alias("m"), *[F.lit(rule[f]).cast("string").alias(f) for f in fields])
+    def matched(numbered: list[tuple[int, dict]]) -> Column:
+        found = F.array_compact(F.array(*[_matched(r["id"], i, content, "(?dU)" + r["pattern"], wanted_here(path, mask, r)) for i, r in numbered]))
+        word = word_of(numbered[0][1])
+        return found if word is None else F.when(any_of_word(mask, word), found)  # most words of the mask are zero
 
     def made(y: Column, m: Column) -> Column:
-        default = F.concat(F.lit("Custom rule "), y["m"]["rule_id"], F.lit(" matched at line "), m["line"].cast("string"), F.lit("."))
+        default = F.concat(F.lit("Custom rule "), y["rule_id"], F.lit(" matched at line "), m["line"].cast("string"), F.lit("."))
+        own = {f: F.get(told[f], y["order"]) for f in fields}
         attrs = {
-            "title": y["name"], "category": y["category"], "severity": y["severity"], "description": F.coalesce(y["message"], default),
-            "remediation": y["remediation"], "cwe_id": y["cwe"], "owasp_id": y["owasp"],
+            "title": own["name"], "category": own["category"], "severity": own["severity"], "description": F.coalesce(own["message"], default),
+            "remediation": own["remediation"], "cwe_id": own["cwe"], "owasp_id": own["owasp"],
         }
-        return hit("custom", y["m"]["rule_id"], m["line"], m["col"], [y["m"]["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN), attrs)
+        return hit("custom", y["rule_id"], m["line"], m["col"], [y["order"], m["ordinal"], 0], F.substring(m["text"], 1, _SHOWN), attrs)
 
-    found = F.filter(F.array(*[one(i, r) for i, r in enumerate(rules)]), lambda y: y["m"].isNotNull())
-    return F.flatten(F.transform(found, lambda y: F.transform(places(y["m"]["marked"], y["m"]["matches"]), lambda m: made(y, m))))
+    word_of = lambda rule: None if rule["bit"] is None else word_at(rule["bit"])
+    found = join_arrays([matched(list(part)) for _, part in groupby(enumerate(rules), lambda x: word_of(x[1]))])
+    return F.flatten(F.transform(found, lambda y: F.transform(places(y["marked"], y["matches"]), lambda m: made(y, m))))

@@ -13,6 +13,7 @@ from wardspark.catalog.rules import DETECTOR_RULES, RULES
 from wardspark.catalog.prompt_signatures import SIGNATURE_FILE
 from wardspark.catalog.severity import CATEGORIES, CUSTOM_CATEGORIES, SEVERITY_NAMES
 from wardspark.functions.pattern_anchors import anchors_of
+from wardspark.functions.pattern_screens import screen_of
 from wardspark.functions.regex import java_pattern
 from wardspark.operators.prompts import default_signatures
 from wardspark.schemas import CUSTOM_RULES
@@ -252,7 +253,7 @@ def compile_custom_rules(rules: DataFrame) -> list[dict]:
         if reason:
             warnings.warn(f"custom rule {row['id']}: {reason}", stacklevel=2)
         else:
-            compiled.append(row.asDict() | {"pattern": to_java(row["pattern"]), "anchors": anchors_of(row["pattern"])})
+            compiled.append(row.asDict() | {"pattern": to_java(row["pattern"]), "anchors": anchors_of(row["pattern"]), "screen": screen_of(row["pattern"])})
     return compiled
 
 
