@@ -87,3 +87,16 @@ def test_patterns_run_only_where_the_screen_matches(spark):
     assert [r["bit"] for r in rules] == [0, None] and groups == [[]]
     rows = spark.createDataFrame([("a", "t", "x t123 y"), ("b", "t", "t123f"), ("c", "t", None)], "path string, target string, content string")
     assert {r.path: r["_mask"][0] for r in staged_texts(rows, groups, screens=screens).collect()} == {"a": 0, "b": 1, "c": 0}
+
+
+def test_plain_texts_are_split_alike(spark):
+    """Texts are told that have no line ends but line feeds; splitting them without a pattern gives the same lines."""
+    from wardspark.functions.text import split_lines
+
+    ends = ["\n", "\r", "\r\n", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x85", " ", " ", "\x1f", "é"]
+    texts = [None, "", "a", "\n", "a\n\n"] + [t for e in ends for t in (e, f"a{e}", f"a{e}b", f"{e}\n", f"a\n{e}b\n", f"\n{e}")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_facts(F.col("t"), [["a"]]).alias("f"))
+    found = rows.select("t", "f.plain", "f.n_lines", split_lines(F.col("t")).alias("old"), split_lines(F.col("t"), F.col("f.plain")).alias("new")).collect()
+    for r in found:
+        assert r.old == r.new
+        assert r.plain == (r.t is None or not any(e in r.t for e in ends[1:-2])), repr(r.t)

@@ -78,28 +78,30 @@ def _screened(texts: pa.Array, masks: np.ndarray, groups: list[list[str]], scree
 
 
 def text_facts(text: Column, groups: list[list[str]], screens: dict[int, str] | None = None) -> Column:
-    """What one look at a text tells: ``struct<mask: array<bigint>, n_lines: int>``.
+    """What one look at a text tells: ``struct<mask: array<bigint>, n_lines: int, plain: boolean>``.
 
     Bit ``i % 63`` of element ``i // 63`` of the mask is set if the text may contain an anchor of ``groups[i]`` and, where ``screens`` has one for ``i``, the screen
-    matches; a group that has a screen may be without anchors. Lines end as in ``split_lines``. For null no bit is set and there are no lines.
+    matches; a group that has a screen may be without anchors. Lines end as in ``split_lines``; ``plain``
+    texts have no line ends but ``\\n``. For null no bit is set and there are no lines.
     """
     bits, words, built, screens = _bits(groups), max(1, -(-len(groups) // _WIDTH)), [], screens or {}
 
-    def look(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        masks, lines = np.zeros((len(texts), words), np.int64), np.zeros(len(texts), np.int32)
+    def look(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        masks, lines, plain = np.zeros((len(texts), words), np.int64), np.zeros(len(texts), np.int32), np.ones(len(texts), bool)
         for i, value in enumerate(texts.to_pylist()):
             if not value:
                 continue
-            lines[i] = len(value.splitlines())
+            lines[i], last = len(value.splitlines()), value[-1]
+            plain[i] = "\r" not in value and lines[i] == value.count("\n") + (last != "\n") and (last == "\n" or len((last + ".").splitlines()) == 1)
             found = 0
             for _, bit in built[0].iter(" ".join(value.lower().split())) if built[0] else ():
                 found |= bit
             if found:
                 masks[i] = [found >> _WIDTH * word & (1 << _WIDTH) - 1 for word in range(words)]
         _screened(texts, masks, groups, screens)
-        return masks, lines
+        return masks, lines, plain
 
-    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int"))
+    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int, plain boolean"))
     def facts(texts: pa.Array) -> pa.Array:
         if not built:
             automaton = ahocorasick.Automaton()
@@ -107,10 +109,9 @@ def text_facts(text: Column, groups: list[list[str]], screens: dict[int, str] |
                 automaton.add_word(spelling, value)
             automaton.make_automaton()
             built.append(automaton if bits else None)
-        seen = [look(part) for part in looks(texts)] or [(np.zeros((0, words), np.int64), np.zeros(0, np.int32))]
-        masks, lines = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
+        masks, lines, plain = (np.concatenate(part) for part in zip(*[look(part) for part in looks(texts)] or [look(texts)]))
         ends = pa.array(np.arange(0, masks.size + 1, words, dtype=np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), pa.array(lines)], names=["mask", "n_lines"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), pa.array(lines), pa.array(plain)], names=["mask", "n_lines", "plain"])
 
     return facts(text)
 

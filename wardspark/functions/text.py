@@ -23,10 +23,13 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
 
 
-def split_lines(text: Column) -> Column:
-    """The lines of a text; a line end at the very end adds no empty line."""
+def split_lines(text: Column, plain: Column | None = None) -> Column:
+    """The lines of a text; a line end at the very end adds no empty line. Where ``plain`` tells that the text has no line ends but ``\\n``, it is split without a pattern."""
     whole = lambda parts: F.slice(parts, F.lit(1), F.size(parts) - (F.element_at(parts, -1) == "").cast("int"))
-    return F.get(F.transform(F.array(F.split(text, LINE_ENDS, -1)), whole), 0)  # the text is split once
+    parts = F.split(text, LINE_ENDS, -1)
+    if plain is not None:
+        parts = F.when(plain, F.split(text, "\n", -1)).otherwise(parts)
+    return F.get(F.transform(F.array(parts), whole), 0)  # the text is split once
 
 
 @pandas_udf(IntegerType())

@@ -80,9 +80,9 @@ def screened(rules: list[dict], groups: list[list[str]]) -> tuple[list[dict], di
 
 
 def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str, screens: dict[int, str] | None = None) -> DataFrame:
-    """``path, target, content, _mask, n_lines`` and kept columns: what one look at every text tells."""
+    """``path, target, content, _mask, n_lines, _plain`` and kept columns: what one look at every text tells."""
     looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups, screens).alias("_facts"))
-    return looked.select("path", "target", "content", *kept, F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
+    return looked.select("path", "target", "content", *kept, F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"), F.col("_facts.plain").alias("_plain"))
 
 
 def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
@@ -104,9 +104,10 @@ def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
 
 @built_once
 def _placed_hits() -> Column:
-    """Hits with their snippets; a text is split for them only if it has hits, and once."""
+    """Hits with their snippets; a text is split for them only if it has hits and was not split for the detectors."""
     placed = lambda lines: F.transform(F.col("_hits"), lambda h: h.withField("snippet", F.coalesce(h["snippet"], snippet(lines, h["line"]))))
-    return F.when(F.size("_hits") > 0, F.get(F.transform(F.array(split_lines(F.coalesce("content", F.lit("")))), placed), 0)).otherwise(F.col("_hits"))
+    lines = F.when(F.col("_split"), F.col("_lines")).otherwise(split_lines(F.coalesce("content", F.lit("")), F.col("_plain")))
+    return F.when(F.size("_hits") > 0, F.get(F.transform(F.array(lines), placed), 0)).otherwise(F.col("_hits"))
 
 
 def scan_artifacts(
@@ -138,7 +139,8 @@ def scan_artifacts(
     needs_lines = any_bit(F.col("_mask"), len(GROUPS)) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(extra_detectors))
     for rule in secret_rules:
         needs_lines |= text_rules.possible(F.col("_mask"), rule)
-    staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>")))
+    staged = staged.withColumn("_split", needs_lines & F.col("content").isNotNull())
+    staged = staged.withColumn("_lines", F.when(needs_lines, split_lines(F.col("content"), F.col("_plain"))).otherwise(F.array().cast("array<string>")))
     replaced = {name for name, given in (("secrets", secret_rules), ("rag", signature_rules)) if given} | {"custom"}
     hits = [h for name in wanted if name not in replaced for h in _detector_hits(name)]
     if secret_rules:
@@ -150,7 +152,7 @@ def scan_artifacts(
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     hits += registered.hits() if registered else []
     staged = staged.select(
-        "path", "target", "content", "n_lines",
+        "path", "target", "content", "n_lines", "_plain", "_split", "_lines",
         join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
     )
     return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"))
