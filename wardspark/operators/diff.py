@@ -36,6 +36,17 @@ def diff_findings(baseline: DataFrame, current: DataFrame, by: tuple[str, ...] =
     ).select("status", "fingerprint", *by, *[F.col(f"row.{c}").alias(c) for c in columns])
 
 
+def persisting_only(findings: DataFrame, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """``diff_findings`` of findings with themselves, in which every fingerprint persists, without a join."""
+    keys = [*by, "fingerprint"]
+    rows = _one_per_fingerprint(findings, list(by))
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    status = F.explode(F.when(known, F.array(F.lit("persisting"))).otherwise(F.array(F.lit("new"), F.lit("fixed"))))  # a key that is not known equals none
+    return rows.select(status.alias("status"), "fingerprint", *by, *[F.col(f"row.{c}").alias(c) for c in findings.columns if c not in by])
+
+
 def new_findings(baseline: DataFrame, current: DataFrame, by: tuple[str, ...] = ("target",)) -> DataFrame:
     return _unpacked(_one_per_fingerprint(current, list(by)).join(with_fingerprint(baseline), [*by, "fingerprint"], "left_anti"), current, by)
 

@@ -118,8 +118,9 @@ def scan_artifacts(
     signature_rules: list[dict] | None = None,
     secret_rules: list[dict] | None = None,
     registered: Detectors | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per artifact: ``path, target, n_lines, hits``.
+    """One row per artifact: ``path, target, n_lines, hits``, and columns of the artifacts to ``keep``.
 
     ``detectors`` picks among the built-in ones. ``signature_rules``, as ``load_signature_rules`` reads them, take the place of
     the built-in retrieval patterns; ``secret_rules``, as ``load_secret_rules`` gives them, are line patterns in front of the built-in ones. The
@@ -132,7 +133,7 @@ def scan_artifacts(
     signature_rules = gated(signature_rules if "rag" in wanted else None, groups)
     custom_rules, screens = screened(gated(custom_rules if "custom" in wanted else None, groups), groups)
     own = [registered.column(name) for name in registered or []]
-    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own, screens=screens)
+    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own, *keep, screens=screens)
     if "ast" in wanted:
         odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
         staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
@@ -152,10 +153,10 @@ def scan_artifacts(
     hits += [extra(F.col("path"), F.col("content"), F.col("_lines")) for extra in extra_detectors or []]
     hits += registered.hits() if registered else []
     staged = staged.select(
-        "path", "target", "content", "n_lines", "_plain", "_split", "_lines",
+        "path", "target", "content", "n_lines", "_plain", "_split", "_lines", *keep,
         join_arrays([h.cast(HITS) for h in hits]).alias("_hits"),
     )
-    return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"))
+    return staged.select("path", "target", "n_lines", _placed_hits().alias("hits"), *keep)
 
 
 def dedup_hits(hits: Column, by: str = "family") -> Column:
