@@ -6,6 +6,7 @@ whitespace, even an empty one.
 """
 
 import sys
+from collections.abc import Iterator
 from itertools import product
 
 import ahocorasick
@@ -17,13 +18,16 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StructType
 
+from wardspark.functions.code_facts import FACTS, facts_array
+from wardspark.functions.slices import looks
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Groups in one mask: the bits of a bigint without its sign.
 _WIDTH = 63
 
-# Bytes of texts that are looked at together, and screens that are tried as one before they are tried one by one.
-_LOOK_BYTES, _TOGETHER = 4 << 20, 32
+# Screens that are tried as one before they are tried one by one.
+_TOGETHER = 32
 
 # Characters that lower-casing leaves behind for letters that a case-insensitive pattern treats as ASCII i, s or k.
 FOLDING = ["ı", "ſ", "̇"]
@@ -44,16 +48,6 @@ def _bits(groups: list[list[str]]) -> dict[str, int]:
     return bits
 
 
-def looks(texts: pa.Array, size: int = _LOOK_BYTES):
-    """A batch in slices of about so many bytes, at least one text each: what is made of a text in Python is held for one slice, not for the batch."""
-    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-    while start < len(texts):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
-        yield texts.slice(start, stop - start)
-        start = stop
-
-
 def _screened(texts: pa.Array, masks: np.ndarray, groups: list[list[str]], screens: dict[int, str]) -> None:
     """Takes back the bits of groups whose screen does not match the text; for groups without anchors all texts are tried, first with many screens as one."""
     def matching(rows: np.ndarray, screen: str) -> np.ndarray:
@@ -77,43 +71,63 @@ def _screened(texts: pa.Array, masks: np.ndarray, groups: list[list[str]], scree
             masks[matching(rows, screen), word] |= bit
 
 
-def text_facts(text: Column, groups: list[list[str]], screens: dict[int, str] | None = None) -> Column:
+def text_facts(text: Column, groups: list[list[str]], screens: dict[int, str] | None = None, code: tuple[Column, int] | None = None) -> Column:
     """What one look at a text tells: ``struct<mask: array<bigint>, n_lines: int, plain: boolean>``.
 
     Bit ``i % 63`` of element ``i // 63`` of the mask is set if the text may contain an anchor of ``groups[i]`` and, where ``screens`` has one for ``i``, the screen
     matches; a group that has a screen may be without anchors. Lines end as in ``split_lines``; ``plain``
     texts have no line ends but ``\\n``. For null no bit is set and there are no lines.
+
+    ``code`` tells which texts are Python sources, and the bit without which no rule over code can fire: then there is a field ``facts`` as well, null for other texts.
+    It is the same look, so that a task holds one Python process and one batch of texts; results leave it slice by slice.
     """
-    bits, words, built, screens = _bits(groups), max(1, -(-len(groups) // _WIDTH)), [], screens or {}
+    bits, words, screens = _bits(groups), max(1, -(-len(groups) // _WIDTH)), screens or {}
+    sources, code_bit = code or (None, None)
 
-    def look(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(automaton, texts: pa.Array, are_sources: pa.Array | None) -> pa.StructArray:
         masks, lines, plain = np.zeros((len(texts), words), np.int64), np.zeros(len(texts), np.int32), np.ones(len(texts), bool)
-        for i, value in enumerate(texts.to_pylist()):
+        values = texts.to_pylist()
+        for i, value in enumerate(values):
             if not value:
                 continue
             lines[i], last = len(value.splitlines()), value[-1]
             plain[i] = "\r" not in value and lines[i] == value.count("\n") + (last != "\n") and (last == "\n" or len((last + ".").splitlines()) == 1)
             found = 0
-            for _, bit in built[0].iter(" ".join(value.lower().split())) if built[0] else ():
+            for _, bit in automaton.iter(" ".join(value.lower().split())) if automaton else ():
                 found |= bit
             if found:
                 masks[i] = [found >> _WIDTH * word & (1 << _WIDTH) - 1 for word in range(words)]
         _screened(texts, masks, groups, screens)
-        return masks, lines, plain
-
-    @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int, plain boolean"))
-    def facts(texts: pa.Array) -> pa.Array:
-        if not built:
-            automaton = ahocorasick.Automaton()
-            for spelling, value in bits.items():
-                automaton.add_word(spelling, value)
-            automaton.make_automaton()
-            built.append(automaton if bits else None)
-        masks, lines, plain = (np.concatenate(part) for part in zip(*[look(part) for part in looks(texts)] or [look(texts)]))
         ends = pa.array(np.arange(0, masks.size + 1, words, dtype=np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), pa.array(lines), pa.array(plain)], names=["mask", "n_lines", "plain"])
-
-    return facts(text)
+        fields = {"mask": pa.ListArray.from_arrays(ends, pa.array(masks.ravel())), "n_lines": pa.array(lines), "plain": pa.array(plain)}
+        if are_sources is not None:  # Python folds wide letters into ASCII names
+            named = masks[:, code_bit // _WIDTH] & np.int64(1 << code_bit % _WIDTH) != 0
+            fields["facts"] = facts_array(v if v and s and (n or not v.isascii()) else None for v, s, n in zip(values, are_sources.to_pylist(), named))
+        return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+
+    def told(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for spelling, value in bits.items():
+            automaton.add_word(spelling, value)
+        automaton.make_automaton()
+        for texts, *flags in batches:
+            start = 0
+            for part in looks(texts):
+                yield look(automaton if bits else None, part, flags[0].slice(start, len(part)) if flags else None)
+                start += len(part)
+
+    if sources is None:
+        @arrow_udf(StructType.fromDDL("mask array<bigint>, n_lines int, plain boolean"))
+        def facts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from told((texts,) for texts in batches)
+
+        return facts(text)
+
+    @arrow_udf(StructType.fromDDL(f"mask array<bigint>, n_lines int, plain boolean, facts {FACTS}"))
+    def facts_with_code(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from told(batches)
+
+    return facts_with_code(text, sources)
 
 
 def anchor_mask(text: Column, groups: list[list[str]]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import DETECTOR_RULES, RULES
-from wardspark.functions.anchors import any_bit, has_bit, in_own_words, text_facts
+from wardspark.functions.anchors import any_bit, in_own_words, text_facts
 from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
 from wardspark.functions.pattern_anchors import anchors_of
@@ -79,10 +79,13 @@ def screened(rules: list[dict], groups: list[list[str]]) -> tuple[list[dict], di
     return placed, screens
 
 
-def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str, screens: dict[int, str] | None = None) -> DataFrame:
-    """``path, target, content, _mask, n_lines, _plain`` and kept columns: what one look at every text tells."""
-    looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups, screens).alias("_facts"))
-    return looked.select("path", "target", "content", *kept, F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"), F.col("_facts.plain").alias("_plain"))
+def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str, screens: dict[int, str] | None = None, code_bit: int | None = None) -> DataFrame:
+    """``path, target, content, _mask, n_lines, _plain`` and kept columns: what one look at every text tells. With ``code_bit`` also ``facts``, of Python sources that have that bit or
+    characters beyond ASCII."""
+    code = None if code_bit is None else (code_rules.is_python(F.col("path")), code_bit)
+    looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups, screens, code).alias("_facts"))
+    told = [F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"), F.col("_facts.plain").alias("_plain")]
+    return looked.select("path", "target", "content", *kept, *told, *[F.col("_facts.facts").alias("facts")] * (code is not None))
 
 
 def rule_trials(artifacts: DataFrame, custom_rules: list[dict]) -> DataFrame:
@@ -133,10 +136,7 @@ def scan_artifacts(
     signature_rules = gated(signature_rules if "rag" in wanted else None, groups)
     custom_rules, screens = screened(gated(custom_rules if "custom" in wanted else None, groups), groups)
     own = [registered.column(name) for name in registered or []]
-    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own, *keep, screens=screens)
-    if "ast" in wanted:
-        odd_identifiers = F.col("content").rlike("[^\\x00-\\x7f]")  # Python folds wide letters into ASCII names
-        staged = code_rules.with_code_facts(staged, has_bit(F.col("_mask"), _FIRST["code"]) | odd_identifiers)
+    staged = staged_texts(registered.applied(artifacts) if registered else artifacts, groups, *own, *keep, screens=screens, code_bit=_FIRST["code"] if "ast" in wanted else None)
     needs_lines = any_bit(F.col("_mask"), len(GROUPS)) | supply.manifest_kind(F.col("path")).isNotNull() | F.lit(bool(extra_detectors))
     for rule in secret_rules:
         needs_lines |= text_rules.possible(F.col("_mask"), rule)
