@@ -1,9 +1,15 @@
 """What a task of a scan holds in Python: one process, and results of a few megabytes of texts at a time."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from wardspark.functions.anchors import has_bit, in_own_words, text_facts
 from wardspark.operators import code_rules
+from wardspark.operators.chunks import scan_chunks
 from wardspark.operators.scan import GROUPS, _FIRST, scan_artifacts, staged_texts
 
 ROWS = [
@@ -33,3 +39,38 @@ def test_one_look_tells_what_two_did(spark):
     assert together == {r.path: (r.f.mask, r.f.n_lines, r.f.plain, facts(r)) for r in apart.drop("content").collect()}
     assert {path for path, row in together.items() if row[-1]} == {"a.py", "e.py", "i.py", "k.py", "l.pyw"}
     assert [c["func"] for c in together["k.py"][-1]["calls"]] == ["eval"]
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def unset(spark):
+    before = spark.conf.getAll.get(BATCH)
+    spark.conf.unset(BATCH)
+    yield
+    spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def largest_batch(texts):
+    @arrow_udf("long")
+    def batch_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    return texts.select(batch_bytes("content").alias("b")).agg(F.max("b")).first()[0]
+
+
+@pytest.mark.parametrize("scan", [scan_artifacts, lambda texts: scan_chunks(texts.withColumn("part", F.lit(0)), detectors=["secrets"])])
+def test_batches_do_not_grow_with_the_partition(spark, unset, scan):
+    """A partition of 24 MB reaches Python in batches of about 4 MB once a scan is made, not in one."""
+    texts = spark.range(0, 6000, 1, 1).select(F.concat("id", F.lit(".txt")).alias("path"), F.lit("t").alias("target"), F.repeat(F.lit("abc "), 1000).alias("content"))
+    assert largest_batch(texts) > 20e6
+    scan(texts)
+    assert largest_batch(texts) < 6e6
+
+
+def test_a_batch_size_of_the_caller_stays(spark, unset):
+    spark.conf.set(BATCH, "1m")
+    scan_artifacts(rows(spark))
+    assert spark.conf.get(BATCH) == "1m"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardspark.catalog import patterns as cat
 from wardspark.catalog.rules import UNSAFE_WEIGHT_FORMATS
 from wardspark.functions.anchors import any_bit, has_bit, in_own_words, text_facts
+from wardspark.functions.slices import small_batches
 from wardspark.functions.text import basename, numbered_lines, split_lines, suffix
 from wardspark.operators import line_rules, scan, supply, text_rules
 from wardspark.operators.code_rules import is_python
@@ -106,6 +107,7 @@ def scan_chunks(
     signatures = scan.gated(signature_rules if "rag" in wanted else None, groups)
     custom = scan.gated(custom_rules if "custom" in wanted else None, groups)
     text = F.col("content")
+    small_batches(chunks.sparkSession)
     looked = chunks.select("path", "target", "part", "content", text_facts(text, groups).alias("_facts"))
     looked = looked.select("path", "target", "part", "content", F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"))
     needs_lines = any_bit(F.col("_mask"), len(scan.GROUPS))

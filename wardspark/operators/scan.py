@@ -14,6 +14,7 @@ from wardspark.functions.anchors import any_bit, in_own_words, text_facts
 from wardspark.functions.cached import built_once
 from wardspark.functions.identifiers import finding_id, mask_match, rule_family
 from wardspark.functions.pattern_anchors import anchors_of
+from wardspark.functions.slices import small_batches
 from wardspark.functions.text import snippet, split_lines
 from wardspark.operators import code_rules, line_rules, supply, text_rules
 from wardspark.operators.hits import HITS, join_arrays
@@ -82,6 +83,7 @@ def screened(rules: list[dict], groups: list[list[str]]) -> tuple[list[dict], di
 def staged_texts(artifacts: DataFrame, groups: list[list[str]], *kept: str, screens: dict[int, str] | None = None, code_bit: int | None = None) -> DataFrame:
     """``path, target, content, _mask, n_lines, _plain`` and kept columns: what one look at every text tells. With ``code_bit`` also ``facts``, of Python sources that have that bit or
     characters beyond ASCII."""
+    small_batches(artifacts.sparkSession)
     code = None if code_bit is None else (code_rules.is_python(F.col("path")), code_bit)
     looked = artifacts.select("path", "target", "content", *kept, text_facts(F.col("content"), groups, screens, code).alias("_facts"))
     told = [F.col("_facts.mask").alias("_mask"), F.col("_facts.n_lines").alias("n_lines"), F.col("_facts.plain").alias("_plain")]
