@@ -138,5 +138,6 @@ def scan_chunks(
     pieces = chunks.select("path", "target", "part", "content").join(in_need, ["path", "target"], "left_semi").groupBy("path", "target").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("c"))
     joined = F.when(F.exists("c", lambda c: c["content"].isNotNull()), F.array_join(F.transform("c", lambda c: c["content"]), ""))
     texts = scan.scan_artifacts(pieces.select("path", "target", joined.alias("content")), custom_rules, rest, extra_detectors, signature_rules)
-    both = lined.select("path", "target", "n_lines", "hits").join(texts.select("path", "target", F.col("hits").alias("more")), ["path", "target"], "left")
+    texts = texts.select("path", "target", F.col("hits").alias("more")).hint("merge")  # of unknown size: chunks out of Python count for a few bytes
+    both = lined.select("path", "target", "n_lines", "hits").join(texts, ["path", "target"], "left")
     return both.select("path", "target", "n_lines", F.concat("hits", F.coalesce("more", F.array().cast(HITS))).alias("hits"))
