@@ -87,18 +87,17 @@ def walk(system: pa.fs.FileSystem, folders: Iterable[str], extensions: list[str]
         while at := list(islice(given, width)) or [below.pop() for _ in range(min(width, len(below)))]:
             listed = 0
             for entries in pool.map(lambda folder: system.get_file_info(pa.fs.FileSelector(folder)), at):
-                listed += len(entries)
+                listed, seen = listed + len(entries), seen + len(entries)
                 for entry in sorted(entries, key=lambda e: e.path):
                     if entry.type == pa.fs.FileType.Directory:
                         if entry.base_name not in skipped and not entry.base_name.startswith("."):
                             below.append(entry.path)
                     elif entry.type == pa.fs.FileType.File and is_scannable(entry.base_name, extensions):
                         yield entry.path, entry.size
-            seen += listed
+                if seen >= most:
+                    yield from ((path, None) for path in below)
+                    below.clear()
             width = min(2 * width, _LISTERS) if listed < _ENTRIES else 1
-            if seen >= most:
-                yield from ((path, None) for path in below)
-                below.clear()
 
 
 class _Shares:
